@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
-from quillseek.sources.pages import page_rows
+from quillseek.sources.pages import page_rows, spread
 
 SCOPES = (("french", "fr/{slug}"), ("pages", "{location}"), ("english", "en/{slug}"))
 PAGE_CONFIG = SearchConfig(delimiters=("<article>",), scope_rules=SCOPES)
@@ -15,7 +15,8 @@ DOC_CONFIG = SearchConfig(limit=10)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(frame) if name in ("pages", "documents") else frame
 
 
 def pages(spark: SparkSession, folder: str, config: SearchConfig = PAGE_CONFIG) -> DataFrame:

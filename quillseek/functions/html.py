@@ -125,21 +125,12 @@ def inner_html(html: Column, field: Field) -> Column:
     return F.when(nested, _containers(html, field)).otherwise(flat)
 
 
-def texts(html: Column, field: Field) -> Column:
-    """Text of every match of the field, entities decoded."""
+def matched(html: Column, field: Field) -> Column:
+    """Text of every match of the field, character references still in it."""
     if field.attribute:
         found = F.regexp_extract_all(html, F.lit(_attribute_pattern(field)), 1)
-        return F.transform(found, lambda value: decode_entities(_unquote(value)))
-    return F.transform(inner_html(html, field), lambda part: decode_entities(strip_markup(part)))
-
-
-def content_text(html: Column, fields: Sequence[Field], separator: str = "") -> Column:
-    """Text of all delimiters: matches of one joined by ``|``, delimiters by ``separator``."""
-    parts = [F.array_join(F.filter(texts(html, f), lambda t: ~is_blank(t)), "|") for f in fields]
-    if not separator:
-        return F.concat(*parts)
-    kept = F.filter(F.array(*parts), lambda part: part != "")
-    return F.array_join(kept, separator)
+        return F.transform(found, _unquote)
+    return F.transform(inner_html(html, field), strip_markup)
 
 
 def _matches(html: Column, field: Field) -> Column:
@@ -153,18 +144,23 @@ def _first_inner(html: Column, field: Field) -> Column:
     return F.regexp_extract(html, _element_pattern(field), 1)
 
 
-def first_text(html: Column, fields: Sequence[Field]) -> Column:
-    """Text of the first node of the first field that matches at all, even if empty; else null."""
+def first_matched(html: Column, fields: Sequence[Field]) -> Column:
+    """As first_text, with character references still in it."""
     choice = F
     for field in fields:
         if field.attribute:
             value = _unquote(F.regexp_extract(html, _attribute_pattern(field), 1))
         else:
             value = strip_markup(_first_inner(html, field))
-        choice = choice.when(_matches(html, field), decode_entities(value))
+        choice = choice.when(_matches(html, field), value)
     return choice.otherwise(F.lit(None))
 
 
+def first_text(html: Column, fields: Sequence[Field]) -> Column:
+    """Text of the first node of the first field that matches at all, even if empty; else null."""
+    return decode_entities(first_matched(html, fields))
+
+
 def first_inner_html(html: Column, fields: Sequence[Field]) -> Column:
     """As first_text, but with the tags inside the node kept."""
     choice = F
@@ -173,6 +169,14 @@ def first_inner_html(html: Column, fields: Sequence[Field]) -> Column:
     return choice.otherwise(F.lit(None))
 
 
+def join_content(parts: Sequence[Column], separator: str = "") -> Column:
+    """Matches of one delimiter joined by ``|`` without the empty ones, delimiters by ``separator``."""
+    joined = [F.array_join(F.filter(part, lambda t: ~is_blank(t)), "|") for part in parts]
+    if not separator:
+        return F.concat(*joined)
+    return F.array_join(F.filter(F.array(*joined), lambda part: part != ""), separator)
+
+
 def robots_meta(html: Column, word: str) -> Column:
     """Whether a robots meta tag in the head names the word; attribute order does not matter."""
     head = F.regexp_extract(html, r"(?is)<head\b[^>]*>(.*?)(?:</head|<body\b|\z)", 1)

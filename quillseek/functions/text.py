@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from html.entities import name2codepoint
 
@@ -11,9 +12,15 @@ from pyspark.sql import functions as F
 ELLIPSIS = "…"
 
 _ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# The references almost all pages use, with the ampersand last.
+_COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_UNCOMMON = r"&(?!(?:%s);)(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);" % "|".join(
+    name.strip("&;") for name, _ in _COMMON
+)
+_NAMES = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
 # Java's \s; the run's first character stands for the run.
 _BLANKS = r"(\s)\s+"
-_EDGES = r"^\s+|\s+$"
+_EDGES = " \t\n\r\f\x0b"
 _MARKUP = r"(?s)<!--.*?(?:-->|\z)|<[^\s>][^>]*(?:>|\z)"
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -40,7 +47,7 @@ def drop_controls(text: Column) -> Column:
 
 def collapse_blanks(text: Column) -> Column:
     """Each run of whitespace becomes its first character; both ends are trimmed."""
-    return F.regexp_replace(F.regexp_replace(text, _BLANKS, "$1"), _EDGES, "")
+    return F.btrim(F.regexp_replace(text, _BLANKS, "$1"), F.lit(_EDGES))
 
 
 def _code_point(hex_digits: Column) -> Column:
@@ -68,17 +75,25 @@ def _decode_piece(piece: Column, names: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references decoded once, left to right.
 
-    The text is cut in front of every ``&`` so each piece is decoded on its own: a decoded ``&``
-    can never start another reference. Text without ``&`` is passed through untouched.
+    Replacing the common ones with the ampersand last is such a single pass. A text with any other
+    reference is cut in front of every ``&`` instead and each piece is decoded on its own, so a decoded
+    ``&`` can never start another reference.
     """
-    names = F.create_map(
-        *[F.lit(part) for name, code in name2codepoint.items() for part in (name, chr(code))]
-    )
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
 
-    def decode(raw: Column) -> Column:
+    def in_pieces(raw: Column) -> Column:
         pieces = F.split(raw, "(?=&)")
-        decoded = F.array_join(F.transform(pieces, lambda piece: _decode_piece(piece, names)), "")
-        return F.when(F.contains(raw, F.lit("&")), decoded).otherwise(raw)
+        return F.array_join(F.transform(pieces, lambda piece: _decode_piece(piece, names)), "")
+
+    def decode(raw: Column) -> Column:
+        common = raw
+        for name, char in _COMMON:
+            common = F.replace(common, F.lit(name), F.lit(char))
+        return (
+            F.when(~F.contains(raw, F.lit("&")), raw)
+            .when(raw.rlike(_UNCOMMON), in_pieces(raw))
+            .otherwise(common)
+        )
 
     return let(text, decode)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
 from quillseek.functions import html as H
-from quillseek.functions.text import clean, format_title, is_blank
+from quillseek.functions.text import clean, decode_entities, format_title, is_blank
 from quillseek.functions.urls import is_local, stored_location
 from quillseek.operators.eligibility import early_reason, robots_blocked, scope_of
 from quillseek.operators.joins import latest
@@ -33,7 +33,15 @@ def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
     excerpts = [H.parse_field(t) for t in config.excerpt_tags]
     languages = [H.parse_field(t) for t in config.language_tags]
     body, page = F.col("body"), F.col("page")
-    title = (H.first_inner_html if config.preserve_title_html else H.first_text)(page, titles)
+    plain_title = F.lit(None).cast("string")
+    kept_title = H.first_inner_html(page, titles)
+    if not config.preserve_title_html:
+        plain_title, kept_title = H.first_matched(page, titles), None
+    # All texts in one array of arrays, so that decoding is one expression however many there are.
+    first = [plain_title, H.first_matched(page, excerpts), H.first_matched(page, languages)]
+    groups = F.array(F.array(*first), *[H.matched(page, d) for d in delimiters])
+    decoded = F.transform(groups, lambda group: F.transform(group, decode_entities))
+    texts = F.col("texts")
     return (
         pages.withColumn("early", reason)
         # Pages that are out already cost nothing more: every expression below is null on null.
@@ -49,11 +57,20 @@ def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
             H.robots_meta(body, "noindex").alias("noindex"),
             H.robots_meta(body, "nofollow").alias("nofollow"),
             H.links(body).alias("links"),
-            title.alias("raw_title"),
-            H.content_text(page, delimiters, config.separator).alias("raw_content"),
-            H.first_text(page, excerpts).alias("raw_excerpt"),
-            H.first_text(page, languages).alias("raw_language"),
+            decoded.alias("texts"),
+            *([] if kept_title is None else [kept_title.alias("raw_title")]),
+        )
+        .withColumns(
+            {
+                **({"raw_title": texts[0][0]} if kept_title is None else {}),
+                "raw_excerpt": texts[0][1],
+                "raw_language": texts[0][2],
+                "raw_content": H.join_content(
+                    [texts[i + 1] for i in range(len(delimiters))], config.separator
+                ),
+            }
         )
+        .drop("texts")
     )
 
 
@@ -66,7 +83,8 @@ def evaluate_pages(
     title = F.col("raw_title")
     if not config.preserve_title_html:
         title = format_title(title, config.title_limit, funcs)
-    fields = raw.select(
+    cleaned = F.transform(F.array("raw_content", "raw_excerpt"), lambda text: clean(text, funcs=funcs))
+    fields = raw.withColumn("cleaned", cleaned).select(
         "site",
         stored_location(F.col("path")).alias("location"),
         "path",
@@ -75,8 +93,8 @@ def evaluate_pages(
         "seq",
         scope_of(F.col("path"), config.scope_rules).alias("scope"),
         title.alias("title"),
-        clean(F.col("raw_content"), funcs=funcs).alias("content"),
-        clean(F.col("raw_excerpt"), funcs=funcs).alias("excerpt"),
+        F.col("cleaned")[0].alias("content"),
+        F.col("cleaned")[1].alias("excerpt"),
         clean(F.col("raw_language"), encode=True, funcs=funcs).alias("language"),
         "nofollow",
         "links",
@@ -113,8 +131,15 @@ def invalid_reason():
 
 
 def deciding(evaluated: DataFrame) -> DataFrame:
-    """The page that decides each location: the last one that is not skipped."""
-    return latest(evaluated.filter(F.col("outcome") != SKIPPED), KEYS, ["seq", "url"])
+    """The page that decides each location: the last one that is not skipped.
+
+    Skipped pages have no order instead of being filtered out: a filter would be pushed below the
+    extraction and compute it twice.
+    """
+    order = F.when(F.col("outcome") != SKIPPED, F.struct("seq", "url"))
+    return latest(evaluated.withColumn("order", order), KEYS, ["order"]).filter(
+        F.col("outcome").isNotNull()
+    ).drop("order")
 
 
 def index_records(

@@ -13,6 +13,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, spread over them.
+
+    Extraction is bound by the processor, and a small file is a single split. Large inputs have more
+    splits than cores and are left as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def page_rows(raw: DataFrame, config: SearchConfig, seq: str | None = None) -> DataFrame:
     """Rows with a site, a canonical path and an order.
 
