@@ -23,15 +23,17 @@ from quillseek.operators.extraction import (
     invalid_reason,
 )
 from quillseek.operators.joins import broadcast_if_small, latest
+from quillseek.session import cut_lineage
 
 
 def upsert(index: DataFrame, records: DataFrame, config: SearchConfig) -> DataFrame:
     """The index with the records put in, the highest ``seq`` per location winning.
 
-    Only the records are grouped. The index is filtered by an anti join on narrow keys, so its wide
-    rows move only if the records are too many to broadcast.
+    Only the records are grouped, and written down once because three joins read them. The index is
+    filtered by an anti join on narrow keys, so its wide rows move only if the records are too many to
+    broadcast.
     """
-    newest = latest(records, KEYS, ["seq"])
+    newest = cut_lineage(latest(records, KEYS, ["seq"]))
     arriving = newest.select(*KEYS, F.col("seq").alias("new_seq"))
     arriving = broadcast_if_small(arriving, config).alias("new")
     same = (F.col("old.site") == F.col("new.site")) & (F.col("old.location") == F.col("new.location"))
@@ -91,7 +93,7 @@ def reindex(
     """
     if not config.indexing_enabled:
         return index
-    changes = requested_changes(requested, pages, config, robots)
+    changes = cut_lineage(requested_changes(requested, pages, config, robots))
     # A re-read decides whatever the stored record's order is.
     replaced = index.join(
         broadcast_if_small(changes.select(*KEYS), config), KEYS, "left_anti"
@@ -134,7 +136,7 @@ def feed_changes(
     """
     if not config.indexing_enabled:
         feed = feed.filter(F.col("op") == "delete")
-    last = latest_changes(feed)
+    last = cut_lineage(latest_changes(feed))
     order = last.select(
         "site", stored_location(F.col("path")).alias("location"), F.col("seq").alias("feed_seq")
     )
@@ -170,6 +172,9 @@ def index_log(evaluated: DataFrame, index: DataFrame | None = None) -> DataFrame
     Answers with an error code and records that cannot be saved are errors, saved records are
     ``indexed``, and records the index held of pages that are now rejected are ``removed``.
     """
+    evaluated = cut_lineage(
+        evaluated.select(*KEYS, "seq", "url", "status", "outcome", "reason")
+    )
     error = (F.col("reason") == "http error") | F.col("reason").endswith("required")
     errors = evaluated.filter((F.col("outcome") == REJECTED) & error).select(
         *KEYS,
@@ -178,7 +183,7 @@ def index_log(evaluated: DataFrame, index: DataFrame | None = None) -> DataFrame
         .otherwise(F.col("reason"))
         .alias("message"),
     )
-    decided = deciding(evaluated.select(*KEYS, "seq", "url", "outcome"))
+    decided = deciding(evaluated)
     saved = decided.filter(F.col("outcome") == INDEXED).select(
         *KEYS, F.lit("indexed").alias("status"), F.lit("").alias("message")
     )

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.config import HOME, SearchConfig
+from quillseek.functions.urls import stored_location
 from quillseek.operators.crawl import crawl
 from quillseek.operators.extraction import INDEXED, RECORD, REJECTED, deciding, evaluate_pages
 from quillseek.operators.links import link_edges
 from quillseek.operators.maintenance import choose_source
+from quillseek.session import cut_lineage
 from quillseek.sources.index_store import rebuild
-from quillseek.functions.urls import stored_location
 
 
 def site_roots(pages: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def full_index(
     if config.index_method == "sitemap":
         chosen = choose_source(listed, none, config)
     else:
-        evaluated = evaluated.persist(StorageLevel.DISK_ONLY)
+        evaluated = cut_lineage(evaluated)
         reached = crawled_locations(evaluated, site_roots(pages), config)
         chosen = choose_source(
             listed, reached.select("site", F.col("location").alias("path")), config
