@@ -140,7 +140,7 @@ def _matches(html: Column, field: Field) -> Column:
 
 def _first_inner(html: Column, field: Field) -> Column:
     if field.nests:
-        return F.element_at(inner_html(html, field), 1)
+        return F.get(inner_html(html, field), F.lit(0))
     return F.regexp_extract(html, _element_pattern(field), 1)
 
 
