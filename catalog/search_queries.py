@@ -51,7 +51,7 @@ def _like_queries(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).select(
         "query_id",
         "site",
-        F.concat(F.lit("  "), F.upper(_word(1)), F.lit("  "), _word(2), F.lit(" ")).alias("q"),
+        F.concat(F.lit("  "), F.translate(_word(1), "aeinst", "AEINST"), F.lit("  "), _word(2), F.lit(" ")).alias("q"),
         F.lit("like").alias("mode"),
         (F.col("query_id") % 3).cast("int").alias("offset"),
     )
@@ -105,7 +105,7 @@ def _t(n: int) -> str:
     return f"coalesce(t[{n + 1}], 'zzzz')"
 
 
-_LIKE_Q = f"""lq AS (SELECT query_id, '  ' || upper({_w(1)}) || '  ' || {_w(2)} || ' ' AS raw, query_id % 3 AS off FROM asked),
+_LIKE_Q = f"""lq AS (SELECT query_id, '  ' || translate({_w(1)}, 'aeinst', 'AEINST') || '  ' || {_w(2)} || ' ' AS raw, query_id % 3 AS off FROM asked),
 q AS (SELECT query_id, off, regexp_replace(regexp_replace(lower(raw), '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g') AS q
   FROM lq WHERE strlen(raw) >= 3)"""
 

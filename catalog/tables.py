@@ -11,7 +11,7 @@ from quillseek.sources.pages import page_rows, spread
 SCOPES = (("french", "fr/{slug}"), ("pages", "{location}"), ("english", "en/{slug}"))
 PAGE_CONFIG = SearchConfig(delimiters=("<article>",), scope_rules=SCOPES)
 DOC_SITE = "https://docs.example"
-DOC_CONFIG = SearchConfig(limit=10)
+DOC_CONFIG = SearchConfig(limit=10, postings_buckets=8)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -186,7 +186,7 @@ def highlight(text: Column, phrase: Column, before: str, after: str) -> Column:
     """Every occurrence of the phrase, in any case, wrapped in the given marks."""
     marked = F.regexp_replace(
         text,
-        F.concat(F.lit("(?i)("), quote_pattern(phrase), F.lit(")")),
+        F.concat(F.lit("(?iu)("), quote_pattern(phrase), F.lit(")")),
         F.lit(f"{before}$1{after}"),
     )
     return F.when(F.coalesce(phrase, F.lit("")) == "", text).otherwise(marked)

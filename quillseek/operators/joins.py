@@ -1,10 +1,10 @@
-"""Join helpers: broadcasting behind a size check, and picking one row per key."""
+"""Small plan helpers: broadcasting behind a size check, one row per key, one row per element."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
@@ -34,6 +34,18 @@ def hinted(frame: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(frame) if small else frame
 
 
+def unnest(frame: DataFrame, keep: Sequence[str], array: Column, name: str = "item", pos: bool = False) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer filter on the array's size below everything else, which
+    computes an expensive array twice; the outer form with the filter after it does not.
+    """
+    if pos:
+        rows = frame.select(*keep, F.posexplode_outer(array).alias("pos", name))
+        return rows.filter(F.col("pos").isNotNull())
+    return frame.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def latest(frame: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the highest ``order`` per key.
 

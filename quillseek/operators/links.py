@@ -9,11 +9,12 @@ from quillseek.config import SearchConfig
 from quillseek.functions.urls import is_local, location_of, stored_location
 from quillseek.operators.eligibility import auto_ignored, excluded
 from quillseek.operators.extraction import REJECTED
+from quillseek.operators.joins import unnest
 
 
 def page_links(evaluated: DataFrame) -> DataFrame:
     """``(site, location, pos, href)`` of every followed link, in page order."""
-    return evaluated.select("site", "location", F.posexplode("links").alias("pos", "href"))
+    return unnest(evaluated, ["site", "location"], F.col("links"), "href", pos=True)
 
 
 def link_edges(evaluated: DataFrame, config: SearchConfig) -> DataFrame:

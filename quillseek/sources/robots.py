@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
 from quillseek.functions.robots import combined_regex, disallow_regex, disallowed
-from quillseek.operators.joins import latest
+from quillseek.operators.joins import latest, unnest
 
 
 def robots_rules(files: DataFrame, config: SearchConfig) -> DataFrame:
     """``(site, body)`` to one row per applying rule, in file order."""
-    rules = F.posexplode(disallowed(F.col("body"), config.user_agent)).alias("rule_no", "pattern")
-    return files.select("site", rules).withColumn("regex", disallow_regex(F.col("pattern")))
+    patterns = disallowed(F.col("body"), config.user_agent)
+    rules = unnest(files, ["site"], patterns, "pattern", pos=True).withColumnRenamed("pos", "rule_no")
+    return rules.withColumn("regex", disallow_regex(F.col("pattern")))
 
 
 def robots_by_site(files: DataFrame, config: SearchConfig, seq: str | None = None) -> DataFrame:

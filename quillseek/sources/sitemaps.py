@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillseek.config import HOME, SearchConfig
 from quillseek.functions.text import decode_entities
 from quillseek.functions.urls import absolute_url, location_of
+from quillseek.operators.joins import unnest
 
 _LOC = r"(?s)<loc(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</loc\s*>"
 
@@ -21,8 +22,8 @@ def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
 
 def sitemap_locations(files: DataFrame) -> DataFrame:
     """``(site, body)`` with a sitemap's text to ``(site, pos, loc)``: in file order, repeats kept."""
-    found = F.posexplode(F.regexp_extract_all("body", F.lit(_LOC), 1)).alias("pos", "loc")
-    return files.select("site", found).withColumn("loc", decode_entities(F.col("loc")))
+    found = F.regexp_extract_all("body", F.lit(_LOC), 1)
+    return unnest(files, ["site"], found, "loc", pos=True).withColumn("loc", decode_entities(F.col("loc")))
 
 
 def sitemap_paths(locations: DataFrame, config: SearchConfig) -> DataFrame:
