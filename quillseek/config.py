@@ -57,6 +57,8 @@ class SearchConfig:
     # Physical limits: above them the plan changes, the result does not.
     max_broadcast_rows: int = 1_000_000
     max_broadcast_bytes: int = 256 * 1024 * 1024
+    hot_rows: int = 1_000_000  # rows of one join key above which they are joined apart
+    salts: int = 32
     max_inline_searches: int = 256
     max_inline_bytes: int = 64 * 1024
     postings_buckets: int = 64

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillseek.config import SearchConfig
+from quillseek.operators.joins import split_join
 from quillseek.session import cut_lineage
 
 _COMPACT_EVERY = 8
 
 
-def crawl(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 0) -> DataFrame:
+def crawl(
+    edges: DataFrame,
+    nodes: DataFrame,
+    roots: DataFrame,
+    depth: int = 0,
+    config: SearchConfig = SearchConfig(),
+) -> DataFrame:
     """``(site, location, depth)`` of the pages reached from the roots.
 
     ``nodes`` are the pages that can be visited and ``edges`` the links that are followed. With
@@ -19,12 +27,13 @@ def crawl(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 0)
     and all sites advance together.
     """
     nodes = nodes.select("site", "location").distinct()
-    # Links that lead nowhere are dropped once, and what is left is laid out by source.
-    hops = cut_lineage(
-        edges.select("site", "src", "dst")
-        .join(nodes.withColumnRenamed("location", "dst"), ["site", "dst"], "left_semi")
-        .repartition("site", "src")
+    # Links that lead nowhere are dropped once, and what is left is laid out by source. Every page of a
+    # site may link to its home page, so popular targets are joined apart.
+    targets = nodes.withColumnRenamed("location", "dst")
+    linked = split_join(
+        edges.select("site", "src", "dst"), targets, ["site", "dst"], "left_semi", config
     )
+    hops = cut_lineage(linked.repartition("site", "src"))
     frontier = cut_lineage(
         roots.select("site", "location")
         .distinct()

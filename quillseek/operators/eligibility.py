@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillseek.config import AUTO_IGNORE, DEFAULT_SCOPE, SearchConfig
 from quillseek.functions.urls import is_local
-from quillseek.operators.joins import broadcast_if_small
+from quillseek.operators.joins import split_join
 
 
 def auto_ignored(location: Column) -> Column:
@@ -56,9 +56,10 @@ def robots_blocked(
     """Adds ``blocked``. ``robots`` holds one combined pattern per site, so the join adds no rows."""
     if robots is None or config.ignore_robots:
         return pages.withColumn("blocked", F.lit(False))
-    rules = broadcast_if_small(robots.select("site", F.col("regex").alias("robots_regex")), config)
+    rules = robots.select("site", F.col("regex").alias("robots_regex"))
     hit = F.coalesce(F.rlike(F.col(location), F.col("robots_regex")), F.lit(False))
-    return pages.join(rules, "site", "left").withColumn("blocked", hit).drop("robots_regex")
+    joined = split_join(pages, rules, ["site"], "left", config)
+    return joined.withColumn("blocked", hit).drop("robots_regex")
 
 
 def indexable(pages: DataFrame, robots: DataFrame | None, config: SearchConfig) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
+from quillseek.session import cut_lineage
 
 
 def is_small(frame: DataFrame, config: SearchConfig) -> bool:
@@ -24,8 +25,8 @@ def is_small(frame: DataFrame, config: SearchConfig) -> bool:
 
 
 def broadcast_if_small(frame: DataFrame, config: SearchConfig) -> DataFrame:
-    """A broadcast hint when the size check allows it; otherwise the join shuffles both sides and
-    adaptive execution splits its skewed partitions."""
+    """A broadcast hint when the size check allows it; otherwise the join shuffles both sides. For keys
+    that are unique on the other side, or nearly so."""
     return F.broadcast(frame) if is_small(frame, config) else frame
 
 
@@ -34,6 +35,35 @@ def hinted(frame: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(frame) if small else frame
 
 
+def split_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, config: SearchConfig,
+    small: bool | None = None,
+) -> DataFrame:
+    """``left.join(right, keys, how)`` for a left side in which a few keys may hold most rows.
+
+    A small right side is broadcast. Otherwise left keys are counted, which is combined map-side, and
+    rows of hot keys never meet in one task: there are at most ``rows / hot_rows`` such keys, so their
+    right rows are few and are broadcast, or spread over salts should even those be too many. All other
+    rows are joined by a shuffle in which no key is large. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if is_small(right, config) if small is None else small:
+        return left.join(F.broadcast(right), keys, how)
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    hot = cut_lineage(counted.filter(F.col("rows") > config.hot_rows).select(*keys))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = hinted(hot, is_small(hot, config))
+    cold = left.join(hot, keys, "left_anti").join(right, keys, how)
+    apart = left.join(hot, keys, "left_semi")
+    wanted = cut_lineage(right.join(hot, keys, "left_semi"))
+    if is_small(wanted, config):
+        return cold.unionByName(apart.join(F.broadcast(wanted), keys, how))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(config.salts)).cast("int")
+    copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))))
+    salted = apart.withColumn("salt", salt).join(copies, [*keys, "salt"], how).drop("salt")
+    return cold.unionByName(salted)
+
+
 def unnest(frame: DataFrame, keep: Sequence[str], array: Column, name: str = "item", pos: bool = False) -> DataFrame:
     """One row per array element.
 

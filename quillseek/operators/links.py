@@ -9,7 +9,7 @@ from quillseek.config import SearchConfig
 from quillseek.functions.urls import is_local, location_of, stored_location
 from quillseek.operators.eligibility import auto_ignored, excluded
 from quillseek.operators.extraction import REJECTED
-from quillseek.operators.joins import unnest
+from quillseek.operators.joins import split_join, unnest
 
 
 def page_links(evaluated: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def broken_links(edges: DataFrame, pages: DataFrame, config: SearchConfig) -> Da
     """Local targets that were not fetched or answered with an error, with the page they are on.
 
     ``pages`` holds ``(site, location, status)``. The page side is one row per location after a
-    partial aggregate, and a target of very many links is split by the skew join.
+    partial aggregate, and a target of very many links is joined apart.
     """
     wanted = edges.filter(
         is_local(F.col("dst"), F.col("site"))
@@ -47,7 +47,7 @@ def broken_links(edges: DataFrame, pages: DataFrame, config: SearchConfig) -> Da
         F.min(F.coalesce(F.col("status"), F.lit(200))).alias("status")
     )
     return (
-        wanted.join(answers, ["site", "dst"], "left")
+        split_join(wanted, answers, ["site", "dst"], "left", config)
         .filter(F.col("status").isNull() | (F.col("status") >= 400))
         .select("site", F.col("dst").alias("location"), F.col("src").alias("found_on"), "status")
     )

@@ -22,7 +22,7 @@ from quillseek.operators.extraction import (
     evaluate_pages,
     invalid_reason,
 )
-from quillseek.operators.joins import broadcast_if_small, latest
+from quillseek.operators.joins import broadcast_if_small, latest, split_join
 from quillseek.session import cut_lineage
 
 
@@ -161,8 +161,8 @@ def choose_source(
         return listed.select("site", "path").distinct()
     if config.index_method == "crawl":
         return crawled.select("site", "path").distinct()
-    with_sitemap = broadcast_if_small(listed.select("site").distinct(), config)
-    rest = crawled.select("site", "path").join(with_sitemap, "site", "left_anti")
+    with_sitemap = listed.select("site").distinct()
+    rest = split_join(crawled.select("site", "path"), with_sitemap, ["site"], "left_anti", config)
     return listed.select("site", "path").unionByName(rest).distinct()
 
 

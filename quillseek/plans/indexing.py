@@ -22,7 +22,7 @@ def site_roots(pages: DataFrame) -> DataFrame:
 def crawled_locations(evaluated: DataFrame, roots: DataFrame, config: SearchConfig) -> DataFrame:
     """``(site, location, depth)`` reached by following links from the roots."""
     nodes = evaluated.filter(F.col("outcome") != REJECTED).select("site", "location")
-    return crawl(link_edges(evaluated, config), nodes, roots, config.depth)
+    return crawl(link_edges(evaluated, config), nodes, roots, config.depth, config)
 
 
 def full_index(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
-from quillseek.operators.joins import broadcast_if_small, is_small, latest
+from quillseek.operators.joins import broadcast_if_small, is_small, latest, split_join
 from quillseek.operators.links import broken_links
 from quillseek.operators.maintenance import index_listing, upsert
 from quillseek.operators.postings import postings, write_postings
@@ -70,36 +70,52 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     assert plan.index("partial_max_by") > plan.index("Exchange")
 
 
-def test_hot_target_is_split(spark):
-    """A third of all links go to one missing page; its partition is split and every link reported."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        edges = spark.range(90000).repartition(8).select(
-            F.lit(S).alias("site"),
-            F.concat(F.lit("src/"), F.sha2(F.col("id").cast("string"), 256)).alias("src"),
-            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p/"), F.col("id"))).alias("dst"),
-        )
-        fetched = spark.range(90000).select(
-            F.lit(S).alias("site"), F.concat(F.lit("p/"), F.col("id")).alias("location"), F.lit(200).alias("status")
-        )
-        broken = broken_links(edges, fetched, CONFIG)
-        assert broken.count() == 30000
-        counted = broken.groupBy().agg(F.count(F.lit(1)).alias("n"))
-        counted.collect()
-        assert "skew=true" in plan_of(counted)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+HOT = replace(CONFIG, max_broadcast_rows=100, hot_rows=500, salts=4)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot_copies", [1, 300])
+def test_split_join_equals_join(spark, how, hot_copies):
+    """Keys of a third of all rows, with few or with too many rows on the other side to broadcast."""
+    left = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "gone").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"),
+        F.col("id").alias("n"),
+    )
+    right = spark.range(3000).filter("id % 2 = 0").select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("m"))
+    right = right.unionByName(spark.range(hot_copies).select(F.lit("hot").alias("key"), F.col("id").alias("m")))
+    joined = split_join(left, right, ["key"], how, HOT)
+    assert "Union" in plan_of(joined)
+    plain = left.join(right, ["key"], how)
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_hot_rows_do_not_meet(spark):
+    """A third of all links go to one missing page: no shuffle partition of the result is large."""
+    edges = spark.range(9000).select(
+        F.lit(S).alias("site"),
+        F.concat(F.lit("src/"), F.col("id")).alias("src"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p/"), F.col("id"))).alias("dst"),
+    )
+    fetched = spark.range(9000).select(
+        F.lit(S).alias("site"), F.concat(F.lit("p/"), F.col("id")).alias("location"), F.lit(200).alias("status")
+    )
+    broken = broken_links(edges, fetched, HOT)
+    sizes = [r.rows for r in broken.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("rows")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 600
+
+
+def test_jobs_agree_on_either_side_of_the_limits(spark, stored):
+    queries = spark.range(40).select(
+        F.col("id").cast("int").alias("query_id"),
+        F.lit(S).alias("site"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("common number"), F.col("id"))).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("q"),
+        F.when(F.col("id") % 4 == 0, "match").when(F.col("id") % 4 == 2, "match boolean").otherwise("like").alias("mode"),
+    )
+    index = SearchIndex(stored.filter("seq < 900"))
+    tight = replace(HOT, max_inline_searches=0, max_broadcast_rows=20)
+    mine, theirs = (search(index, queries, c) for c in (replace(CONFIG, limit=30), replace(tight, limit=30)))
+    assert mine.count() > 300
+    assert mine.exceptAll(theirs).isEmpty() and theirs.exceptAll(mine).isEmpty()
 
 
 def test_broadcast_is_checked(spark):
