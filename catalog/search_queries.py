@@ -249,7 +249,9 @@ def search_stored_postings(spark: SparkSession, folder: str) -> DataFrame:
     write_postings(postings(records, DOC_CONFIG), f"{path}/rows", DOC_CONFIG)
     stored = spark.read.parquet(f"{path}/rows")
     term_counts(stored).write.parquet(f"{path}/counts")
-    index = SearchIndex(records, stored, spark.read.parquet(f"{path}/counts"), site_sizes(records))
+    site_sizes(records).write.parquet(f"{path}/sizes")
+    counts, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "sizes"))
+    index = SearchIndex(records, stored, counts, sizes)
     return search(index, _boolean_queries(spark, folder), DOC_CONFIG)
 
 
