@@ -32,6 +32,11 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns to keep beside a result's own ``names``, which replace columns called alike."""
+    return [name for name in docs.columns if name.lower() not in names]
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)).cast("int")

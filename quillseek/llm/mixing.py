@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillseek.llm.common import LIMITS, WORD, stored
+from quillseek.llm.common import LIMITS, WORD, others, stored
 from quillseek.operators.joins import broadcast_if_small, split_join
 
 _PROBES = 32  # exponents tried in one pass over the sources
@@ -156,7 +156,8 @@ def mix(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     A source is read in whole permutations and a part of one more, so that its tokens meet its weight's
     share of the budget to within one document. Text never moves: only block counts are shuffled. Null
     is a source of its own; sources without tokens are read once; an empty table gives an empty result.
-    Identical rows share a position and are taken together. Other columns are kept.
+    Identical rows share a position and are taken together. Other columns are kept, unless they
+    are called like a new one.
     """
     placed = docs.select(
         "*",
@@ -174,7 +175,7 @@ def mix(docs: DataFrame, config: MixingConfig = MixingConfig()) -> DataFrame:
     once_more = F.shiftrightunsigned("__position", 63 - _DIGIT * _LEVELS) < F.col("__cut")
     copies = F.coalesce(F.col("__epochs"), F.lit(1)) + F.when(once_more, 1).otherwise(0)
     return joined.withColumn("__copies", copies).filter("__copies > 0").select(
-        *docs.columns,
+        *others(docs, "epoch", "position", "tokens", "weight"),
         F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("epoch"),
         F.col("__position").alias("position"),
         F.col("__tokens").alias("tokens"),

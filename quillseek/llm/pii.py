@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillseek.llm.common import others
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The base formats. A match that fails its test is dropped and not tried again.
@@ -296,13 +298,13 @@ def redacted(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
     ``spans`` lists ``kind:start:end`` in code points, end exclusive. The base formats always stay; trees
     add spans that overlap none of them. ``redacted`` is the text with every span replaced by its kind,
     overlapping spans as one. A null or empty text has no spans; repeated rows are alike; an empty table
-    gives an empty result. Texts are read whole, whatever their length.
+    gives an empty result. Columns called like a new one are replaced. Texts are read whole, whatever their length.
     """
     models = fit(docs, config)
     found = docs.withColumn("__found", personal_data(F.col("text"), models, config.sure))
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     return found.select(
-        *docs.columns,
+        *others(docs, *names, "redacted"),
         *(F.col(f"__found.{name}").alias(name) for name in names),
         F.coalesce("__found.redacted", "text").alias("redacted"),
     )

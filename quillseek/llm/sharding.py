@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillseek.llm.common import LIMITS, stored
+from quillseek.llm.common import LIMITS, others, stored
 from quillseek.operators.joins import broadcast_if_small
 
 _BITS = 62  # of a key: 38 of the text's hash, 24 of the id's
@@ -28,10 +28,10 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def sort_key() -> Column:
+def sort_key(doc_id: Column, text: Column) -> Column:
     """Equal texts lie together, parted by their ids: a boundary can go through a large group of copies."""
-    text = F.shiftrightunsigned(F.xxhash64("text"), 26)
-    return F.shiftleft(text, 24).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 24) - 1)))
+    high = F.shiftrightunsigned(F.xxhash64(text), 26)
+    return F.shiftleft(high, 24).bitwiseOR(F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 @dataclass
@@ -90,15 +90,18 @@ def splitters(sized: DataFrame, config: ShardConfig) -> tuple[list[int], int]:
     return sorted(d for d in done if d is not None), total
 
 
-def shard(docs: DataFrame, config: ShardConfig = ShardConfig()) -> DataFrame:
+def shard(docs: DataFrame, config: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of the documents, with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Shards have near equal bytes; identical rows share a key and stay together. Only sizes and keys are
     read to find the splitters. Then rows move once, to pieces of a shard of bounded size, and are sorted
     there; a piece's first slot comes from the counts of the pieces before it. Null texts count one byte;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Columns called like a new one are replaced. ``doc_id`` and ``text``
+    may name fields of a struct.
     """
-    placed = docs.select("*", size_of(F.col("text")).alias("size"), sort_key().alias("__key"))
+    kept = others(docs, "size", "shard", "slot")
+    key = sort_key(F.col(doc_id), F.col(text))
+    placed = docs.select(*kept, size_of(F.col(text)).alias("size"), key.alias("__key"))
     sized = stored(placed.select("size", F.col("__key").alias("key")), "shard-sizes")
     starts, total = splitters(sized, config)
     pieces = max(1, -(-total // (config.shards * config.piece_bytes)))
@@ -116,8 +119,8 @@ def shard(docs: DataFrame, config: ShardConfig = ShardConfig()) -> DataFrame:
     first = broadcast_if_small(stored(first, "shard-slots"), LIMITS)  # a row for each piece
     at, piece = located("__key")
     moved = placed.withColumn("shard", at).withColumn("__piece", piece)
-    within = Window.partitionBy("shard", "__piece").orderBy("__key", "doc_id")
+    within = Window.partitionBy("shard", "__piece").orderBy("__key", doc_id)
     ranked = moved.withColumn("__rank", F.row_number().over(within))
     return ranked.join(first, ["shard", "__piece"]).select(
-        *docs.columns, "size", "shard", (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot")
+        *kept, "size", "shard", (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot")
     )

@@ -12,6 +12,8 @@ def coded_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np
 
     Words are parted by ASCII white space; lower-casing changes A-Z only. Null texts have no words.
     """
+    if len(texts) == 0:
+        return [], np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillseek.llm.common import fold
+from quillseek.llm.common import fold, others
 from quillseek.llm.tokens import coded_words
 
 _TABLE = 1 << 18  # hashed feature weights
@@ -263,12 +263,12 @@ def scored_documents(docs: DataFrame, labels: DataFrame, config: ToxicityConfig
     The score is calibrated on the field's marginals: the highest of any word, the expected number of
     toxic words, and the length. Null and empty texts have no words and get a score as well; without
     labels of both classes every score is the same. Repeated rows score alike; an empty table gives an
-    empty result. A null id is not held out.
+    empty result. A null id is not held out. Columns called like a new one are replaced.
     """
     model = fit(docs, labels, config)
     found = docs.withColumn("__toxicity", toxicity(F.col("text"), model))
     return found.select(
-        *docs.columns,
+        *others(docs, "held_out", "score", "predicted", "spans"),
         F.coalesce(fold(F.col("doc_id"), config.modulus) == config.held_out, F.lit(False)).alias("held_out"),
         F.col("__toxicity.score").alias("score"),
         F.when(F.col("__toxicity.score") >= 0.5, 1).otherwise(0).alias("predicted"),
