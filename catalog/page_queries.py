@@ -80,20 +80,20 @@ def title_format(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("seq", format_title(raw, 40).alias("title"))
 
 
-# The article inside two layers of div, with an unrelated one before it: the text of the outer
-# container is known from how it was put together.
+# All articles inside two layers of div, beside many small ones, with an unrelated one before: the text
+# of the outer container is known from how it was put together.
 @query(
-    f"""WITH a AS (SELECT page_id AS seq, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS art FROM pages)
-    SELECT seq, {sql_strip("art")} || 'tail' || {sql_strip("art")} AS content FROM a"""
+    f"""WITH a AS (SELECT page_id AS seq, array_to_string(regexp_extract_all(html, '(?is)<article>(.*?)</article>', 1), '') AS art FROM pages)
+    SELECT seq, {sql_strip("art")} || 'tail' || repeat('x', 400) || {sql_strip("art")} AS content FROM a"""
 )
 def nested_container(spark: SparkSession, folder: str) -> DataFrame:
-    article = F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1)
+    article = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<article>(.*?)</article>"), 1), "")
     raw = table(spark, folder, "pages").select(
         F.col("page_id").alias("seq"),
         F.concat(
             F.lit('<body><div class="ad">no</div><div class=x id="main"><div>'),
             article,
-            F.lit("</div>tail<div><DIV>"),
+            F.lit("</div>tail" + "<div>x</div>" * 400 + "<div><DIV>"),
             article,
             F.lit("</DIV></div></div><div>no</div></body>"),
         ).alias("html"),
@@ -103,6 +103,19 @@ def nested_container(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("seq", F.array_join(text, "|").alias("content"))
 
 
+# Paragraphs of pages whose closing tags are taken away; the SQL cuts the pages as they are given.
+@query(
+    f"""WITH a AS (SELECT page_id AS seq, unnest(regexp_split_to_array(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<p>')[2:]) AS part FROM pages),
+    b AS (SELECT seq, regexp_extract(part, '(?is)^(.*?)(?:</p>|</article>|<pre|<table|<ul|$)', 1) AS part FROM a)
+    SELECT seq, {sql_strip("part")} AS content, count(*) AS times FROM b GROUP BY ALL"""
+)
+def open_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    bare = F.regexp_replace(H.strip_scripts(F.col("html")), "</p>", "")
+    texts = H.matched(bare, H.parse_field("<p>"))
+    rows = table(spark, folder, "pages").select(F.col("page_id").alias("seq"), F.explode(texts).alias("content"))
+    return rows.groupBy("seq", "content").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(f"SELECT page_id AS seq, {sql_blanks(sql_strip('html'))} AS text FROM pages")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     from quillseek.functions.text import strip_markup

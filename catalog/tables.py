@@ -109,6 +109,14 @@ def sql_first(page: str, *tags: str) -> str:
     return f"(CASE {cases} END)"
 
 
+def sql_paragraph(page: str) -> str:
+    """The first paragraph: what follows its tag, cut where another block begins or one around it ends."""
+    rest = f"regexp_extract({page}, '(?is)<p(?:\\s[^>]*)?>(.*)$', 1)"
+    blocks = "p|div|ul|ol|li|dl|table|pre|form|h[1-6]|hr|article|aside|section|header|footer|nav|main|body|html"
+    cut = f"regexp_replace({rest}, '(?is)</?(?:{blocks})[\\s>/].*$', '')"
+    return f"(CASE WHEN {sql_has(page, 'p')} THEN {sql_decode(sql_strip(cut))} END)"
+
+
 PAGE_ROWS_SQL = """
 page_sites AS (
   SELECT page_id, split_part(url, '#', 1) AS url, html,
@@ -151,7 +159,7 @@ def records_sql(rows: str = "page_rows", name: str = "records") -> str:
 {name}_raw AS (
   SELECT page_id, url, site, location, {SCOPE_SQL} AS scope,
          {sql_first('page', 'title', 'h1')} AS raw_title, {article} AS raw_content,
-         {sql_first('page', 'p')} AS raw_excerpt,
+         {sql_paragraph('page')} AS raw_excerpt,
          regexp_extract(page, '(?is)<html[^>]*?\\slang\\s*=\\s*"([^"]*)"', 1) AS raw_language
   FROM {name}_body
   WHERE path NOT IN ('sitemap.xml', 'robots.txt', 'search')),

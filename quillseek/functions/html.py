@@ -3,7 +3,8 @@
 A field is named by a tag (``h1``), a node string (``<div id="main">``) or a short path
 (``//meta[@name="keywords"]/@content``). Tags that cannot contain themselves are read with one
 regular expression. Containers that can (``div``, ``article``) are read the same way, and only on rows
-where the first closing tag is not the right one are the page's tags of that name counted.
+where the first closing tag is not the right one are the page's tags of that name counted, in one pass.
+Elements whose end tag may be left out end where the next one or the element around them does.
 """
 
 from __future__ import annotations
@@ -15,10 +16,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillseek.functions.text import decode_entities, is_blank, strip_markup
+from quillseek.functions.text import decode_entities, is_blank, let, strip_markup
 
 # Elements that HTML closes before another of the same name may start.
-FLAT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "option", "button", "head", "body", "html", "main")
+FLAT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "button", "head", "body", "html", "main")
+
+# Elements whose end tag may be left out, with the tags that then end them and the elements
+# around them; and the tags that end a paragraph.
+_OPTIONAL_END = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "thead", "tbody", "tfoot"), ("table",)),
+    "td": (("td", "th", "tr", "thead", "tbody", "tfoot"), ("table",)),
+    "th": (("td", "th", "tr", "thead", "tbody", "tfoot"), ("table",)),
+    "option": (("option", "optgroup"), ("select",)),
+}
+_PARAGRAPH_END = (
+    r"(?=<(?:address|article|aside|blockquote|center|details|dialog|dir|div|dl|fieldset|figcaption|figure|footer|form|h[1-6]"
+    r"|header|hgroup|hr|main|menu|nav|ol|p|pre|search|section|table|ul|li|dt|dd|td|th|tr)[\s>/])"
+    r"|(?=</(?:address|article|aside|blockquote|body|center|details|dialog|div|dl|fieldset|figcaption|figure|footer|form"
+    r"|header|hgroup|html|main|menu|nav|ol|pre|search|section|table|ul|li|dt|dd|td|th|tr)[\s>])"
+)
 
 _SCRIPT = r"(?is)<script\b.*?</script\s*>"
 _COMMENT = r"(?s)<!--.*?-->"
@@ -84,39 +103,107 @@ def _unquote(value: Column) -> Column:
 
 
 def _element_pattern(field: Field) -> str:
-    return r"(?is)%s(.*?)(?:</%s\s*>|\z)" % (field.opening, re.escape(field.tag))
+    ends = r"</%s\s*>" % re.escape(field.tag)
+    if field.tag.lower() == "p":
+        ends += "|" + _PARAGRAPH_END
+    return r"(?is)%s(.*?)(?:%s|\z)" % (field.opening, ends)
+
+
+# Kinds of a page's tags when containers are read.
+_OTHER, _WANTED, _ENTER, _LEAVE, _NEXT, _END = range(6)
+_RUN = 128  # tags read before the containers found in them join those found before
+
+
+def _kind(piece: Column, field: Field) -> Column:
+    """What a tag means for the elements the field names."""
+    tag = field.tag.lower()
+    siblings, scopes = _OPTIONAL_END.get(tag, ((), (tag,)))
+    named = lambda names: "|".join(re.escape(name) for name in names)
+    kind = F.when(piece.rlike("(?is)^" + field.opening), _WANTED)
+    if siblings:
+        kind = kind.when(piece.rlike(r"(?i)^<(?:%s)[\s>/]" % named(siblings)), _NEXT)
+        kind = kind.when(piece.rlike(r"(?i)^</%s[\s>/]" % re.escape(tag)), _END)
+    kind = kind.when(piece.rlike(r"(?i)^<(?:%s)[\s>/]" % named(scopes)), _ENTER)
+    return kind.when(piece.rlike(r"(?i)^</(?:%s)[\s>/]" % named(scopes)), _LEAVE).otherwise(_OTHER)
 
 
 def _containers(html: Column, field: Field) -> Column:
-    """Inner HTML of every matching container, found by counting its opening and closing tags."""
-    tag = re.escape(field.tag)
-    pieces = F.split(html, r"(?i)(?=</?%s[\s>/])" % tag)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(pieces)),
-        lambda i: F.element_at(pieces, i).rlike("(?is)^" + field.opening),
-    )
+    """Inner HTML of every matching element, found in one pass over its tags.
+
+    ``depth`` counts open scopes: elements of the same name, or those around elements whose end tag may
+    be left out (lists for ``li``). An open wanted element is remembered with the depth at which it ends.
+    """
+    tag = field.tag.lower()
+    siblings, scopes = _OPTIONAL_END.get(tag, ((), (tag,)))
+    names = "|".join(re.escape(name) for name in dict.fromkeys((tag, *siblings, *scopes)))
+    spans = "array<struct<start:int,depth:int>>"
+    done = "array<struct<start:int,end:int>>"
+    # A scope of its own name is entered by a wanted element as by any other.
+    own_scope = tag in scopes
+
+    def step(state: Column, tag_: Column) -> Column:
+        depth, open_ = state["depth"], state["open"]
+        entering = (tag_["kind"] == _ENTER) | ((tag_["kind"] == _WANTED) & F.lit(own_scope))
+        after = depth + F.when(entering, 1).when(tag_["kind"] == _LEAVE, -1).otherwise(0)
+        if own_scope:
+            ends = lambda o: (tag_["kind"] == _LEAVE) & (o["depth"] > after)
+        else:
+            ends = lambda o: (
+                ((tag_["kind"] == _LEAVE) & (o["depth"] > after))
+                | (tag_["kind"].isin(_WANTED, _NEXT, _END) & (o["depth"] == depth))
+            )
+        closing = tag_["kind"] != _ENTER
+        kept = F.when(closing, F.filter(open_, lambda o: ~ends(o))).otherwise(open_)
+        started = F.array(F.struct(tag_["at"].alias("start"), after.alias("depth")))
+        ended = F.transform(F.filter(open_, ends), lambda o: F.struct(o["start"].alias("start"), tag_["at"].alias("end")))
+        return F.struct(
+            after.alias("depth"),
+            F.when(tag_["kind"] == _WANTED, F.concat(kept, started)).otherwise(kept).alias("open"),
+            F.when(closing & F.exists(open_, ends), F.concat(state["done"], ended)).otherwise(state["done"]).alias("done"),
+        )
 
-    def step(state: Column, piece: Column) -> Column:
-        change = F.when(piece.rlike("^</"), -1).otherwise(1)
-        return F.when(state.depth == 0, state).otherwise(
-            F.struct((state.depth + change).alias("depth"), (state.length + F.when(state.depth + change == 0, 0).otherwise(1)).alias("length"))
+    def run(state: Column, tags: Column) -> Column:
+        start = F.struct(state["depth"].alias("depth"), state["open"].alias("open"), F.array().cast(done).alias("done"))
+        return let(
+            F.aggregate(tags, start, step),
+            lambda now: F.struct(
+                now["depth"].alias("depth"), now["open"].alias("open"), F.concat(state["done"], now["done"]).alias("done")
+            ),
         )
 
-    def inner(start: Column) -> Column:
-        after = F.slice(pieces, start + 1, F.size(pieces))
-        length = F.aggregate(
-            after,
-            F.struct(F.lit(1).alias("depth"), F.lit(1).alias("length")),
-            step,
-            lambda state: state.length,
+    def found(pieces: Column) -> Column:
+        tags = F.filter(
+            F.transform(pieces, lambda piece, i: F.struct(i.alias("at"), _kind(piece, field).alias("kind"))),
+            lambda t: t["kind"] != _OTHER,
         )
-        return F.regexp_replace(F.array_join(F.slice(pieces, start, length), ""), "^<[^>]*>", "")
+        zero = F.struct(F.lit(0).alias("depth"), F.array().cast(spans).alias("open"), F.array().cast(done).alias("done"))
+
+        def walk(tags: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(tags) + 1, F.lit(_RUN)), lambda i: i <= F.size(tags))
+            end = F.aggregate(F.transform(starts, lambda i: F.slice(tags, i, _RUN)), zero, run)
+            return let(
+                end,
+                lambda state: F.array_sort(
+                    F.concat(
+                        state["done"],
+                        F.transform(state["open"], lambda o: F.struct(o["start"].alias("start"), F.size(pieces).alias("end"))),
+                    )
+                ),
+            )
+
+        def inner(span: Column) -> Column:
+            body = F.array_join(F.slice(pieces, span["start"] + 1, span["end"] - span["start"]), "")
+            return F.regexp_replace(body, "^<[^>]*>", "")
+
+        return F.transform(let(tags, walk), inner)
 
-    return F.transform(starts, inner)
+    return let(F.split(html, r"(?i)(?=</?(?:%s)[\s>/])" % names), found)
 
 
 def inner_html(html: Column, field: Field) -> Column:
     """Inner HTML of every element the field names, in page order."""
+    if field.tag.lower() in _OPTIONAL_END:
+        return _containers(html, field)
     flat = F.regexp_extract_all(html, F.lit(_element_pattern(field)), 1)
     if not field.nests:
         return flat
@@ -190,7 +277,7 @@ def robots_meta(html: Column, word: str) -> Column:
 def links(html: Column) -> Column:
     """Quoted link targets cut at ``#``; links whose ``rel`` holds ``nofollow`` are left out.
 
-    As in the searched pages' own tools, any tag whose name starts with ``a`` counts.
+    Any tag whose name starts with ``a`` and that has a quoted ``href`` counts, ``area`` included.
     """
     pattern = r"""(?is)<a[^>]*?href=(?:"[^"]*"|'[^']*')[^>]*>"""
     tags = F.regexp_extract_all(html, F.lit(pattern), 0)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 ELLIPSIS = "…"
 
-_ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = r"^&(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # The references almost all pages use, with the ampersand last.
 _COMMON = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-_UNCOMMON = r"&(?!(?:%s);)(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);" % "|".join(
+_UNCOMMON = r"&(?!(?:%s);)(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);" % "|".join(
     name.strip("&;") for name, _ in _COMMON
 )
 _NAMES = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
@@ -55,7 +55,7 @@ def _code_point(hex_digits: Column) -> Column:
 
 
 def _decode_piece(piece: Column, names: Column) -> Column:
-    body = F.regexp_extract(piece, _ENTITY, 1)
+    body = F.regexp_replace(F.regexp_extract(piece, _ENTITY, 1), r"^#([xX]?)0+(?=[0-9a-fA-F])", "#$1")
     hexed = F.when(body.rlike("^#[xX]"), F.upper(F.substring(body, 3, 8))).otherwise(
         F.conv(F.substring(body, 2, 8), 10, 16)
     )
