@@ -29,20 +29,17 @@ def query(name: str, sql: str):
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark passages as ``(query_id, site, words, tokens)``: words by blanks, tokens searchable."""
+    """Whole benchmark passages as ``(query_id, site, text, words, t)``: words by blanks, tokens searchable."""
     text = F.col("text")
     return table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.lit(DOC_SITE).alias("site"),
+        "text",
         F.split(F.btrim(text), r"\s+").alias("words"),
         index_tokens(text, 4, 84).alias("t"),
     )
 
 
-def _word(n: int):
-    return F.coalesce(F.get("words", F.lit(n)), F.lit(""))
-
-
 def _token(n: int):
     return F.coalesce(F.get("t", F.lit(n)), F.lit("zzzz"))
 
@@ -51,7 +48,7 @@ def _like_queries(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).select(
         "query_id",
         "site",
-        F.concat(F.lit("  "), F.translate(_word(1), "aeinst", "AEINST"), F.lit("  "), _word(2), F.lit(" ")).alias("q"),
+        F.concat(F.lit("  "), F.translate("text", "aeinst", "AEINST"), F.lit(" ")).alias("q"),
         F.lit("like").alias("mode"),
         (F.col("query_id") % 3).cast("int").alias("offset"),
     )
@@ -61,8 +58,8 @@ def _wildcard_queries(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).select(
         "query_id",
         "site",
-        F.when(F.col("query_id") % 2 == 0, F.concat(_word(1), F.lit("%"), _word(4)))
-        .otherwise(F.concat(F.substring(_word(1), 1, 2), F.lit("_"), F.substring(_token(0), 2, 3)))
+        F.when(F.col("query_id") % 2 == 0, F.regexp_replace("text", r"^(\S+)\s", "$1%"))
+        .otherwise(F.regexp_replace("text", r"^(.).", "$1_"))
         .alias("q"),
         F.lit("like").alias("mode"),
     )
@@ -72,7 +69,7 @@ def _natural_queries(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).select(
         "query_id",
         "site",
-        F.array_join(F.slice("words", 1, 8), "  ").alias("q"),
+        F.array_join("words", "  ").alias("q"),
         F.lit("match").alias("mode"),
         F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("")), (F.col("query_id") % 4 + 1).cast("int")).alias("wanted"),
     )
@@ -82,36 +79,32 @@ def _boolean_queries(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("query_id") % 4
     prefix = F.substring(_token(0), 1, 3)
     text = (
-        F.when(kind == 0, F.concat(F.lit("+"), _token(0), F.lit(" "), _token(1), F.lit(" -"), _token(2)))
+        F.when(kind == 0, F.concat(F.array_join(F.transform("t", lambda t: F.concat(F.lit("+"), t)), " "), F.lit(" -zzzz")))
         .when(kind == 1, F.concat(prefix, F.lit("* -"), _token(1)))
-        .when(kind == 2, F.concat(F.lit('"'), _word(0), F.lit(" "), _word(1), F.lit(" "), _word(2), F.lit('" of')))
-        .otherwise(F.concat(F.lit("+("), _token(0), F.lit(" "), _token(1), F.lit(") +("), _token(2), F.lit(" "), _token(3), F.lit(")")))
+        .when(kind == 2, F.concat(F.lit('"'), F.array_join("words", " "), F.lit('" of')))
+        .otherwise(F.concat(F.lit("+("), F.array_join("t", " "), F.lit(") +("), _token(0), F.lit(" "), _token(1), F.lit(")")))
     )
     return _asked(spark, folder).select("query_id", "site", text.alias("q"), F.lit("match boolean").alias("mode"))
 
 
 _ASKED = """
 asked AS (
-  SELECT item_id AS query_id, regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words,
+  SELECT item_id AS query_id, text, regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words,
     list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'), lambda t: length(t) BETWEEN 4 AND 84) AS t
   FROM benchmark)"""
 
 
-def _w(n: int) -> str:
-    return f"coalesce(words[{n + 1}], '')"
-
-
 def _t(n: int) -> str:
     return f"coalesce(t[{n + 1}], 'zzzz')"
 
 
-_LIKE_Q = f"""lq AS (SELECT query_id, '  ' || translate({_w(1)}, 'aeinst', 'AEINST') || '  ' || {_w(2)} || ' ' AS raw, query_id % 3 AS off FROM asked),
-q AS (SELECT query_id, off, regexp_replace(regexp_replace(lower(raw), '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g') AS q
+_LIKE_Q = """lq AS (SELECT query_id, '  ' || translate(text, 'aeinst', 'AEINST') || ' ' AS raw, query_id % 3 AS off FROM asked),
+q AS (SELECT query_id, off, regexp_replace(regexp_replace(lower(raw), '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g') AS q
   FROM lq WHERE strlen(raw) >= 3)"""
 
-_WILD_Q = f"""lq AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN {_w(1)} || '%' || {_w(4)}
-    ELSE substr({_w(1)}, 1, 2) || '_' || substr({_t(0)}, 2, 3) END AS raw FROM asked),
-q AS (SELECT query_id, 0 AS off, regexp_replace(regexp_replace(lower(raw), '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g') AS q
+_WILD_Q = """lq AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN regexp_replace(text, '^(\\S+)\\s', '\\1%')
+    ELSE regexp_replace(text, '^(.).', '\\1_') END AS raw FROM asked),
+q AS (SELECT query_id, 0 AS off, regexp_replace(regexp_replace(lower(raw), '^\\s+|\\s+$', '', 'g'), '\\s{2,}', ' ', 'g') AS q
   FROM lq WHERE strlen(raw) >= 3)"""
 
 _LIKE_MATCHES = """
@@ -170,11 +163,11 @@ terms AS (SELECT query_id, term, count(*) AS qf FROM (
 boosts AS (SELECT query_id, terms.term, qf * ln((total - records) / records) AS boost
   FROM terms JOIN counts ON counts.term = terms.term, size WHERE records * 2 < total),
 scored AS (SELECT query_id, location, language, round(sum(weight * boost), 6) AS relevance
-  FROM post JOIN boosts ON boosts.term = post.term GROUP BY ALL)"""
+  FROM post JOIN boosts ON boosts.term = post.term GROUP BY query_id, location, language HAVING sum(weight * boost) > 0)"""
 
 
 _NATURAL_Q = f"""q AS (SELECT query_id, 0 AS off, ['en', 'fr', 'de', ''][query_id % 4 + 1] AS wanted,
-  lower(array_to_string(words[1:8], ' ')) AS q FROM asked)"""
+  lower(array_to_string(words, ' ')) AS q FROM asked)"""
 
 _NATURAL = f"WITH {DOCS_SQL}, {_ASKED}, {_NATURAL_Q}, {_FULLTEXT}, {_scores()}"
 
@@ -182,8 +175,7 @@ _NATURAL = f"WITH {DOCS_SQL}, {_ASKED}, {_NATURAL_Q}, {_FULLTEXT}, {_scores()}"
 @query(
     "search_natural",
     f"""{_NATURAL},
-    matches AS (SELECT s.query_id, 0 AS off, d.*, s.relevance FROM scored s JOIN docs d ON d.location = s.location
-      WHERE s.relevance > 0), {_TOP}""",
+    matches AS (SELECT s.query_id, 0 AS off, d.*, s.relevance FROM scored s JOIN docs d ON d.location = s.location), {_TOP}""",
 )
 def search_natural(spark: SparkSession, folder: str) -> DataFrame:
     queries = _natural_queries(spark, folder).drop("wanted")
@@ -195,7 +187,7 @@ def search_natural(spark: SparkSession, folder: str) -> DataFrame:
     f"""{_NATURAL},
     matches AS (SELECT s.query_id, 0 AS off, d.*, s.relevance FROM scored s JOIN docs d ON d.location = s.location
       JOIN q ON q.query_id = s.query_id
-      WHERE s.relevance > 0 AND (wanted = '' OR d.language IN (wanted, ''))), {_TOP}""",
+      WHERE (wanted = '' OR d.language IN (wanted, ''))), {_TOP}""",
 )
 def search_language(spark: SparkSession, folder: str) -> DataFrame:
     queries = _natural_queries(spark, folder).withColumnRenamed("wanted", "language")
@@ -203,10 +195,10 @@ def search_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BOOLEAN_Q = f"""bq AS (SELECT query_id, words, t, CASE query_id % 4
-    WHEN 0 THEN '+' || {_t(0)} || ' ' || {_t(1)} || ' -' || {_t(2)}
+    WHEN 0 THEN array_to_string(list_transform(t, lambda x: '+' || x), ' ') || ' -zzzz'
     WHEN 1 THEN substr({_t(0)}, 1, 3) || '* -' || {_t(1)}
-    WHEN 2 THEN '"' || {_w(0)} || ' ' || {_w(1)} || ' ' || {_w(2)} || '" of'
-    ELSE '+(' || {_t(0)} || ' ' || {_t(1)} || ') +(' || {_t(2)} || ' ' || {_t(3)} || ')' END AS raw FROM asked),
+    WHEN 2 THEN '"' || array_to_string(words, ' ') || '" of'
+    ELSE '+(' || array_to_string(t, ' ') || ') +(' || {_t(0)} || ' ' || {_t(1)} || ')' END AS raw FROM asked),
 q AS (SELECT query_id, 0 AS off, words, t, lower(raw) AS q FROM bq)"""
 
 _BOOLEAN = f"""WITH {DOCS_SQL}, {_ASKED}, {_BOOLEAN_Q}, {_FULLTEXT}, {_scores()},
@@ -216,12 +208,11 @@ line AS (SELECT location, ' ' || array_to_string(regexp_extract_all(lower(title)
 held AS (
   SELECT q.query_id, s.location FROM q, sets s JOIN line l ON l.location = s.location
   WHERE CASE query_id % 4
-    WHEN 0 THEN list_contains(terms, {_t(0)}) AND NOT list_contains(terms, {_t(2)})
+    WHEN 0 THEN len(t) > 0 AND list_has_all(terms, t) AND NOT list_contains(terms, 'zzzz')
     WHEN 1 THEN len(list_filter(terms, lambda x: starts_with(x, substr({_t(0)}, 1, 3)))) > 0 AND NOT list_contains(terms, {_t(1)})
     WHEN 2 THEN len(list_filter(regexp_extract_all(q.q, '[\\p{{L}}\\p{{N}}_'']+'), lambda x: length(x) BETWEEN 4 AND 84)) > 0
       AND contains(l.line, ' ' || array_to_string(regexp_extract_all(regexp_extract(q.q, '"([^"]*)"', 1), '[\\p{{L}}\\p{{N}}_'']+'), ' ') || ' ')
-    ELSE (list_contains(terms, {_t(0)}) OR list_contains(terms, {_t(1)}))
-      AND (list_contains(terms, {_t(2)}) OR list_contains(terms, {_t(3)})) END)"""
+    ELSE list_has_any(terms, t) AND (list_contains(terms, {_t(0)}) OR list_contains(terms, {_t(1)})) END)"""
 
 
 @query(
@@ -229,7 +220,7 @@ held AS (
     f"""{_BOOLEAN},
     matches AS (SELECT h.query_id, 0 AS off, d.*, coalesce(s.relevance, 0) AS relevance FROM held h
       JOIN docs d ON d.location = h.location
-      LEFT JOIN scored s ON s.query_id = h.query_id AND s.location = h.location AND s.relevance > 0), {_TOP}""",
+      LEFT JOIN scored s ON s.query_id = h.query_id AND s.location = h.location), {_TOP}""",
 )
 def search_boolean(spark: SparkSession, folder: str) -> DataFrame:
     return search(SearchIndex(documents(spark, folder)), _boolean_queries(spark, folder), DOC_CONFIG)
@@ -240,7 +231,7 @@ def search_boolean(spark: SparkSession, folder: str) -> DataFrame:
     f"""{_BOOLEAN},
     matches AS (SELECT h.query_id, 0 AS off, d.*, coalesce(s.relevance, 0) AS relevance FROM held h
       JOIN docs d ON d.location = h.location
-      LEFT JOIN scored s ON s.query_id = h.query_id AND s.location = h.location AND s.relevance > 0), {_TOP}""",
+      LEFT JOIN scored s ON s.query_id = h.query_id AND s.location = h.location), {_TOP}""",
 )
 def search_stored_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Boolean searches over postings and counts stored beforehand, as a search service keeps them."""
@@ -272,6 +263,34 @@ def boolean_clauses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_MIXED_Q = f"""mq AS (SELECT query_id, t, {_t(0)} AS word, CASE query_id % 3 WHEN 0 THEN substr({_t(0)}, 1, 3) ELSE {_t(0)} END AS q FROM asked),
+q AS (SELECT query_id, 0 AS off, q, strlen(q) < 4 AS plain FROM mq)"""
+
+
+@query(
+    "search_mixed_modes",
+    f"""WITH {DOCS_SQL}, {_ASKED}, {_MIXED_Q}, {_FULLTEXT}, {_scores("(SELECT * FROM q WHERE NOT plain)")},
+    low AS (SELECT *, lower(location) AS ll, lower(title) AS lt, lower(content) AS lc FROM docs),
+    matches AS (
+      SELECT query_id, off, site, location, title, content, language, excerpt, CAST(rel AS DOUBLE) AS relevance FROM (
+        SELECT q.query_id, q.off, d.*, contains(ll, q.q)::INT + contains(lt, q.q)::INT + contains(lc, q.q)::INT AS rel
+        FROM low d, q WHERE plain) WHERE rel > 0
+      UNION ALL
+      SELECT s.query_id, 0, d.site, d.location, d.title, d.content, d.language, d.excerpt, s.relevance
+      FROM scored s JOIN docs d ON d.location = s.location), {_TOP}""",
+)
+def search_mixed_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """One batch of full-text searches and of ones too short for full text, which become substring searches."""
+    short = F.col("query_id") % 3 == 0
+    queries = _asked(spark, folder).select(
+        "query_id",
+        "site",
+        F.when(short, F.substring(_token(0), 1, 3)).otherwise(_token(0)).alias("q"),
+        F.lit("match").alias("mode"),
+    )
+    return search(SearchIndex(documents(spark, folder)), queries, DOC_CONFIG)
+
+
 @query("index_postings", f"WITH {DOCS_SQL}, {_FULLTEXT} SELECT site, term, location, language, CAST(tf AS INT) AS tf, round(weight, 6) AS weight FROM post")
 def index_postings(spark: SparkSession, folder: str) -> DataFrame:
     return postings(documents(spark, folder), DOC_CONFIG).withColumn("weight", F.round("weight", 6))

@@ -15,8 +15,12 @@ def is_small(frame: DataFrame, config: SearchConfig) -> bool:
     """Whether the rows and their text fit the broadcast limits. One aggregate job, one row back."""
     size = F.lit(8 * len(frame.columns))
     for field in frame.schema.fields:
-        if field.dataType.typeName() == "string":
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind in ("struct", "array", "map"):
+            # Written out, nested values are about as long as they are in memory.
+            size = size + F.coalesce(F.length(F.to_json(F.struct(field.name))), F.lit(0))
     seen = frame.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"),

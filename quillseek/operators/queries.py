@@ -67,7 +67,7 @@ class Batch:
 
     @staticmethod
     def of(prepared: DataFrame, config: SearchConfig) -> Batch:
-        depth = F.col("offset") + F.col("limit")
+        depth = F.col("offset").cast("long") + F.col("limit")
         row = prepared.agg(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum(F.octet_length("q") + 16), F.lit(0)).alias("bytes"),
