@@ -38,7 +38,7 @@ from quillseek.operators.maintenance import (
 from quillseek.plans.indexing import rebuild_index
 from quillseek.session import scratch_path
 from quillseek.sources.index_log import append_log, read_log
-from quillseek.sources.index_store import read_index, rebuild
+from quillseek.sources.index_store import clear_index, read_index, rebuild
 from quillseek.sources.pages import listed_pages
 from quillseek.streaming.changes import index_stream
 
@@ -101,7 +101,11 @@ def index_remove_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("index_clear", f"{_RECORDS} SELECT {RECORD_COLUMNS} FROM records WHERE false")
 def index_clear(spark: SparkSession, folder: str) -> DataFrame:
-    return clear(_records(spark, folder))
+    """A stored index, cleared and read again."""
+    root = scratch_path(spark, "cleared")
+    rebuild(_records(spark, folder), root)
+    clear_index(spark, root)
+    return read_index(spark, root, PAGE_CONFIG)
 
 
 _TAGGED_RECORDS = f"""WITH {TAGGED_SQL}, live AS (

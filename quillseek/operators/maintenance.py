@@ -37,7 +37,9 @@ def upsert(index: DataFrame, records: DataFrame, config: SearchConfig) -> DataFr
     arriving = newest.select(*KEYS, F.col("seq").alias("new_seq"))
     arriving = broadcast_if_small(arriving, config).alias("new")
     same = (F.col("old.site") == F.col("new.site")) & (F.col("old.location") == F.col("new.location"))
-    replaced = F.col("old.seq") <= F.col("new.new_seq")
+    # A row without an order is older than any other.
+    order = lambda name: F.coalesce(F.col(name), F.lit(-(2**63)))
+    replaced = order("old.seq") <= order("new.new_seq")
     kept = index.alias("old").join(arriving, same & replaced, "left_anti")
     # Locations whose stored row is newer: never more than arrive.
     ahead = index.select(*KEYS, "seq").alias("old").join(arriving, same & ~replaced, "left_semi")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillseek.config import HOME, SearchConfig
 from quillseek.functions.urls import stored_location
 from quillseek.operators.crawl import crawl
-from quillseek.operators.extraction import INDEXED, RECORD, REJECTED, deciding, evaluate_pages
+from quillseek.operators.extraction import INDEXED, KEYS, RECORD, REJECTED, deciding, evaluate_pages
+from quillseek.operators.joins import latest
 from quillseek.operators.links import link_edges
 from quillseek.operators.maintenance import choose_source
 from quillseek.session import cut_lineage
@@ -20,9 +21,15 @@ def site_roots(pages: DataFrame) -> DataFrame:
 
 
 def crawled_locations(evaluated: DataFrame, roots: DataFrame, config: SearchConfig) -> DataFrame:
-    """``(site, location, depth)`` reached by following links from the roots."""
-    nodes = evaluated.filter(F.col("outcome") != REJECTED).select("site", "location")
-    return crawl(link_edges(evaluated, config), nodes, roots, config.depth, config)
+    """``(site, location, depth)`` reached by following links from the roots.
+
+    Only the newest copy of a location counts: its links are followed, and if it is rejected the
+    location is no node. Texts take no part in finding it.
+    """
+    copies = evaluated.select(*KEYS, "seq", "url", "outcome", "nofollow", "links")
+    newest = cut_lineage(latest(copies, KEYS, ["seq", "url"]))
+    nodes = newest.filter(F.col("outcome") != REJECTED).select("site", "location")
+    return crawl(link_edges(newest, config), nodes, roots, config.depth, config)
 
 
 def full_index(
@@ -43,7 +50,10 @@ def full_index(
         chosen = choose_source(listed, none, config)
     else:
         evaluated = cut_lineage(evaluated)
-        reached = crawled_locations(evaluated, site_roots(pages), config)
+        roots = site_roots(pages)
+        if config.index_method == "auto":  # the others' sitemaps say what to index
+            roots = roots.join(listed.select("site").distinct(), "site", "left_anti")
+        reached = crawled_locations(evaluated, roots, config)
         chosen = choose_source(
             listed, reached.select("site", F.col("location").alias("path")), config
         )

@@ -37,12 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     It is the one the session names in ``spark.checkpoint.dir`` (or a checkpoint directory set on the
-    context). Only a session that names none, as in local tests, gets a temporary one.
+    context). Only a local session that names none, as in tests, gets a temporary one; on a cluster a
+    machine's own folder would not be seen by the others, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillseek-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -52,14 +52,14 @@ def batches(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def _publish(state: DataFrame, root: str, folded: int) -> int | None:
-    """Write a complete state as the next version, then let readers switch to it."""
+def _publish(state: DataFrame, root: str, folded: int, empty: bool = False) -> int | None:
+    """Write a complete state as the next version, then let readers switch to it; if ``empty``, even to none."""
     spark = state.sparkSession
     taken = [int(n.removeprefix("version=")) for n, _ in _listing(spark, root) if n.startswith("version=")]
     number = max(taken, default=0) + 1
     path = f"{root}/version={number}"
     state.write.parquet(path)
-    if spark.read.schema(STATE_SCHEMA).parquet(path).isEmpty():
+    if not empty and spark.read.schema(STATE_SCHEMA).parquet(path).isEmpty():
         return None
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_PUBLISHED}{folded}")
     fs = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -76,6 +76,13 @@ def rebuild(records: DataFrame, root: str) -> int | None:
     return _publish(as_state(records), root, known[-1][0] if known else -1)
 
 
+def clear_index(spark: SparkSession, root: str) -> int:
+    """Publishes an empty index, which replaces the live one and all changes known when it starts."""
+    known = batches(spark, root)
+    nothing = spark.createDataFrame([], STATE_SCHEMA)
+    return _publish(nothing, root, known[-1][0] if known else -1, empty=True)
+
+
 def append_changes(changes: DataFrame, root: str, batch: int) -> None:
     """One change batch; writing the same batch again replaces it, so retries do no harm."""
     changes.write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
@@ -112,6 +119,7 @@ def swap_tables(spark: SparkSession, live: str, staged: str) -> bool:
     """
     if spark.table(staged).isEmpty():
         return False
+    spark.sql(f"DROP TABLE IF EXISTS {live}_old")  # left by a swap that broke off
     if spark.catalog.tableExists(live):
         spark.sql(f"ALTER TABLE {live} RENAME TO {live}_old")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {live}")
