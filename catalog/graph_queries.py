@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quillseek.operators.crawl import crawl, discovered
 from quillseek.operators.extraction import evaluate_pages, index_records
 from quillseek.operators.links import broken_links as find_broken
 from quillseek.operators.links import link_edges
+from quillseek.plans.indexing import full_index
 from quillseek.session import scratch_path
 from quillseek.sources.sitemaps import read_sitemap_files, sitemap_list, sitemap_locations, write_sitemap
 
@@ -159,3 +162,52 @@ def sitemap_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "sitemap")
     write_sitemap(sitemap_list(index_records(pages(spark, folder), PAGE_CONFIG)), path)
     return read_sitemap_files(spark, path)
+
+
+# Two sites made of the pages, one to crawl and one with a sitemap. Even pages link to 2i+2 and 2i+4, some of
+# these only in outdated copies; some newest copies are errors.
+_FULL = f"""WITH RECURSIVE live AS (
+  SELECT page_id + 1000000 AS page_id, html, CASE WHEN page_id % 2 = 0 THEN 'https://even.example' ELSE 'https://odd.example' END AS site,
+    CASE WHEN page_id = 0 THEN '' ELSE 'p' || page_id END AS path, '' AS url, page_id AS id
+  FROM pages WHERE page_id % 16 <> 8),
+edges AS (SELECT id AS src, unnest([id * 2 + 2, id * 2 + 4]) AS dst FROM live WHERE id % 2 = 0),
+reached(id) AS (
+  SELECT 0 UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.id JOIN live l ON l.id = e.dst WHERE e.dst % 12 <> 2),
+{records_sql('live')}
+SELECT {RECORD_COLUMNS} FROM records WHERE (site = 'https://even.example'
+  AND location IN (SELECT CASE WHEN id = 0 THEN 'home' ELSE 'p' || id END FROM reached))"""
+
+
+def _two_sites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    number = F.col("page_id")
+    given = table(spark, folder, "pages").select("page_id", "html")
+    copies = given.withColumn("newest", F.explode(F.array(F.lit(0), F.lit(1))))
+    link = lambda to: F.concat(F.lit('<a href="/p'), to.cast("string"), F.lit('"></a>'))
+    shown = lambda to: F.when((to % 12 == 2) & (F.col("newest") == 1), "").otherwise(link(to))
+    links = F.when(number % 2 == 0, F.concat(shown(number * 2 + 2), shown(number * 2 + 4))).otherwise("")
+    site = F.when(number % 2 == 0, "https://even.example").otherwise("https://odd.example")
+    path = F.when(number == 0, "").otherwise(F.concat(F.lit("p"), number.cast("string")))
+    rows = copies.select(
+        site.alias("site"),
+        path.alias("path"),
+        F.concat_ws("/", site, path).alias("url"),
+        F.concat("html", links).alias("html"),
+        F.when((number % 16 == 8) & (F.col("newest") == 1), 404).otherwise(200).alias("status"),
+        (number + F.col("newest") * 1000000).alias("seq"),
+    )
+    listed = rows.filter((F.col("site") == "https://odd.example") & (F.length("path") % 2 == 0)).select("site", "path").distinct()
+    return rows, listed
+
+
+@query("full_index_crawl", _FULL)
+def full_index_crawl(spark: SparkSession, folder: str) -> DataFrame:
+    """A complete rebuild by following links: the site without a home page has nothing to start from."""
+    rows, listed = _two_sites(spark, folder)
+    return full_index(rows, PAGE_CONFIG, None, listed)
+
+
+@query("full_index_auto", f"{_FULL} OR (site = 'https://odd.example' AND length(location) % 2 = 0)")
+def full_index_auto(spark: SparkSession, folder: str) -> DataFrame:
+    """A complete rebuild in which one site is crawled and the other read from its sitemap."""
+    rows, listed = _two_sites(spark, folder)
+    return full_index(rows, replace(PAGE_CONFIG, index_method="auto"), None, listed)
