@@ -74,3 +74,97 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {}
+
+_PARTS = "'(?s)^(.*?)://([^/?#]*)([^?#]*)'"
+
+
+def _host(url: str) -> str:
+    """A-Z alone in lower case."""
+    return f"translate(coalesce(regexp_extract({url}, {_PARTS}, 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, {_PARTS}, 3), '')"
+
+
+def _normal(url: str) -> str:
+    query = f"regexp_extract({url}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1)"
+    query = f"regexp_replace(regexp_replace({query}, '(^|&)(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&', '')"
+    host = f"regexp_replace({_host(url)}, '^(www|m)\\.', '')"
+    path = f"regexp_replace({_path(url)}, '(/|\\.html?|/index\\.html?)$', '')"
+    return f"'https://' || {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"
+
+
+_TARGETS = """
+SELECT url, t.target FROM pages, (SELECT unnest(list_concat(
+  list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\\b[^>]*>'),
+    lambda x: regexp_matches(x, '(?is)\\srel\\s*=\\s*["'']?canonical\\b'))[1:1],
+    lambda x: regexp_extract(x, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+  list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\\b[^>]*>'),
+    lambda x: regexp_matches(x, '(?is)\\shttp-equiv\\s*=\\s*["'']?refresh\\b'))[1:1],
+    lambda x: regexp_extract(x, '(?is)\\burl\\s*=\\s*([^"''\\s>]+)', 1)))) AS target) t
+WHERE contains(url, '://') AND t.target <> ''"""
+
+_RULE_ROWS = ", ".join(f"('{action}', '{rule}')" for action, rule in RULES)
+
+# Components by recursion.
+ORACLE["op6_url_aliases"] = f"""
+WITH RECURSIVE rules AS (
+  SELECT action, rule, split_part(rule, '/', 1) AS host, substr(rule, length(split_part(rule, '/', 1)) + 1) AS start
+  FROM (VALUES {_RULE_ROWS}) v(action, rule)),
+found AS ({_TARGETS}),
+links AS (
+  SELECT DISTINCT url AS src, CASE WHEN contains(target, '://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(url, {_PARTS}, 1) || ':' || target
+    WHEN starts_with(target, '/') THEN regexp_extract(url, {_PARTS}, 1) || '://' || {_host('url')} || target END AS dst FROM found),
+named AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT dst FROM links WHERE dst IS NOT NULL),
+edges AS (
+  SELECT src, dst FROM links WHERE dst IS NOT NULL AND src <> dst
+  UNION SELECT url, {_normal('url')} FROM named WHERE contains(url, '://') AND url <> {_normal('url')}),
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach(node, other) AS (
+  SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.other),
+nodes AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT dst FROM edges),
+own AS (
+  SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM (
+    SELECT n.url, r.rule, r.action FROM nodes n JOIN rules r
+      ON ({_host('n.url')} = r.host OR ends_with({_host('n.url')}, '.' || r.host)) AND starts_with({_path('n.url')}, r.start))
+  GROUP BY url),
+carried AS (
+  SELECT node AS url, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS carried
+  FROM reach JOIN own ON own.url = reach.other GROUP BY node)
+SELECT page_id, {_host('p.url')} AS host, {_path('p.url')} AS path, own.rule, coalesce(own.action, c.carried, 'allow') AS verdict,
+  CASE WHEN own.rule IS NOT NULL THEN 'rule' WHEN c.carried IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
+FROM pages p LEFT JOIN own ON own.url = p.url LEFT JOIN carried c ON c.url = p.url"""
+
+_LINES = """
+lines AS (
+  SELECT doc_id, CAST(n - 1 AS INT) AS line_no, line FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
+  WHERE trim(line, ' ') <> ''),
+firsts AS (
+  SELECT line, min({'d': doc_id, 'n': line_no}) AS place, length(line) AS size FROM lines GROUP BY line)"""
+
+# One edit leaves the first half or the second as it is, read one character later in a longer line.
+ORACLE["op1_line_edits"] = f"""
+WITH {_LINES},
+halves AS (SELECT *, size // 2 AS h, (size - 1) // 2 AS g FROM firsts),
+pairs AS (
+  SELECT a.line, b.line AS other FROM halves a JOIN halves b ON a.size = b.size AND substr(a.line, 1, a.h) = substr(b.line, 1, b.h) AND a.line <> b.line
+  UNION SELECT a.line, b.line FROM halves a JOIN halves b ON a.size = b.size AND substr(a.line, a.h + 1) = substr(b.line, b.h + 1) AND a.line <> b.line
+  UNION SELECT a.line, b.line FROM halves a JOIN halves b ON a.size - 1 = b.size AND substr(a.line, 1, a.g) = substr(b.line, 1, b.h)
+  UNION SELECT a.line, b.line FROM halves a JOIN halves b ON a.size - 1 = b.size AND substr(a.line, a.g + 2) = substr(b.line, b.h + 1)),
+apart AS (
+  SELECT line, other, coalesce(list_position(list_transform(range(1, length(other) + 1),
+    lambda i: substr(line, i, 1) <> substr(other, i, 1)), true), length(other) + 1) AS p FROM pairs),
+edits AS (
+  SELECT line, other FROM apart
+  WHERE substr(line, p + 1) = CASE WHEN length(line) = length(other) THEN substr(other, p + 1) ELSE substr(other, p) END),
+links AS (SELECT line, other FROM edits UNION SELECT other, line FROM edits),
+near AS (
+  SELECT a.line, a.place, min(b.place) AS kept FROM links l JOIN firsts a ON a.line = l.line JOIN firsts b ON b.line = l.other
+  WHERE b.place < a.place GROUP BY ALL)
+SELECT DISTINCT l.doc_id, l.line_no, f.place.d AS kept_doc_id, f.place.n AS kept_line_no, 0 AS distance
+FROM lines l JOIN firsts f ON f.line = l.line WHERE l.doc_id <> f.place.d OR l.line_no <> f.place.n
+UNION ALL SELECT place.d, place.n, kept.d, kept.n, 1 FROM near"""

@@ -14,12 +14,14 @@ def coded_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np
     """
     if len(texts) == 0:
         return [], np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # Copied first: slices of texts come out of the kernels below with wrong offsets.
+    texts = pa.array(texts.to_pylist(), pa.string())
+    texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64) - lists.offsets[0].as_py()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if "" in words:  # white space at either end
         keep = codes != words.index("")
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]

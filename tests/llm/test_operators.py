@@ -466,3 +466,15 @@ def test_toxicity_of_odd_rows(spark):
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.scored_documents(odd.limit(0), labels).count() == 0
     assert toxicity.scored_documents(odd, labels.limit(0)).count() == 4
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from quillseek.llm.tokens import coded_words
+
+    texts = [" A bé\tC ", None, "", "d  D\n", "e" * 100, "F g"]
+    for start in range(6):
+        words, codes, offsets = coded_words(pa.array(texts).slice(start), lower=True)
+        found = [[words[c] for c in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:])]
+        assert found == [[w.decode() for w in (t or "").encode().lower().split()] for t in texts[start:]]
