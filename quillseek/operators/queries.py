@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
 
+_MANY_SITES = 256  # above this a scan is not narrowed to the sites searched
+
 SEARCH = ["site", "q", "mode", "language", "limit", "offset"]
 
 
@@ -64,6 +66,7 @@ class Batch:
     shown: int  # result rows at most
     small: bool  # terms, clauses and grams of the batch fit a broadcast
     shown_small: bool
+    sites: tuple[str, ...] | None  # what is searched, unless these are many
 
     @staticmethod
     def of(prepared: DataFrame, config: SearchConfig) -> Batch:
@@ -75,6 +78,8 @@ class Batch:
             F.coalesce(F.max(depth), F.lit(0)).alias("deepest"),
             F.coalesce(F.sum(F.col("limit").cast("long")), F.lit(0)).alias("shown"),
         ).first()
+        found = prepared.select("site").distinct().limit(_MANY_SITES + 1).collect()
+        sites = tuple(sorted(r["site"] for r in found if r["site"] is not None))
         # A query of b bytes has at most b words, clauses or grams, each no longer than b.
         small = row["bytes"] <= min(config.max_broadcast_rows, config.max_broadcast_bytes // 64)
         return Batch(
@@ -85,6 +90,7 @@ class Batch:
             row["shown"],
             small,
             row["shown"] <= config.max_broadcast_rows,
+            sites if len(found) <= _MANY_SITES else None,
         )
 
 

@@ -1,9 +1,9 @@
 """Stored indexes: versions that appear whole, and appended changes between them.
 
 Layout under a root folder: ``version=N/`` are complete indexes, ``changes/batch=N/`` the state rows of
-change batches. A version counts once it carries a published mark, which is created last and names the
-last batch the version includes. Readers never see half an index, and a failed or empty rebuild leaves
-the live one in place. Older versions stay for readers that started with them.
+change batches. Versions are laid out by site and location. A version counts once it carries a published
+mark, which is created last and names the last batch the version includes. Readers never see half an
+index, and a failed or empty rebuild leaves the live one in place. Older versions stay for readers that started with them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillseek.config import SearchConfig
 from quillseek.operators.maintenance import as_state, upsert, visible
+from quillseek.session import scratch_path
 
 STATE_SCHEMA = (
     "site string, location string, scope string, title string, content string, excerpt string, "
@@ -58,7 +59,12 @@ def _publish(state: DataFrame, root: str, folded: int, empty: bool = False) -> i
     taken = [int(n.removeprefix("version=")) for n, _ in _listing(spark, root) if n.startswith("version=")]
     number = max(taken, default=0) + 1
     path = f"{root}/version={number}"
-    state.write.parquet(path)
+    # Rows of a site lie together, so that a search or lookup of some sites skips the files of the others.
+    # Written down first: finding the ranges reads all rows once more.
+    unordered = scratch_path(spark, "version")
+    state.write.parquet(unordered)
+    state = spark.read.schema(STATE_SCHEMA).parquet(unordered)
+    state.repartitionByRange("site", "location").sortWithinPartitions("site", "location").write.parquet(path)
     if not empty and spark.read.schema(STATE_SCHEMA).parquet(path).isEmpty():
         return None
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_PUBLISHED}{folded}")

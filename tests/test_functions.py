@@ -291,3 +291,39 @@ def test_normalise(spark, q, expected):
 )
 def test_like_pattern(spark, q, text, hit):
     assert one(spark, q, lambda c: F.like(F.lit(text), like_pattern(c))) is hit
+
+
+@pytest.mark.parametrize(
+    "html, field, expected",
+    [
+        ("<p>first<p>second<b>x</b><p>third<ul><li>a<li>b</ul>tail", "p", ["first", "second<b>x</b>", "third"]),
+        ("<div><p>in</div>after<p>x<table>", "p", ["in", "x"]),
+        ("<ul><li>a<li>b<ul><li>n1<li>n2</ul>c<li>d</ul>tail", "li", ["a", "b<ul><li>n1<li>n2</ul>c", "n1", "n2", "d"]),
+        ("<li>x</li>y<li>z", "li", ["x", "z"]),
+        ("<table><tr><td>1<td>2<table><tr><td>in</table>x<tr><td>3</table>", "td", ["1", "2<table><tr><td>in</table>x", "in", "3"]),
+        ("<dl><dt>a<dd>b<dt>c</dl>", "dt", ["a", "c"]),
+        ("</div><div>a<div>b</div></div><div>open<div>q", "div", ["a<div>b</div>", "b", "open<div>q", "q"]),
+    ],
+)
+def test_elements_without_end_tags(spark, html, field, expected):
+    assert one(spark, html, lambda c: H.inner_html(c, H.parse_field(field))) == expected
+
+
+def test_many_containers_are_read_in_one_pass(spark):
+    import time
+
+    def seconds(n):
+        html = '<div id="main">' + "<div>some text</div>" * n + "</div>"
+        start = time.time()
+        found = one(spark, html, lambda c: H.inner_html(c, H.parse_field('<div id="main">')))
+        assert len(found) == 1 and len(found[0]) == n * len("<div>some text</div>")
+        return time.time() - start
+
+    seconds(100)
+    small, large = seconds(5000), seconds(40000)
+    assert large < 16 * small + 5
+
+
+@pytest.mark.parametrize("text, expected", [("&#00000065;&#x00000041;", "AA"), ("&#0000000;", "&#0000000;"), ("&#99999999;", "&#99999999;")])
+def test_references_with_leading_zeros(spark, text, expected):
+    assert one(spark, text, T.decode_entities) == expected

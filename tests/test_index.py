@@ -24,6 +24,7 @@ from quillseek.operators.maintenance import (
 from quillseek.plans.indexing import full_index, rebuild_index
 from quillseek.sources.index_store import (
     append_changes,
+    clear_index,
     compact,
     read_index,
     read_state,
@@ -300,3 +301,18 @@ def test_log(spark):
     assert got == {("a", "indexed", ""), ("b", "removed", ""), ("c", "error", "HTTP Code 500"), ("d", "error", "content required")}
     assert [(r.status, r.entries) for r in log_report(log).collect()] == [("error", 2), ("removed", 1), ("indexed", 1)]
     assert [r.status for r in log_report(log, ("removed",)).collect()] == ["removed"]
+
+
+def test_clear_a_stored_index(spark, tmp_path):
+    root = str(tmp_path / "cleared")
+    rebuild(index_rows(spark, ["a", "b"]), root)
+    assert read_index(spark, root, CONFIG).count() == 2
+    clear_index(spark, root)
+    assert read_index(spark, root, CONFIG).isEmpty()
+
+
+def test_upsert_of_rows_without_order(spark):
+    old = index_rows(spark, ["a"]).withColumn("seq", F.lit(None).cast("long"))
+    new = index_rows(spark, ["a", "b"], 5)
+    assert locations(upsert(old, new, CONFIG)) == ["a", "b"]
+    assert upsert(new, old, CONFIG).filter("seq = 5").count() == 2

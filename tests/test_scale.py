@@ -146,3 +146,40 @@ def test_search_reads_only_the_buckets_of_its_words(spark, stored, tmp_path):
 def test_index_without_words(spark):
     empty = records(spark, 3).withColumns({"title": F.lit("x"), "content": F.lit("..."), "location": F.concat(F.lit("p"), F.col("seq"))})
     assert postings(empty, CONFIG).count() == 0
+
+
+def test_tiny_scores_are_matches(spark):
+    rows = spark.createDataFrame([(S, "word", "p", "en", 1, 0.04)], "site string, term string, location string, language string, tf int, weight double")
+    counts = spark.createDataFrame([(S, "word", 4_999_999)], "site string, term string, records long")
+    sizes = spark.createDataFrame([(S, 10_000_000)], "site string, total long")
+    queries = spark.createDataFrame([(1, S, "word", "match")], "query_id int, site string, q string, mode string")
+    found = natural_scores(searches(prepare(queries, CONFIG)), rows, sizes, True, CONFIG, counts).collect()
+    assert [(r.location, r.relevance) for r in found] == [("p", 0.0)]
+
+
+@pytest.mark.parametrize("limit", [1000, 1001, 100_000, 2147483647])
+def test_pages_of_any_depth(spark, stored, limit):
+    queries = spark.createDataFrame([(1, S, "common words", "like", limit, 3), (2, S, "common", "like", 2, 0)], "query_id int, site string, q string, mode string, limit int, offset int")
+    found = search(SearchIndex(stored), queries, CONFIG)
+    counts = {r.query_id: (r["count"], r.low, r.high) for r in found.groupBy("query_id").agg(F.count(F.lit(1)).alias("count"), F.min("rank").alias("low"), F.max("rank").alias("high")).collect()}
+    shown = min(limit, 3997)
+    assert counts == {1: (shown, 4, shown + 3), 2: (2, 1, 2)}
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "date", "timestamp", "binary", "string"])
+@pytest.mark.parametrize("inline", [0, 256])
+def test_query_ids_of_any_type(spark, stored, kind, inline):
+    day = F.concat(F.lit("2024-01-"), F.lpad(F.col("id") + 1, 2, "0"))
+    number = day.cast(kind) if kind in ("date", "timestamp") else F.col("id").cast("string").cast(kind)
+    queries = spark.range(3).select(number.alias("query_id"), F.lit(S).alias("site"), F.concat(F.lit("group"), F.col("id")).alias("q"), F.lit("like").alias("mode"))
+    found = search(SearchIndex(stored), queries, replace(CONFIG, max_inline_searches=inline, limit=5))
+    assert found.groupBy("query_id").count().count() == 3 and found.schema["query_id"].dataType.simpleString() == kind
+
+
+def test_searches_read_only_their_sites(spark, stored):
+    other = stored.withColumn("site", F.lit("http://other"))
+    queries = spark.createDataFrame([(1, S, "common words", "like")], "query_id int, site string, q string, mode string")
+    found = search(SearchIndex(stored), queries, CONFIG)
+    assert "EqualTo(site,http://s)" in plan_of(found)
+    both = search(SearchIndex(stored.union(other)), queries, CONFIG)
+    assert {r.site for r in both.collect()} == {S}
