@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillseek.functions.text import let
 from quillseek.llm.common import LIMITS, stored
 from quillseek.operators.joins import broadcast_if_small, split_join, unnest
 
-_COARSE, _FINE = 2, 16  # blocks of a line in the two passes that come before single characters
+_FINE = 16  # blocks of a line in the second of the two passes that come before single characters
 _OWN, _LONG = 0, 1  # a line as it is; a line as the longer of a pair that differs by one character
 
 
@@ -25,30 +26,48 @@ def _block(line: Column, length: Column, j: Column, blocks: int, shift: int = 0,
     return line.substr((start + (shift + 1)).cast("int"), (end - start + more).cast("int"))
 
 
-def block_keys(line: Column, blocks: int, pieces: bool) -> Column:
-    """Deletion variants of whole blocks: ``(role, key[, piece])`` for each block that is left out.
+def half_keys(line: Column) -> Column:
+    """``block_keys`` of two blocks, written out: half a line's hash with its length and place."""
+    length = F.length(line)
+
+    def keys(role: int, base: Column, shift: int) -> list[Column]:
+        middle = F.floor(base / 2).cast("int")
+        left, right = line.substr(F.lit(1), middle), line.substr(middle + (1 + shift), (base - middle).cast("int"))
+        made = (F.xxhash64(base, F.lit(0), right), F.xxhash64(base, F.lit(1), left))
+        return [F.struct(F.lit(role).alias("role"), key.alias("key")) for key in made]
+
+    return F.array(*keys(_OWN, length, 0), *keys(_LONG, length - 1, 1))
+
+
+def block_keys(line: Column, blocks: int) -> Column:
+    """Deletion variants of whole blocks: ``(role, key, piece)`` for each block that is left out.
 
     If two lines are one edit apart, all blocks but one agree, where the longer line's blocks after the
     edit are read one character later. Both lines then have an equal key, one of them perhaps as the
     longer. ``piece`` is the text that was left out, in which the edit must be.
     """
-    length = F.length(line)
     at = F.sequence(F.lit(0), F.lit(blocks - 1))
 
     def keys(role: int, base: Column, shift: int) -> Column:
-        before = F.transform(at, lambda j: F.xxhash64(_block(line, base, j, blocks)))
-        after = before if not shift else F.transform(at, lambda j: F.xxhash64(_block(line, base, j, blocks, shift)))
+        def hashes(shift: int) -> Column:
+            return F.transform(at, lambda j: F.xxhash64(_block(line, base, j, blocks, shift)))
 
-        def one(j: Column) -> Column:
-            rest = F.concat(F.slice(before, 1, j), F.slice(after, j + 2, blocks))
-            fields = [F.lit(role).alias("role"), F.xxhash64(base, j, rest).alias("key")]
-            if pieces:
-                fields.append(_block(line, base, j, blocks, 0, shift).alias("piece"))
-            return F.struct(*fields)
+        def made(before: Column, after: Column) -> Column:
+            return F.transform(
+                at,
+                lambda j: F.struct(
+                    F.lit(role).alias("role"),
+                    F.xxhash64(base, j, F.concat(F.slice(before, 1, j), F.slice(after, j + 2, blocks))).alias("key"),
+                    _block(line, base, j, blocks, 0, shift).alias("piece"),
+                ),
+            )
 
-        return F.transform(at, one)
+        if not shift:
+            return let(hashes(0), lambda h: made(h, h))
+        both = F.struct(hashes(0).alias("before"), hashes(shift).alias("after"))
+        return let(both, lambda h: made(h["before"], h["after"]))
 
-    return F.concat(keys(_OWN, length, 0), keys(_LONG, length - 1, 1))
+    return F.concat(keys(_OWN, F.length(line), 0), keys(_LONG, F.length(line) - 1, 1))
 
 
 def _met(keyed: DataFrame, label: str) -> DataFrame:
@@ -94,7 +113,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("line_no") == F.col("at.line_no"))
     )
     texts = stored(texts.select("id", "at", "line").distinct(), "line-texts")
-    fine = unnest(texts, ["id", "at"], block_keys(F.col("line"), _FINE, True), "cut").select("id", "at", "cut.*")
+    fine = unnest(texts, ["id", "at"], block_keys(F.col("line"), _FINE), "cut").select("id", "at", "cut.*")
     variants = stored(_variants(_met(fine, "line-blocks")), "line-variants")
     place = F.struct("at", "id")
     best = variants.groupBy("variant").agg(
@@ -128,7 +147,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     these have their characters' variants made, and only within that block.
     """
     lines = lines_of(docs)
-    keyed = lines.select("id", F.struct("doc_id", "line_no").alias("at"), block_keys(F.col("line"), _COARSE, False).alias("halves"))
+    keyed = lines.select("id", F.struct("doc_id", "line_no").alias("at"), half_keys(F.col("line")).alias("halves"))
     firsts = keyed.groupBy("id").agg(F.min("at").alias("at"), F.min("halves").alias("halves"), F.count(F.lit(1)).alias("copies"))
     firsts = stored(firsts, "line-firsts")
     near = near_lines(lines, firsts.select("id", "at", "halves"))
