@@ -23,7 +23,7 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     """The rows, written as Parquet under the shared folder and read again: later jobs start from files
     that outlive executors, and read only the columns they need."""
     path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -19,21 +19,26 @@ BOUND = 3  # differing bits of linked fingerprints
 _PAIRS = 0x5555555555555555  # the low bit of each 2-bit segment
 
 
-def _fingerprint(text: str | None, words: int) -> int:
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=">u8")
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = [b" ".join(part) for part in zip(*(tokens[i:] for i in range(words)))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), dtype=">u8", count=len(shingles))
+    return np.fromiter((digest(s, 42) for s in shingles), dtype=">u8", count=len(shingles))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The majority of every bit; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start : start + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes))
+    bits = np.packbits(counts * 2 > max(1, len(hashes)))
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
@@ -43,7 +48,7 @@ def fingerprint(text: Column, words: int) -> Column:
     @F.pandas_udf(LongType())
     def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([_fingerprint(text, words) for text in batch], dtype="int64")
+            yield pd.Series([_fingerprint(_hashes(text, words)) for text in batch], dtype="int64")
 
     return fingerprints(text)
 
@@ -142,3 +147,125 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return split_join(printed, classes, ["fp"], "inner", LIMITS).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+_BINS, _VIEWS, _PER_VIEW = 256, 12, 4
+_BLOCK = 2000  # texts of a group that are compared at once
+
+
+def _sample(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of 256 bins; an empty bin takes the next one's, changed by the distance."""
+    hashes = np.unique(hashes.astype(np.uint64))
+    if not len(hashes):
+        return np.zeros(_BINS, dtype=np.uint64)
+    bins = (hashes >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    at = np.searchsorted(bins[first], np.arange(_BINS))
+    source = bins[first][at % len(first)]
+    with np.errstate(over="ignore"):
+        gap = ((source - np.arange(_BINS)) % _BINS).astype(np.uint64)
+        return hashes[first][at % len(first)] + gap * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _signature(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
+    """Fingerprint of the whole text, a sketch for estimates of similarity, and fingerprints of samples."""
+    sample = _sample(hashes)
+    with np.errstate(over="ignore"):
+        sketch = ((sample * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2")
+    views = [_fingerprint(sample[v :: _BINS // _PER_VIEW].astype(">u8")) for v in range(_VIEWS)]
+    return _fingerprint(hashes), sketch.tobytes(), views
+
+
+def signature(text: Column, words: int) -> Column:
+    @F.pandas_udf("fp long, sketch binary, views array<long>")
+    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_signature(_hashes(text, words)) for text in batch], columns=["fp", "sketch", "views"])
+
+    return signatures(text)
+
+
+def _linked(least: float):
+    """For rows ``(view, print, block, id, sketch)`` in the order of blocks: pairs of a block's texts that
+    resemble each other, as few as connect them. No more than two blocks of texts are held."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, sketches, roots = None, [], np.zeros((2 * _BLOCK, _BINS), dtype="<u2"), []
+
+        def root(n: int) -> int:
+            while roots[n] != n:
+                roots[n] = n = roots[roots[n]]
+            return n
+
+        for batch in batches:
+            found = []
+            for key, id_, sketch in zip(zip(batch["view"], batch["print"], batch["block"]), batch["id"], batch["sketch"]):
+                if key != block:
+                    block, ids, roots = key, [], []
+                n, row = len(ids), np.frombuffer(sketch, "<u2")
+                close = np.flatnonzero((sketches[:n] == row).mean(axis=1) >= least) if n else ()
+                if n == len(sketches):  # blocks are of equal size but for chance
+                    sketches = np.concatenate([sketches, np.zeros_like(sketches)])
+                ids.append(id_)
+                roots.append(n)
+                sketches[n] = row
+                for other in close:
+                    a, b = root(int(other)), root(n)
+                    if a != b:
+                        roots[max(a, b)] = min(a, b)
+                        found.append((id_, ids[other]))
+            yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    return link
+
+
+def _view_links(texts: DataFrame, least: float) -> DataFrame:
+    """``(src, dst)``: links that connect the texts ``(id, sketch, views)`` that share a sample's fingerprint
+    and resemble each other. A group of more texts than a block is dealt into blocks that meet in pairs;
+    what leaves a task is no more than a link for each text of it."""
+    rows = unnest(texts, ["id", "sketch"], F.col("views"), "print", pos=True).withColumnRenamed("pos", "view")
+    shared = rows.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = shared.select("view", "print", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
+    placed = split_join(rows, stored(shared, "simhash-shared"), ["view", "print"], "inner", LIMITS)
+    number = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    meetings = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.least(number, j).cast("long") * F.col("blocks") + F.greatest(number, j),
+    )
+    keys = ["view", "print", "block"]
+    dealt = placed.select("view", "print", "id", "sketch", F.explode(meetings).alias("block"))
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "id")
+    return stored(ordered.mapInPandas(_linked(least), "src long, dst long"), "simhash-links").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` of documents with an id: near copies by similarity rather than by bits.
+
+    Three bits of 64 are a similarity of about 0.98, so documents that resemble each other by 0.8 or more
+    of their shingles have fingerprints too far apart for any grid. They are therefore also linked
+    through fingerprints of samples: four of a text's smallest shingle hashes, twelve times. Two texts of
+    similarity s share one with probability 1 - (1 - s^4)^12 (0.998 at 0.8). Candidates are confirmed by
+    a sketch of 256 hashes, with a margin of 0.03 for its error. Components of all links are classes,
+    named after their smallest id. Equal texts are one, and null texts equal empty ones. An empty table
+    gives an empty result.
+    """
+    signed = docs.filter("doc_id is not null").select(
+        "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("same"), signature(F.col("text"), words).alias("s")
+    )
+    signed = stored(signed.select("doc_id", "same", "s.*"), "simhash-signatures")
+    firsts = stored(signed.groupBy("same").agg(F.min("doc_id").alias("id")), "simhash-firsts")
+    copies = split_join(signed.select("doc_id", "same"), firsts, ["same"], "inner", LIMITS)
+    texts = split_join(signed, firsts, ["same"], "inner", LIMITS).filter("doc_id = id").dropDuplicates(["same"])
+    texts = stored(texts.select("id", "fp", "sketch", "views"), "simhash-texts")
+    prints = stored(texts.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    near = connected_components(near_links(prints.select("fp"))).select(F.col("node").alias("fp"), "component")
+    near = stored(near, "simhash-components")
+    named = stored(split_join(texts.select("id", "fp"), near, ["fp"], "left", LIMITS).select("id", F.coalesce("component", "fp").alias("part")), "simhash-named")
+    heads = named.groupBy("part").agg(F.min("id").alias("head"))
+    bits = split_join(named, stored(heads, "simhash-heads"), ["part"], "inner", LIMITS).select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    links = bits.union(_view_links(texts.select("id", "sketch", "views"), similarity - 0.03)).filter("src != dst")
+    again = copies.filter("doc_id != id").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
+    classes = connected_components(links.union(again)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return split_join(docs.filter("doc_id is not null").select("doc_id"), stored(classes, "simhash-classes"), ["doc_id"], "left", LIMITS).select(
+        "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")
+    )

@@ -344,6 +344,45 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_similar_documents(spark):
+    """Copies with changed words are found, texts that share only a passage are not."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
+    passage = [word() for _ in range(60)]
+    texts, family = [], []
+    for f in range(12):
+        base = [word() for _ in range(int(rng.integers(80, 600)))]
+        base[20:20] = passage
+        for k in range(1 + f):
+            copy = list(base)
+            for i in rng.choice(len(copy), int(len(copy) * 0.015 * (k > 0)), replace=False):
+                copy[i] = word()
+            texts.append(" ".join(copy))
+            family.append(f)
+    order = rng.permutation(len(texts))
+    found = dict(simhash.similar_documents(docs(spark, *[texts[i] for i in order], None, "", "one")).collect())
+    first = {}
+    for d, i in enumerate(order):
+        first.setdefault(family[i], d)
+    wanted = {d: first[family[i]] for d, i in enumerate(order)}
+    missed = sum(found[d] != w for d, w in wanted.items())
+    assert missed <= 3 and all(found[d] >= wanted[d] for d in wanted)
+    n = len(texts)
+    assert (found[n], found[n + 1], found[n + 2]) == (n, n, n + 2)
+
+
+def test_similar_documents_of_large_groups(spark, monkeypatch):
+    """Groups of more texts than a block give the classes of one block."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(0, 300, 4)]
+    monkeypatch.setattr(simhash, "_BLOCK", 10)
+    found = dict(simhash.similar_documents(docs(spark, *texts)).collect())
+    assert set(found.values()) == {0}
+    assert simhash.similar_documents(docs(spark, "a").limit(0)).count() == 0
+
+
 ITEM = "If Anna buys 12 red apples for 3 dollars each and gives away 5 apples to Peter how many apples does Anna have"
 
 
