@@ -245,7 +245,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     of their shingles have fingerprints too far apart for any grid. They are therefore also linked
     through fingerprints of samples: four of a text's smallest shingle hashes, twelve times. Two texts of
     similarity s share one with probability 1 - (1 - s^4)^12 (0.998 at 0.8). Candidates are confirmed by
-    a sketch of 256 hashes, with a margin of 0.03 for its error. Components of all links are classes,
+    a sketch of 256 hashes, with a margin of 0.05 (two standard deviations) for its error. Components of all links are classes,
     named after their smallest id. Equal texts are one, and null texts equal empty ones. An empty table
     gives an empty result.
     """
@@ -263,7 +263,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     named = stored(split_join(texts.select("id", "fp"), near, ["fp"], "left", LIMITS).select("id", F.coalesce("component", "fp").alias("part")), "simhash-named")
     heads = named.groupBy("part").agg(F.min("id").alias("head"))
     bits = split_join(named, stored(heads, "simhash-heads"), ["part"], "inner", LIMITS).select(F.col("id").alias("src"), F.col("head").alias("dst"))
-    links = bits.union(_view_links(texts.select("id", "sketch", "views"), similarity - 0.03)).filter("src != dst")
+    links = bits.union(_view_links(texts.select("id", "sketch", "views"), similarity - 0.05)).filter("src != dst")
     again = copies.filter("doc_id != id").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     classes = connected_components(links.union(again)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     return split_join(docs.filter("doc_id is not null").select("doc_id"), stored(classes, "simhash-classes"), ["doc_id"], "left", LIMITS).select(
