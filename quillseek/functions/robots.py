@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillseek.functions.text import quote_pattern
 
-# Unix line ends only: a carriage return belongs to its line and is trimmed from the value.
+# The words of the format. Unix line ends only: a carriage return belongs to its line and is trimmed from the value.
 _SECTION = r"(?ids)\nuser-agent:[^#\n].*?(?=\nuser-agent:[^#\n]|\z)"
 _AGENT = r"(?id)^\nuser-agent:([^#\n]+)"
 _DISALLOW = r"(?idm)^.*?disallow:([^#\n]+).*$"

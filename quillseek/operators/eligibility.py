@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quillseek.config import AUTO_IGNORE, DEFAULT_SCOPE, SearchConfig
 from quillseek.functions.urls import is_local
-from quillseek.operators.joins import split_join
+from quillseek.operators.joins import is_small, split_join
+from quillseek.session import cut_lineage
 
 
 def auto_ignored(location: Column) -> Column:
@@ -62,6 +63,18 @@ def robots_blocked(
     return joined.withColumn("blocked", hit).drop("robots_regex")
 
 
+def robots_marked(pages: DataFrame, robots: DataFrame | None, config: SearchConfig) -> DataFrame:
+    """As ``robots_blocked``, for pages that still carry their HTML: a small set of rules travels with the
+    scan, a large one is tested on locations alone, so that HTML only moves if the blocked locations are
+    too many to broadcast."""
+    if robots is None or config.ignore_robots or is_small(robots, config):
+        return robots_blocked(pages, robots, config)
+    places = robots_blocked(pages.select("site", "path").distinct(), robots, config)
+    blocked = cut_lineage(places.filter("blocked").select("site", "path", F.lit(True).alias("hit")))
+    joined = split_join(pages, blocked, ["site", "path"], "left", config)
+    return joined.withColumn("blocked", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
 def indexable(pages: DataFrame, robots: DataFrame | None, config: SearchConfig) -> DataFrame:
     """Rows of ``(site, path, ...)`` that may be indexed."""
     kept = pages.filter(early_reason(F.col("path"), F.col("site"), config).isNull())

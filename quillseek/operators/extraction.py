@@ -11,7 +11,7 @@ from quillseek.config import SearchConfig
 from quillseek.functions import html as H
 from quillseek.functions.text import clean, decode_entities, format_title, is_blank
 from quillseek.functions.urls import is_local, stored_location
-from quillseek.operators.eligibility import early_reason, robots_blocked, scope_of
+from quillseek.operators.eligibility import early_reason, robots_marked, scope_of
 from quillseek.operators.joins import latest
 
 KEYS = ["site", "location"]
@@ -62,7 +62,7 @@ def _raw_columns(config: SearchConfig) -> tuple[tuple[Column, ...], dict[str, Co
 
 
 def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
-    """Raw fields, robots flags and links of every page; the HTML ends here and is never shuffled."""
+    """Raw fields, robots flags and links of every page that is not ``blocked``; the HTML ends here."""
     early = F.when(F.col("status") >= 400, F.lit("http error")).otherwise(
         early_reason(F.col("path"), F.col("site"), config)
     )
@@ -70,9 +70,9 @@ def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
     return (
         pages.withColumn("early", early)
         # Pages that are out already cost nothing more: every expression below is null on null.
-        .withColumn("body", F.when(F.col("early").isNull(), H.strip_scripts(F.col("html"))))
+        .withColumn("body", F.when(F.col("early").isNull() & ~F.col("blocked"), H.strip_scripts(F.col("html"))))
         .withColumn("page", H.strip_comments(F.col("body")))
-        .select("site", "path", "url", "status", "seq", "early", *read)
+        .select("site", "path", "url", "status", "seq", "early", "blocked", *read)
         .withColumns(parts)
         .drop("texts")
     )
@@ -122,7 +122,7 @@ def evaluate_pages(
     pages: DataFrame, config: SearchConfig, robots: DataFrame | None = None
 ) -> DataFrame:
     """Every page with its record fields, its outcome and, if there is no record, the reason."""
-    raw = robots_blocked(extract_fields(pages, config), robots, config)
+    raw = extract_fields(robots_marked(pages, robots, config), config)
     cleaned, columns = _record_columns(config)
     return (
         raw.withColumn("cleaned", cleaned)

@@ -18,9 +18,15 @@ def robots_rules(files: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def robots_by_site(files: DataFrame, config: SearchConfig, seq: str | None = None) -> DataFrame:
-    """One combined pattern per site, from the newest body of the site."""
-    order = [seq] if seq else ["body"]
-    newest = latest(files.select("site", *dict.fromkeys(["body", *order])), ["site"], order)
-    return newest.select(
+    """One combined pattern per site, from its newest body by ``seq``; without one all its bodies apply."""
+    if seq is None:
+        bodies = files.groupBy("site").agg(F.array_join(F.sort_array(F.collect_set("body")), "\n").alias("body"))
+        return _combined(bodies, config)
+    newest = latest(files.select("site", "body", seq), ["site"], [seq])
+    return _combined(newest, config)
+
+
+def _combined(bodies: DataFrame, config: SearchConfig) -> DataFrame:
+    return bodies.select(
         "site", combined_regex(disallowed(F.col("body"), config.user_agent)).alias("regex")
     ).filter(F.col("regex").isNotNull())

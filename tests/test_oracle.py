@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the SQL's rows on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -19,7 +20,9 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == {name for name in queries() if not name.startswith("op") and name != "pipeline"} | set(SQL)
+    """All but corpus operators that SQL cannot express; their own tests are beside them."""
+    corpus = re.compile(r"op\d+_|pipeline$")
+    assert {name for name in queries() if not corpus.match(name)} <= set(SQL)
 
 
 def test_entry(spark):
