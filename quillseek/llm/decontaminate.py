@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm.common import LIMITS, stored
-from quillseek.llm.tokens import coded_words
+from quillseek.llm.tokens import coded_words, parts
 from quillseek.operators.joins import split_join
 
+_PART_BYTES = 4 << 20  # of text whose windows are held at once
 _FILTER_BITS = 23  # of the map of window hashes that occur in the benchmark: 1 MB whatever its size
 
 # Words that are units after a number.
@@ -61,7 +62,7 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
     mask = np.uint64((1 << _FILTER_BITS) - 1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch, 1, _PART_BYTES)):
             distinct, codes, offsets = coded_words(batch.column(1), lower=False)
             facts = [_facts(word) for word in distinct]
             forms = [form for form, *_ in facts]

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def runs(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters together, or of one longer text, so that the arrays made
+    of a batch stay small."""
+    part = np.cumsum(lengths.astype(np.int64)) // most
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(a, b) for a, b in zip(starts[:-1], starts[1:]) if b > a]
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for a, b in runs(lengths, most):
+        yield batch.slice(a, b - a)
+
+
 def coded_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as numbers of these, and where each text begins.
 
