@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm.common import fold, others
-from quillseek.llm.tokens import coded_words
+from quillseek.llm.tokens import coded_words, runs
 
 _TABLE = 1 << 18  # hashed feature weights
 _PREFIXES = (4, 5, 6)
+_PART_CHARS = 8 << 20  # of text that is scored at once
 _ROLES = 1 + len(_PREFIXES)  # the word and its prefixes
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,20 +239,24 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 def toxicity(text: Column, model: Field) -> Column:
     """``(score, spans)`` of whole texts; spans are ``start:end`` in characters of words that are rather toxic."""
 
+    def one(texts: list[str]) -> pd.DataFrame:
+        words, codes, offsets = coded_words(pa.array(texts, pa.string()), lower=True)
+        marginals = model.marginals(_emissions(model, words, codes, offsets), offsets)
+        scores = 1 / (1 + np.exp(-np.clip(_summary(marginals, offsets) @ model.calibration, -30, 30)))
+        spans = [""] * len(texts)
+        for i in set((np.searchsorted(offsets, np.flatnonzero(marginals >= 0.5), side="right") - 1).tolist()):
+            found = list(_TOKEN.finditer(texts[i]))
+            flagged = np.flatnonzero(marginals[offsets[i] : offsets[i + 1]] >= 0.5)
+            spans[i] = ",".join(f"{found[j].start()}:{found[j].end()}" for j in flagged)
+        return pd.DataFrame({"score": scores, "spans": spans})
+
     @F.pandas_udf("score double, spans string")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            words, codes, offsets = coded_words(pa.array(texts, pa.string()), lower=True)
-            marginals = model.marginals(_emissions(model, words, codes, offsets), offsets)
-            scores = 1 / (1 + np.exp(-np.clip(_summary(marginals, offsets) @ model.calibration, -30, 30)))
-            bad = Counter(np.searchsorted(offsets, np.flatnonzero(marginals >= 0.5), side="right") - 1)
-            spans = [""] * len(texts)
-            for i in bad:
-                found = list(_TOKEN.finditer(texts[i]))
-                flagged = np.flatnonzero(marginals[offsets[i] : offsets[i + 1]] >= 0.5)
-                spans[i] = ",".join(f"{found[j].start()}:{found[j].end()}" for j in flagged)
-            yield pd.DataFrame({"score": scores, "spans": spans})
+            whole = batch.fillna("").tolist()
+            sizes = np.array([len(text) for text in whole], dtype=np.int64)
+            judged = [one(whole[a:b]) for a, b in runs(sizes, _PART_CHARS)]
+            yield pd.concat(judged) if judged else pd.DataFrame({"score": np.zeros(0), "spans": pd.Series([], dtype="str")})
 
     return scored(text)
 
