@@ -383,6 +383,24 @@ def test_similar_documents_of_large_groups(spark, monkeypatch):
     assert simhash.similar_documents(docs(spark, "a").limit(0)).count() == 0
 
 
+def near_pair(rng, size):
+    """A text of ``size`` words and one without its last words, of similarity 0.80 to 0.85 or the next above."""
+    text = [f"w{n}" for n in rng.integers(0, 1 << 40, size)]
+    kept = next(k for k in range(5, size) if (k - 4) / (size - 4) >= 0.8)
+    return " ".join(text), " ".join(text[:kept])
+
+
+def test_samples_of_short_texts_meet():
+    """Texts of similarity 0.8, of 10 to 100 words, share a sample as often as long ones."""
+    rng = np.random.default_rng(8)
+    for size in (10, 14, 24, 44, 64, 100):
+        shared = 0
+        for _ in range(300):
+            a, b = (simhash._signature(simhash._hashes(text, 5))[2] for text in near_pair(rng, size))
+            shared += any(x == y for x, y in zip(a, b))
+        assert shared >= 297, (size, shared)
+
+
 ITEM = "If Anna buys 12 red apples for 3 dollars each and gives away 5 apples to Peter how many apples does Anna have"
 
 
