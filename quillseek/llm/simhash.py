@@ -149,24 +149,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-_BINS, _VIEWS, _PER_VIEW = 256, 16, 4
+_VIEWS, _PER_VIEW = 16, 4
 # Odd factors, one for each value of each view; a product's order is an own order of all shingles.
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, _VIEWS * _PER_VIEW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 2000  # texts of a group that are compared at once
-
-
-def _sample(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of 256 bins; an empty bin takes the next one's, changed by the distance."""
-    hashes = np.unique(hashes.astype(np.uint64))
-    if not len(hashes):
-        return np.zeros(_BINS, dtype=np.uint64)
-    bins = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    at = np.searchsorted(bins[first], np.arange(_BINS))
-    source = bins[first][at % len(first)]
-    with np.errstate(over="ignore"):
-        gap = ((source - np.arange(_BINS)) % _BINS).astype(np.uint64)
-        return hashes[first][at % len(first)] + gap * np.uint64(0x9E3779B97F4A7C15)
+_BLOCK, _BLOCK_BYTES = 2000, 16 << 20  # texts of a group that are compared at once, and their bytes
+_GUESS = 0.3  # below the threshold, six standard deviations of 64 values: what is not even compared exactly
 
 
 def _smallest(hashes: np.ndarray) -> np.ndarray:
@@ -179,11 +166,11 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signature(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
-    """Fingerprint of the whole text, a sketch for estimates of similarity, and fingerprints of samples."""
-    sample = _sample(hashes)
+    """Fingerprint of the whole text, a sketch for guesses at similarity, and fingerprints of samples."""
+    smallest = _smallest(hashes)
     with np.errstate(over="ignore"):
-        sketch = ((sample * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2")
-    views = [_fingerprint(values.astype(">u8")) for values in _smallest(hashes).reshape(_VIEWS, _PER_VIEW)]
+        sketch = ((smallest * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2")
+    views = [_fingerprint(values.astype(">u8")) for values in smallest.reshape(_VIEWS, _PER_VIEW)]
     return _fingerprint(hashes), sketch.tobytes(), views
 
 
@@ -196,33 +183,48 @@ def signature(text: Column, words: int) -> Column:
     return signatures(text)
 
 
-def _linked(least: float):
-    """For rows ``(view, print, block, id, sketch)`` in the order of blocks: pairs of a block's texts that
-    resemble each other, as few as connect them. No more than two blocks of texts are held."""
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of shingle hashes have ``least`` of their union in common; two empty sets do."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _linked(words: int, least: float):
+    """For rows ``(view, print, block, id, sketch, text)`` in the order of blocks: pairs of a block's texts
+    whose shingles, compared exactly, resemble each other, as few as connect them. No more than two blocks of
+    texts are held."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, ids, sketches, roots = None, [], np.zeros((2 * _BLOCK, _BINS), dtype="<u2"), []
+        block, ids, texts, sketches, roots = None, [], [], np.zeros((2 * _BLOCK, len(_FACTORS)), dtype="<u2"), []
 
         def root(n: int) -> int:
             while roots[n] != n:
                 roots[n] = n = roots[roots[n]]
             return n
 
+        def shingles(n: int) -> np.ndarray:
+            if not isinstance(texts[n], np.ndarray):  # made when first asked for
+                texts[n] = np.unique(_hashes(texts[n], words).astype(np.uint64))
+            return texts[n]
+
         for batch in batches:
             found = []
-            for key, id_, sketch in zip(zip(batch["view"], batch["print"], batch["block"]), batch["id"], batch["sketch"]):
+            for key, id_, sketch, text in zip(zip(batch["view"], batch["print"], batch["block"]), batch["id"], batch["sketch"], batch["text"]):
                 if key != block:
-                    block, ids, roots = key, [], []
+                    block, ids, texts, roots = key, [], [], []
                 n, row = len(ids), np.frombuffer(sketch, "<u2")
-                close = np.flatnonzero((sketches[:n] == row).mean(axis=1) >= least) if n else ()
+                close = np.flatnonzero((sketches[:n] == row).mean(axis=1) >= least - _GUESS) if n else ()
                 if n == len(sketches):  # blocks are of equal size but for chance
                     sketches = np.concatenate([sketches, np.zeros_like(sketches)])
                 ids.append(id_)
+                texts.append(text)
                 roots.append(n)
                 sketches[n] = row
                 for other in close:
                     a, b = root(int(other)), root(n)
-                    if a != b:
+                    if a != b and _alike(shingles(int(other)), shingles(n), least):
                         roots[max(a, b)] = min(a, b)
                         found.append((id_, ids[other]))
             yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
@@ -230,52 +232,60 @@ def _linked(least: float):
     return link
 
 
-def _view_links(texts: DataFrame, least: float) -> DataFrame:
-    """``(src, dst)``: links that connect the texts ``(id, sketch, views)`` that share a sample's fingerprint
-    and resemble each other. A group of more texts than a block is dealt into blocks that meet in pairs;
-    what leaves a task is no more than a link for each text of it."""
-    rows = unnest(texts, ["id", "sketch"], F.col("views"), "print", pos=True).withColumnRenamed("pos", "view")
-    shared = rows.groupBy("view", "print").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = shared.select("view", "print", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-    placed = split_join(rows, stored(shared, "simhash-shared"), ["view", "print"], "inner", LIMITS)
-    number = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+def _view_links(texts: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
+    """``(src, dst)``: links that connect the texts ``(same, id, sketch, size, views)`` that share a view and
+    resemble each other, by their ``bodies (id, same, text)``. Views of the same texts count once. A group of more
+    texts or bytes than a block is dealt into blocks that meet in pairs; what leaves a task is no more than a
+    link for each text of it."""
+    rows = unnest(texts, ["same", "size"], F.col("views"), "print", pos=True).withColumnRenamed("pos", "view")
+    mark = F.xxhash64("same")
+    groups = rows.groupBy("view", "print").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("size").alias("bytes"), F.bit_xor(mark).alias("m"), F.bit_xor(F.xxhash64(mark)).alias("w")
+    )
+    groups = groups.filter("count > 1").groupBy("count", "bytes", "m", "w").agg(F.min(F.struct("view", "print")).alias("at"))
+    blocks = F.ceil(F.greatest(F.col("count") / _BLOCK, F.col("bytes") / _BLOCK_BYTES)).cast("int")
+    shared = stored(groups.select("at.*", F.greatest(blocks, F.lit(1)).alias("blocks")), "simhash-shared")
+    placed = split_join(rows.select("same", "view", "print"), shared, ["view", "print"], "inner", LIMITS)
+    number = F.pmod(F.xxhash64("same"), "blocks").cast("int")
     meetings = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.least(number, j).cast("long") * F.col("blocks") + F.greatest(number, j),
     )
     keys = ["view", "print", "block"]
-    dealt = placed.select("view", "print", "id", "sketch", F.explode(meetings).alias("block"))
-    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return stored(ordered.mapInPandas(_linked(least), "src long, dst long"), "simhash-links").distinct()
+    dealt = stored(placed.select(*keys[:2], "same", F.explode(meetings).alias("block")), "simhash-dealt")
+    wanted = texts.select("same", "id", "sketch").join(dealt.select("same").distinct(), "same", "left_semi")
+    held = split_join(bodies, stored(wanted, "simhash-wanted"), ["same", "id"], "inner", LIMITS).dropDuplicates(["same"])
+    ordered = dealt.join(held, "same").select(*keys, "id", "sketch", "text").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return stored(ordered.mapInPandas(_linked(words, least), "src long, dst long"), "simhash-links").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of documents with an id: near copies by similarity rather than by bits.
 
     Three bits of 64 are a similarity of about 0.98, so documents that resemble each other by 0.8 or more
-    of their shingles have fingerprints too far apart for any grid. They are therefore also linked
-    through fingerprints of samples: the smallest shingle in each of four orders of all shingles, sixteen
+    of their shingles have fingerprints too far apart for any grid. Candidates are therefore also those that
+    share fingerprints of samples: the smallest shingle in each of four orders of all shingles, sixteen
     times with other orders. Two texts of similarity s, short ones too, share one with probability
-    1 - (1 - s^4)^16 (0.9998 at 0.8). Candidates are confirmed by
-    a sketch of 256 hashes, with a margin of 0.05 (two standard deviations) for its error. Components of all links are classes,
+    1 - (1 - s^4)^16 (0.9998 at 0.8). Candidates, those by bits too, are linked only if their sets of shingles
+    have ``similarity`` or more of their union in common. Components of all links are classes,
     named after their smallest id. Equal texts are one, and null texts equal empty ones. An empty table
     gives an empty result.
     """
-    signed = docs.filter("doc_id is not null").select(
-        "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("same"), signature(F.col("text"), words).alias("s")
-    )
-    signed = stored(signed.select("doc_id", "same", "s.*"), "simhash-signatures")
+    body = F.coalesce("text", F.lit(""))
+    known = docs.filter("doc_id is not null").select("doc_id", F.unhex(F.md5(body)).alias("same"), body.alias("text"))
+    signed = known.select("doc_id", "same", F.octet_length("text").cast("long").alias("size"), signature(F.col("text"), words).alias("s"))
+    signed = stored(signed.select("doc_id", "same", "size", "s.*"), "simhash-signatures")
     firsts = stored(signed.groupBy("same").agg(F.min("doc_id").alias("id")), "simhash-firsts")
     copies = split_join(signed.select("doc_id", "same"), firsts, ["same"], "inner", LIMITS)
     texts = split_join(signed, firsts, ["same"], "inner", LIMITS).filter("doc_id = id").dropDuplicates(["same"])
-    texts = stored(texts.select("id", "fp", "sketch", "views"), "simhash-texts")
-    prints = stored(texts.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    near = connected_components(near_links(prints.select("fp"))).select(F.col("node").alias("fp"), "component")
+    texts = stored(texts.select("same", "id", "size", "fp", "sketch", "views"), "simhash-texts")
+    near = connected_components(near_links(stored(texts.select("fp").distinct(), "simhash-distinct"))).select(F.col("node").alias("fp"), "component")
     near = stored(near, "simhash-components")
-    named = stored(split_join(texts.select("id", "fp"), near, ["fp"], "left", LIMITS).select("id", F.coalesce("component", "fp").alias("part")), "simhash-named")
-    heads = named.groupBy("part").agg(F.min("id").alias("head"))
-    bits = split_join(named, stored(heads, "simhash-heads"), ["part"], "inner", LIMITS).select(F.col("id").alias("src"), F.col("head").alias("dst"))
-    links = bits.union(_view_links(texts.select("id", "sketch", "views"), similarity - 0.05)).filter("src != dst")
+    # The class by bits is one more view.
+    part = F.array(F.coalesce("component", "fp"))
+    named = split_join(texts, near, ["fp"], "left", LIMITS).select("same", "id", "size", "sketch", F.concat("views", part).alias("views"))
+    bodies = known.select(F.col("doc_id").alias("id"), "same", "text")
+    links = _view_links(stored(named, "simhash-named"), bodies, words, similarity)
     again = copies.filter("doc_id != id").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
     classes = connected_components(links.union(again)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     return split_join(docs.filter("doc_id is not null").select("doc_id"), stored(classes, "simhash-classes"), ["doc_id"], "left", LIMITS).select(

@@ -401,6 +401,25 @@ def test_samples_of_short_texts_meet():
         assert shared >= 297, (size, shared)
 
 
+def test_similar_documents_are_verified(spark):
+    """Short texts are linked if 0.8 of their shingles are in common, and not at 0.65 to 0.79."""
+    rng = np.random.default_rng(9)
+    texts, wanted = [], []
+    for size in (14, 24, 44, 64, 100) * 12:
+        a, b = near_pair(rng, size)
+        below = b.split()
+        while (len(below) - 4) / (size - 4) >= 0.8 - 0.06 * (len(wanted) % 3):
+            below.pop()
+        for other, alike in ((b, True), (" ".join(below), False)):
+            own = [f"{len(texts)}{word}" for word in a.split()]
+            texts += [" ".join(own), " ".join(own[: len(other.split())])]
+            wanted.append(alike)
+    found = dict(simhash.similar_documents(docs(spark, *texts)).collect())
+    linked = [found[2 * n + 1] == 2 * n for n in range(len(wanted))]
+    assert not any(got for got, alike in zip(linked, wanted) if not alike)
+    assert sum(got for got, alike in zip(linked, wanted) if alike) >= 59
+
+
 ITEM = "If Anna buys 12 red apples for 3 dollars each and gives away 5 apples to Peter how many apples does Anna have"
 
 
