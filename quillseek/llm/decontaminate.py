@@ -161,32 +161,14 @@ def _entry(kind: str, key: Column, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """``(doc_id, item_id, windows, verbatim, template, slots, consistent, kind)``: items that documents hold.
+def _known(*ids: str) -> Column:
+    """Ids as a key in which null equals null."""
+    return F.struct(*(part for n in ids for part in (F.coalesce(n, F.lit(0)).alias(n), F.col(n).isNull().alias(f"no_{n}"))))
 
-    Words are lower-cased without punctuation at their ends. In templates, numbers, units after numbers
-    and capitalised words within a sentence are placeholders. An item leaks as ``verbatim`` if 0.8 of its
-    windows of five words occur in the document, or as ``template`` if 0.8 do as templates and 0.8 of its
-    slot values always stand for one value of the document. Items of fewer words are one window; items
-    and documents without words match nothing. Rows of one id count as one document or item; null ids
-    too. Empty tables give an empty result.
 
-    Documents are read once; only windows whose hash can be in the benchmark leave that pass, and meet
-    its windows by an equality join of any size.
-    """
-    asked = benchmark.select(F.col("item_id").cast("long"), "text")
-    items = stored(asked.mapInArrow(window_batches(config.words, None), WINDOWS), "leak-items")
-    found = docs.select(F.col("doc_id").cast("long"), "text")
-    hits = found.mapInArrow(window_batches(config.words, _filter_map(items)), WINDOWS)
-    hits = stored(hits.select(F.col("row").alias("doc_id"), "window", F.col("slots").alias("values")).distinct(), "leak-hits")
-    items = items.select(F.col("row").alias("item_id"), "place", "window", "template", "slots", "total")
-    plain_only = items.filter("not template").select("item_id", "place", "window", "total")
-    slotted = items.filter("template").select("item_id", "place", F.lit(True).alias("slotted")).distinct()
-    plain = plain_only.join(slotted, ["item_id", "place"], "left").select(
-        "item_id", "place", "window", "total", F.lit(None).cast("array<string>").alias("slots"), F.coalesce("slotted", F.lit(False)).alias("slotted")
-    )
-    windows = plain.unionByName(items.filter("template").select("item_id", "place", "window", "total", "slots", F.lit(True).alias("slotted")))
-    met = split_join(hits, stored(windows.distinct(), "leak-windows"), ["window"], "inner", LIMITS)
+def _judged(met: DataFrame, keys: list[str]) -> DataFrame:
+    """For each of ``keys``, how many windows and slots of the item were ``met``, and how many slots always
+    stand for one value."""
     place = F.col("place").cast("string")
     pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("values").alias("other"))
     entries = F.when(
@@ -199,18 +181,68 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
             F.transform(F.coalesce(pairs, F.array()), lambda p: _entry("slot", p["own"], p["other"])),
         )
     )
-    told = met.select("doc_id", "item_id", "total", F.explode(entries).alias("entry")).select("doc_id", "item_id", "total", "entry.*")
-    each = told.groupBy("doc_id", "item_id", "kind", "key").agg(
+    told = met.select(*keys, "total", F.explode(entries).alias("entry")).select(*keys, "total", "entry.*")
+    each = told.groupBy(*keys, "kind", "key").agg(
         F.max("total").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     one = lambda kind, also=F.lit(True): F.sum(F.when((F.col("kind") == kind) & also, 1).otherwise(0)).cast("int")
-    judged = each.groupBy("doc_id", "item_id").agg(
+    return each.groupBy(*keys).agg(
         F.max("total").alias("windows"),
         one("plain").alias("verbatim"),
         one("template").alias("template"),
         one("slot").alias("slots"),
         one("slot", F.col("low") == F.col("high")).alias("consistent"),
     )
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
+    """``(doc_id, item_id, windows, verbatim, template, slots, consistent, kind)``: items that documents hold.
+
+    Words are lower-cased without punctuation at their ends. In templates, numbers, units after numbers
+    and capitalised words within a sentence are placeholders. An item leaks as ``verbatim`` if 0.8 of its
+    windows of five words occur in the document, or as ``template`` if 0.8 do as templates and 0.8 of its
+    slot values always stand for one value, in the whole document or in one alignment of it: the places at
+    which one copy of the item would lie, so that other copies and chance matches do not count. Items of fewer words are one window; items
+    and documents without words match nothing. Rows of one id count as one document or item; null ids
+    too. Empty tables give an empty result.
+
+    Documents are read once; only windows whose hash can be in the benchmark leave that pass, and meet
+    its windows by an equality join of any size.
+    """
+    asked = benchmark.select(F.col("item_id").cast("long"), "text")
+    items = stored(asked.mapInArrow(window_batches(config.words, None), WINDOWS), "leak-items")
+    found = docs.select(F.col("doc_id").cast("long"), "text")
+    hits = found.mapInArrow(window_batches(config.words, _filter_map(items)), WINDOWS)
+    hits = stored(hits.select(F.col("row").alias("doc_id"), F.col("place").alias("at"), "window", F.col("slots").alias("values")), "leak-hits")
+    items = items.select(F.col("row").alias("item_id"), "place", "window", "template", "slots", "total")
+    plain_only = items.filter("not template").select("item_id", "place", "window", "total")
+    slotted = items.filter("template").select("item_id", "place", F.lit(True).alias("slotted")).distinct()
+    plain = plain_only.join(slotted, ["item_id", "place"], "left").select(
+        "item_id", "place", "window", "total", F.lit(None).cast("array<string>").alias("slots"), F.coalesce("slotted", F.lit(False)).alias("slotted")
+    )
+    windows = plain.unionByName(items.filter("template").select("item_id", "place", "window", "total", "slots", F.lit(True).alias("slotted")))
+    windows = stored(windows.distinct(), "leak-windows")
     verbatim = F.col("verbatim") >= F.col("windows") * config.share
-    template = (F.col("template") >= F.col("windows") * config.share) & (F.col("consistent") >= F.col("slots") * config.share)
-    return judged.withColumn("kind", F.when(verbatim, "verbatim").when(template, "template")).filter("kind is not null")
+    template = F.col("template") >= F.col("windows") * config.share
+    consistent = F.col("consistent") >= F.col("slots") * config.share
+    met = split_join(hits.select("doc_id", "window", "values").distinct(), windows, ["window"], "inner", LIMITS)
+    judged = stored(_judged(met, ["doc_id", "item_id"]), "leak-judged")
+    sure = judged.withColumn("kind", F.when(verbatim, "verbatim").when(template & consistent, "template")).filter("kind is not null")
+    # Where only the slots disagree, more copies than one may be the reason.
+    unsure = judged.filter(~verbatim & template & ~consistent)
+    unsure = stored(unsure.select(_known("doc_id").alias("doc"), _known("doc_id", "item_id").alias("pair"), F.col("verbatim").alias("whole")), "leak-unsure")
+    some = stored(unsure.select("doc").distinct(), "leak-unsure-docs")
+    again = split_join(hits.withColumn("doc", _known("doc_id")), some, ["doc"], "left_semi", LIMITS).drop("doc")
+    again = split_join(again, windows, ["window"], "inner", LIMITS).withColumn("pair", _known("doc_id", "item_id"))
+    again = split_join(again, unsure.select("pair", "whole"), ["pair"], "inner", LIMITS).drop("pair")
+    shift, width = F.col("at") - F.col("place"), F.greatest(F.lit(1), F.floor((F.col("total") + config.words - 1) / 2)).cast("int")
+    grid = lambda n, move: F.struct(F.lit(n).alias("grid"), F.floor((shift + move) / width).cast("int").alias("cell"))
+    exact = F.struct(F.lit(0).alias("grid"), shift.alias("cell"))
+    alignments = F.array(exact, grid(1, F.lit(0)), grid(2, F.floor(width / 2)))
+    again = again.withColumn("alignment", F.explode(alignments))
+    aligned = _judged(again, ["doc_id", "item_id", "whole", "alignment"]).filter(template & consistent)
+    best = aligned.groupBy("doc_id", "item_id", "whole").agg(
+        F.max_by(F.struct("windows", "template", "slots", "consistent"), F.struct("template", "consistent", "alignment")).alias("best")
+    )
+    found = best.select("doc_id", "item_id", "best.windows", F.col("whole").alias("verbatim"), "best.template", "best.slots", "best.consistent", F.lit("template").alias("kind"))
+    return sure.unionByName(found)

@@ -444,6 +444,19 @@ def test_inconsistent_slots_do_not_leak(spark):
     assert leaked(spark, [same, other], [(1, item)]) == {(0, 1): "template"}
 
 
+def test_one_of_several_copies_leaks(spark):
+    """Two copies of one question with other values each, also where a few words were put in."""
+    copy = lambda a, b, n, m: ITEM.replace("12", n).replace("Anna", a).replace("Peter", b).replace("5", m)
+    first, second = copy("Clara", "Tom", "40", "7"), copy("Zoe", "Max", "31", "8")
+    longer = second.replace("gives away", "then later gives away")
+    texts = [f"so {first} . and {second} .", f"so {first} . {longer} {ITEM[:30]}"]
+    found = leaked(spark, texts, [(1, ITEM)])
+    assert found.get((0, 1)) == found.get((1, 1)) == "template"
+    rows = spark.createDataFrame([(None, texts[0])], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
+    assert [r["kind"] for r in decontaminate.leaks(rows, items).collect()] == ["template"]
+
+
 def test_leaks_of_given_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
