@@ -41,7 +41,8 @@ class LeakConfig:
     share: float = 0.8
 
 
-WINDOWS = "row long, place int, window long, template boolean, slots array<string>, total int"
+WINDOWS = "row long, place int, window long, forms int, slots array<string>, total int"
+PLAIN, NARROW, WIDE = 1, 2, 4  # forms that a window stands for; wide templates take a sentence's first word too
 
 
 def _facts(word: str) -> tuple[str, int, bool, bool]:
@@ -55,7 +56,8 @@ def _facts(word: str) -> tuple[str, int, bool, bool]:
 
 
 def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches ``(row, text)``: every window of a text and, where it has slots, its template.
+    """For batches ``(row, text)``: every window of a text and, where it has slots, its templates. In the
+    narrow template a capitalised first word of a sentence stays, in the wide one it is a placeholder.
 
     A text of fewer words is one window. ``keep`` are the low bits of hashes that can match (None: all).
     """
@@ -74,7 +76,7 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
             owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             if len(codes) == 0:
                 continue
-            # A capital marks a name only where no sentence begins.
+            # Whether a capital marks a name is not known where a sentence begins.
             after_end = np.ones(len(codes), dtype=bool)
             after_end[1:] = ends[codes[:-1]] | (owner[1:] != owner[:-1])
             kept = real[codes]
@@ -87,17 +89,19 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
             follows = np.zeros(n, dtype=bool)
             follows[1:] = (kind[:-1] == _NUM) & (owner[1:] == owner[:-1])
             number, unit = kind == _NUM, (kind == _UNIT) & follows
-            name = capital[codes] & ~after_end & ~number & ~unit
+            capitals = capital[codes] & ~number & ~unit
+            name = capitals & ~after_end
             plain = keys[codes]
-            template = plain.copy()
-            template[number], template[unit], template[name] = _PLACE[_NUM], _PLACE[_UNIT], _PLACE["name"]
-            slot = number | unit | name
+            narrow = plain.copy()
+            narrow[number], narrow[unit], narrow[name] = _PLACE[_NUM], _PLACE[_UNIT], _PLACE["name"]
+            wide = np.where(capitals, np.uint64(_PLACE["name"]), narrow)
+            slots_of = {NARROW: number | unit | name, WIDE: number | unit | capitals}
             length = first[owner + 1] - np.arange(n)  # words left in the text
             whole = first[owner + 1] - first[owner]
             starts = np.flatnonzero((length >= words) | ((whole < words) & (length == whole)))
             hashed = []
             with np.errstate(over="ignore"):
-                for form in (plain, template):
+                for form in (plain, narrow, wide):
                     total = np.zeros(len(starts), dtype=np.uint64)
                     for k in range(words):
                         at = np.minimum(starts + k, n - 1)
@@ -106,13 +110,22 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
                         total = total * np.uint64(0x100000001B3) + np.where(k < length[starts], term, np.uint64(0))
                     total ^= total >> np.uint64(29)
                     hashed.append(total * np.uint64(_ODD[0]))
-            sums = np.concatenate(([0], np.cumsum(slot)))
-            slotted = sums[np.minimum(starts + words, first[owner[starts] + 1])] > sums[starts]
+            last = np.minimum(starts + words, first[owner[starts] + 1])
+            sums = {form: np.concatenate(([0], np.cumsum(slot))) for form, slot in slots_of.items()}
+            held = {form: total[last] - total[starts] for form, total in sums.items()}
+            begins = held[WIDE] > held[NARROW]
+            # A template that equals a form before it is no row of its own.
+            forms_of = {
+                PLAIN: PLAIN + NARROW * (held[NARROW] == 0) + WIDE * (held[WIDE] == 0),
+                NARROW: NARROW + WIDE * ~begins,
+                WIDE: np.full(len(starts), WIDE),
+            }
+            chosen_of = {PLAIN: np.ones(len(starts), dtype=bool), NARROW: held[NARROW] > 0, WIDE: begins}
             rows = batch.column(0)
             count = np.maximum(1, np.diff(first) - words + 1)
             out = []
-            for is_template, hashes in ((False, hashed[0]), (True, hashed[1])):
-                chosen = np.ones(len(starts), dtype=bool) if not is_template else slotted
+            for form, hashes in zip((PLAIN, NARROW, WIDE), hashed):
+                chosen = chosen_of[form]
                 if keep is not None:
                     low = (hashes & mask).astype(np.int64)
                     chosen = chosen & ((keep[low >> 3] >> (low & 7)) & 1).astype(bool)
@@ -121,7 +134,8 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
                     continue
                 at = starts[hit]
                 slots: list[list[str] | None] = [None] * len(hit)
-                if is_template:
+                if form != PLAIN:
+                    slot = slots_of[form]
                     slots = [[forms[codes[j]] for j in range(i, min(i + words, first[owner[i] + 1])) if slot[j]] for i in at]
                 out.append(
                     pa.RecordBatch.from_arrays(
@@ -129,11 +143,11 @@ def window_batches(words: int, keep: np.ndarray | None) -> Callable[[Iterator[pa
                             rows.take(pa.array(owner[at])).cast(pa.int64()),
                             pa.array((at - first[owner[at]]).astype(np.int32)),
                             pa.array(hashes[hit].view(np.int64)),
-                            pa.array(np.full(len(hit), is_template)),
+                            pa.array(forms_of[form][hit].astype(np.int32)),
                             pa.array(slots, type=pa.list_(pa.string())),
                             pa.array(count[owner[at]].astype(np.int32)),
                         ],
-                        names=["row", "place", "window", "template", "slots", "total"],
+                        names=["row", "place", "window", "forms", "slots", "total"],
                     )
                 )
             yield from out
@@ -166,40 +180,46 @@ def _known(*ids: str) -> Column:
     return F.struct(*(part for n in ids for part in (F.coalesce(n, F.lit(0)).alias(n), F.col(n).isNull().alias(f"no_{n}"))))
 
 
-def _judged(met: DataFrame, keys: list[str]) -> DataFrame:
+def _judged(met: DataFrame, keys: list[str], share: float) -> DataFrame:
     """For each of ``keys``, how many windows and slots of the item were ``met``, and how many slots always
-    stand for one value."""
+    stand for one value. Of the two templates the narrow one counts, unless only the wide one has ``share``."""
     place = F.col("place").cast("string")
-    pairs = F.arrays_zip(F.col("slots").alias("own"), F.col("values").alias("other"))
-    entries = F.when(
-        F.col("slots").isNull(),
-        F.when(F.col("slotted"), F.array(_entry("plain", place, F.lit(""))))
-        .otherwise(F.array(_entry("plain", place, F.lit("")), _entry("template", place, F.lit("")))),
-    ).otherwise(
-        F.concat(
-            F.array(_entry("template", place, F.lit(""))),
-            F.transform(F.coalesce(pairs, F.array()), lambda p: _entry("slot", p["own"], p["other"])),
-        )
-    )
+    pairs = F.coalesce(F.arrays_zip(F.col("slots").alias("own"), F.col("values").alias("other")), F.array())
+    stands = lambda form: F.col("forms").bitwiseAND(F.lit(form)) != 0
+    parts = [F.when(stands(PLAIN), F.array(_entry("plain", place, F.lit(""))))]
+    for form, name in ((NARROW, "narrow"), (WIDE, "wide")):
+        kind = f"{name} slot"
+        slots = F.transform(pairs, lambda p: _entry(kind, p["own"], p["other"]))  # noqa: B023
+        parts.append(F.when(stands(form), F.concat(F.array(_entry(name, place, F.lit(""))), slots)))
+    entries = F.flatten(F.array_compact(F.array(*parts)))
     told = met.select(*keys, "total", F.explode(entries).alias("entry")).select(*keys, "total", "entry.*")
     each = told.groupBy(*keys, "kind", "key").agg(
         F.max("total").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     one = lambda kind, also=F.lit(True): F.sum(F.when((F.col("kind") == kind) & also, 1).otherwise(0)).cast("int")
-    return each.groupBy(*keys).agg(
-        F.max("total").alias("windows"),
-        one("plain").alias("verbatim"),
-        one("template").alias("template"),
-        one("slot").alias("slots"),
-        one("slot", F.col("low") == F.col("high")).alias("consistent"),
+    forms = [
+        F.struct(
+            one(name).alias("template"),
+            one(f"{name} slot").alias("slots"),
+            one(f"{name} slot", F.col("low") == F.col("high")).alias("consistent"),
+        ).alias(name)
+        for name in ("narrow", "wide")
+    ]
+    counted = each.groupBy(*keys).agg(F.max("total").alias("windows"), one("plain").alias("verbatim"), *forms)
+    enough = lambda n, of: F.col(n) >= F.col(of) * share
+    wider = enough("wide.template", "windows") & (
+        ~enough("narrow.template", "windows") | (~enough("narrow.consistent", "narrow.slots") & enough("wide.consistent", "wide.slots"))
     )
+    best = F.when(wider, F.col("wide")).otherwise(F.col("narrow")).alias("best")
+    return counted.select(*keys, "windows", "verbatim", best).select(*keys, "windows", "verbatim", "best.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """``(doc_id, item_id, windows, verbatim, template, slots, consistent, kind)``: items that documents hold.
 
     Words are lower-cased without punctuation at their ends. In templates, numbers, units after numbers
-    and capitalised words within a sentence are placeholders. An item leaks as ``verbatim`` if 0.8 of its
+    and capitalised words within a sentence are placeholders; in a second, wider form a sentence's first word
+    is one too if it is capitalised, and either form will do. An item leaks as ``verbatim`` if 0.8 of its
     windows of five words occur in the document, or as ``template`` if 0.8 do as templates and 0.8 of its
     slot values always stand for one value, in the whole document or in one alignment of it: the places at
     which one copy of the item would lie, so that other copies and chance matches do not count. Items of fewer words are one window; items
@@ -214,19 +234,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
     found = docs.select(F.col("doc_id").cast("long"), "text")
     hits = found.mapInArrow(window_batches(config.words, _filter_map(items)), WINDOWS)
     hits = stored(hits.select(F.col("row").alias("doc_id"), F.col("place").alias("at"), "window", F.col("slots").alias("values")), "leak-hits")
-    items = items.select(F.col("row").alias("item_id"), "place", "window", "template", "slots", "total")
-    plain_only = items.filter("not template").select("item_id", "place", "window", "total")
-    slotted = items.filter("template").select("item_id", "place", F.lit(True).alias("slotted")).distinct()
-    plain = plain_only.join(slotted, ["item_id", "place"], "left").select(
-        "item_id", "place", "window", "total", F.lit(None).cast("array<string>").alias("slots"), F.coalesce("slotted", F.lit(False)).alias("slotted")
-    )
-    windows = plain.unionByName(items.filter("template").select("item_id", "place", "window", "total", "slots", F.lit(True).alias("slotted")))
+    windows = items.select(F.col("row").alias("item_id"), "place", "window", "forms", "slots", "total")
     windows = stored(windows.distinct(), "leak-windows")
     verbatim = F.col("verbatim") >= F.col("windows") * config.share
     template = F.col("template") >= F.col("windows") * config.share
     consistent = F.col("consistent") >= F.col("slots") * config.share
     met = split_join(hits.select("doc_id", "window", "values").distinct(), windows, ["window"], "inner", LIMITS)
-    judged = stored(_judged(met, ["doc_id", "item_id"]), "leak-judged")
+    judged = stored(_judged(met, ["doc_id", "item_id"], config.share), "leak-judged")
     sure = judged.withColumn("kind", F.when(verbatim, "verbatim").when(template & consistent, "template")).filter("kind is not null")
     # Where only the slots disagree, more copies than one may be the reason.
     unsure = judged.filter(~verbatim & template & ~consistent)
@@ -240,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig
     exact = F.struct(F.lit(0).alias("grid"), shift.alias("cell"))
     alignments = F.array(exact, grid(1, F.lit(0)), grid(2, F.floor(width / 2)))
     again = again.withColumn("alignment", F.explode(alignments))
-    aligned = _judged(again, ["doc_id", "item_id", "whole", "alignment"]).filter(template & consistent)
+    aligned = _judged(again, ["doc_id", "item_id", "whole", "alignment"], config.share).filter(template & consistent)
     best = aligned.groupBy("doc_id", "item_id", "whole").agg(
         F.max_by(F.struct("windows", "template", "slots", "consistent"), F.struct("template", "consistent", "alignment")).alias("best")
     )

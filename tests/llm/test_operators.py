@@ -457,6 +457,17 @@ def test_one_of_several_copies_leaks(spark):
     assert [r["kind"] for r in decontaminate.leaks(rows, items).collect()] == ["template"]
 
 
+def test_names_at_the_start_of_sentences(spark):
+    """A question whose sentences begin with names leaks with other names; with names mixed up it does not."""
+    item = (
+        "{a} has 14 green marbles in a bag . {b} takes 6 of them away on Monday . {a} then buys 9 more at the shop . "
+        "{b} wants to know how many marbles are in it now ?"
+    )
+    mixed_up = item.replace("14 green", "{c} green").format(a="Olga", b="Ivan", c=20).replace("Olga then", "Nils then").replace("Ivan wants", "Maja wants")
+    found = leaked(spark, ["so . " + item.format(a="Olga", b="Ivan") + " end", "so . " + mixed_up + " end"], [(1, item.format(a="Anna", b="Peter"))])
+    assert found == {(0, 1): "template"}
+
+
 def test_leaks_of_given_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
