@@ -50,6 +50,18 @@ def test_leaked_documents_go(spark, documents):
     assert planted and planted <= gone and len(gone) <= 1.2 * len(planted) + 3
 
 
+def test_rows_with_null_or_repeated_ids(spark, documents):
+    """Copies and leaks go by row: null ids are not spared, and a clean row stays beside a leaked one of its id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 60").first()["text"]
+    clean, other = (" ".join(f"{w}{n}" for n in range(30)) for w in ("clean", "other"))
+    ids = [None, None, 7, 7, 8, 8]
+    rows = lambda *texts: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], documents.schema)
+    left = NAMES["benchmark decontamination"](spark, rows(item, clean, item, other), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(None, clean), (7, other)], key=str)
+    left = NAMES["simhash near-dedup"](spark, rows(clean, other, clean, clean, other, other), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left)) == [(7, clean), (8, other)]
+
+
 def test_toxic_documents_go(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = NAMES["toxicity"](spark, documents, SF).select("doc_id").join(labels, "doc_id")
