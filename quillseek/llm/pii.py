@@ -200,14 +200,31 @@ def _rewritten(kind: int, span: str) -> list[str]:
     return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}"]
 
 
+_OTHER_FORMATS = (
+    re.compile(r"\S+ ?(?:\(at\)|\[at\]|\{at\}) ?\S.*|\S+ (?:at|@) \S.*(?: dot |[(\[{]dot).*|\S+@\S.*(?: dot |[(\[{]dot).*"),
+    re.compile(r"[0-9]{1,3}([:-])[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}"),
+    re.compile(r"[0-9]{4}([./:_-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?"),
+    re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"),
+)
+
+
+def in_other_format(span: str) -> bool:
+    """Whether a span looks like a datum in a format that the base patterns miss."""
+    email, ip, card, phone = (pattern.fullmatch(span) for pattern in _OTHER_FORMATS)
+    if ip and max(int(part) for part in re.findall(r"[0-9]+", span)) > 255:
+        ip = None
+    return bool(email or ip or (card and luhn(_digits(span))) or phone)
+
+
 def examples(text: str) -> list[tuple[list[float], int]]:
-    """Features and kind (-1: none) of a text's candidates, and of its base spans in other formats."""
+    """Features and kind (-1: none) of a text's candidates, and of its base spans in other formats. Candidates
+    that look like a datum in another format are neither: nothing tells whether they are one."""
     base = base_spans(text)
     found = []
     for start, end in candidates(text):
         over = [(s, k, e) for s, k, e in base if s < end and start < e]
         exact = [k for s, k, e in over if (s, e) == (start, end)]
-        if exact or not over:
+        if exact or (not over and not in_other_format(text[start:end])):
             found.append((features(text, start, end), exact[0] if exact else -1))
     for start, kind, end in base:
         for other in _rewritten(kind, text[start:end]):
@@ -219,7 +236,8 @@ def examples(text: str) -> list[tuple[list[float], int]]:
 
 def fit(docs: DataFrame, config: PiiConfig = PiiConfig()) -> list[Trees]:
     """A model for each kind. Base spans, also rewritten in other formats, are the positive examples, and
-    candidates that no base format accepts are the negative ones. Only the models reach the driver."""
+    candidates that no base format accepts and that do not look like one in another format are the negative
+    ones. Only the models reach the driver."""
     ids = docs.filter("doc_id is not null").select("doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64(F.lit(config.seed), "doc_id"), "doc_id").limit(config.sample)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text")  # as many ids as the sample has

@@ -525,6 +525,24 @@ def test_personal_data_in_other_formats(spark):
         assert pii.found_in(text, models, 0.9)[1] == [], text
 
 
+def test_personal_data_mostly_in_other_formats(spark):
+    """Data in formats that no base pattern accepts are found where they are the most common ones."""
+    rng = np.random.default_rng(5)
+    number = lambda *sizes: ["".join(map(str, rng.integers(2, 10, size))) for size in sizes]
+    texts = []
+    for n in range(400):
+        a, b, c = number(3, 3, 4)
+        texts.append(f"call {a}-{b}-{c} or write to ann{n} (at) mail{n % 7}.example.com on 2024-0{n % 9 + 1}-05 , version 2.0.{n}")
+        if n % 8 == 0:
+            texts.append(f"call +1 {b} {a} {c} or write to bob{n}@mail{n % 7}.example.com soon")
+    models = pii.fit(docs(spark, *texts))
+    for text in ("call 988-555-2485 or so", "write to anna (at) mail3.example.com soon"):
+        base, spans = pii.found_in(text, models, 0.9)
+        assert base == [] and len(spans) == 1, text
+    for text in ("on 2024-01-05 , version 2.0.17", "version 2.0.1 of 1999"):
+        assert pii.found_in(text, models, 0.9)[1] == [], text
+
+
 def test_personal_data_of_odd_rows(spark):
     odd = docs(spark, None, "", "a@b.cd", "1" * 50_000).withColumn("spans", F.lit("mine"))
     rows = {r["doc_id"]: r for r in pii.redacted(odd).collect()}
