@@ -49,13 +49,35 @@ def normal_form(url: Column) -> Column:
     )
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved; never above the root."""
+    parts = F.split(path, "/")
+    final = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(final, "/").otherwise(""))
+
+
 def absolute(target: Column, url: Column) -> Column:
-    """A link target as an address; null where it is neither absolute nor relative to the host."""
-    scheme = F.regexp_extract(url, _PARTS, 1)
+    """A link target as an address, resolved against the page's; null where it has a scheme without ``//``."""
+    start = F.concat(F.regexp_extract(url, _PARTS, 1), F.lit("://"), host_of(url))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", 2)
+    query = F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/") & url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), target))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, _PARTS, 1), F.lit(":"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~url.contains("://"), F.lit(None))
+        .when(target.startswith("#"), F.concat(start, path, query, target))
+        .when(target.startswith("?"), F.concat(start, path, target))
+        .when(target.startswith("/"), F.concat(start, _without_dots(own), rest))
+        .otherwise(F.concat(start, _without_dots(F.concat(folder, own)), rest))
     )
 
 

@@ -295,6 +295,22 @@ def test_url_rules_and_aliases(spark):
     assert (found[1]["host"], found[1]["path"], found[9]["host"], found[10]["path"]) == ("www.site.net", "/A", "", "")
 
 
+def test_relative_targets(spark):
+    """Canonical links and refreshes that are relative to the page carry verdicts as absolute ones do."""
+    cases = [
+        ("new.html", "https://H.org/a/b/new.html"), ("../a", "https://h.org/a/a"), ("?id=3", "https://h.org/a/b/c?id=3"), ("./", "https://h.org/a/b/"),
+        ("../../../x?y=http://z.org", "https://h.org/x?y=http://z.org"), ("/r/./s", "https://h.org/r/s"), ("#top", "https://h.org/a/b/c?q=1#top"),
+        ("//k.org/1", "https://k.org/1"), ("http://k.org/1", "http://k.org/1"), ("..", "https://h.org/a/"), ("mailto:a@b.cd", None),
+    ]
+    frame = spark.createDataFrame([(t, "https://h.org/a/b/c?q=1#f") for t, _ in cases], "target string, url string")
+    told = [r[0] for r in frame.select(url_filter.absolute(F.col("target"), F.col("url"))).collect()]
+    assert told == [w.replace("H.org", "h.org") if w else None for _, w in cases]
+    page = lambda to: f'<link rel="canonical" href="{to}">'
+    rules = [("block", "h.org/a/new"), ("block", "g.org/x/")]
+    found = judged(spark, [(1, "https://h.org/a/old", page("new.html")), (2, "https://g.org/y/1", page("../x/2")), (3, "https://g.org/y/3", None)], rules)
+    assert {n: r["verdict"] for n, r in found.items()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_urls_of_nothing(spark):
     assert judged(spark, []) == {}
 
