@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillseek.llm import ann, decontaminate, line_dedup, mixing, pii, pitman_yor, sharding, simhash, toxicity, url_filter
+from quillseek.llm import ann, decontaminate, line_dedup, mixing, pii, pitman_yor, pivots, sharding, simhash, toxicity, url_filter
 from quillseek.llm.common import table
 
 # The rules that the URL query judges by.
@@ -60,6 +60,10 @@ def crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def pivot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.highest_products(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {
     "op1_line_edits": line_edits,
     "op2_histogram_shards": histogram_shards,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_template_leaks": template_leaks,
     "op9_boosted_pii": boosted_pii,
     "op10_crf_toxicity": crf_toxicity,
+    "op13_pivot_products": pivot_products,
 }
 
 ORACLE: dict[str, str] = {}
@@ -168,3 +173,14 @@ near AS (
 SELECT DISTINCT l.doc_id, l.line_no, f.place.d AS kept_doc_id, f.place.n AS kept_line_no, 0 AS distance
 FROM lines l JOIN firsts f ON f.line = l.line WHERE l.doc_id <> f.place.d OR l.line_no <> f.place.n
 UNION ALL SELECT place.d, place.n, kept.d, kept.n, 1 FROM near"""
+
+# All pairs of queries and rows, in the same whole numbers.
+ORACLE["op13_pivot_products"] = """
+WITH kept AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM kept q JOIN kept x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5"""
