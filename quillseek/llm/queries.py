@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillseek.llm import ann, decontaminate, line_dedup, mixing, pii, pitman_yor, pivots, sharding, simhash, toxicity, url_filter
+from quillseek.llm import ann, collocations, decontaminate, line_dedup, mixing, pii, pitman_yor, pivots, sharding, simhash, toxicity, url_filter
 from quillseek.llm.common import table
 
 # The rules that the URL query judges by.
@@ -60,6 +60,10 @@ def crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pivot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.highest_products(table(spark, sf_dir, "embeddings"))[0]
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_template_leaks": template_leaks,
     "op9_boosted_pii": boosted_pii,
     "op10_crf_toxicity": crf_toxicity,
+    "op12_quotient_collocations": quotient_collocations,
     "op13_pivot_products": pivot_products,
 }
 
@@ -184,3 +189,29 @@ scored AS (
   FROM kept q JOIN kept x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
+
+ORACLE["op12_quotient_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lines AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM lines
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM lines
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM lines),
+f AS (SELECT lang, size, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, size, phrase, a, w, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM f, (VALUES (1), (2)) cut(k) WHERE size > k AND a >= 10),
+valued AS (
+  SELECT c.*, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[:2], ' ') AS phrase, a FROM f WHERE size = 3 AND a >= 10
+  UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM f WHERE size = 3 AND a >= 10),
+held AS (SELECT lang, phrase, max(a) AS longest FROM longer GROUP BY ALL)
+SELECT v.lang, row_number() OVER (PARTITION BY v.lang ORDER BY score DESC, a DESC, encode(v.phrase)) AS rank, v.phrase, a, l, r, n, score
+FROM lowest v JOIN totals USING (lang) LEFT JOIN held h ON v.size = 2 AND h.lang = v.lang AND h.phrase = v.phrase
+WHERE h.longest IS NULL OR 100 * h.longest < 50 * a QUALIFY rank <= 2000"""
