@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillseek.llm import ann, collocations, decontaminate, line_dedup, mixing, pii, pitman_yor, pivots, sharding, simhash, toxicity, url_filter
+from quillseek.llm import ann, collocations, conversations, decontaminate, line_dedup, mixing, pii, pitman_yor, pivots, sharding, simhash, toxicity, url_filter
 from quillseek.llm.common import table
 
 # The rules that the URL query judges by.
@@ -60,6 +60,11 @@ def crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def persistent_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit_report(conversations.repair(conversations.damaged(rows), rows))
+
+
 def quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_template_leaks": template_leaks,
     "op9_boosted_pii": boosted_pii,
     "op10_crf_toxicity": crf_toxicity,
+    "op11_persistent_audits": persistent_audits,
     "op12_quotient_collocations": quotient_collocations,
     "op13_pivot_products": pivot_products,
 }
@@ -215,3 +221,54 @@ held AS (SELECT lang, phrase, max(a) AS longest FROM longer GROUP BY ALL)
 SELECT v.lang, row_number() OVER (PARTITION BY v.lang ORDER BY score DESC, a DESC, encode(v.phrase)) AS rank, v.phrase, a, l, r, n, score
 FROM lowest v JOIN totals USING (lang) LEFT JOIN held h ON v.size = 2 AND h.lang = v.lang AND h.phrase = v.phrase
 WHERE h.longest IS NULL OR 100 * h.longest < 50 * a QUALIFY rank <= 2000"""
+
+# crc32 bit by bit; the program row by row, with whole edit sequences and repaired texts.
+ORACLE["op11_persistent_audits"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fate FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM fated WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    lag(substr(role, 1, 1)) OVER w AS previous, regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(text), copy)),
+faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS initial, max(i) OVER (PARTITION BY conv_id) AS many FROM placed),
+inserts(state, middle, added, lines) AS (VALUES
+  (0, 0, 0, CAST([] AS VARCHAR[])), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, CAST([] AS VARCHAR[])), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']),
+  (2, 2, 0, CAST([] AS VARCHAR[])), (2, 3, 1, ['assistant:']), (3, 3, 0, CAST([] AS VARCHAR[])), (3, 2, 1, ['user:'])),
+edits(middle, after, letter, cost, wanted) AS (
+  SELECT s, s, 'D', 2, CAST(NULL AS VARCHAR) FROM range(4) r(s)
+  UNION ALL VALUES (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'),
+    (0, 2, 'R', 1, NULL), (1, 2, 'R', 1, NULL), (3, 2, 'R', 1, NULL), (2, 3, 'R', 1, NULL)),
+moves AS (SELECT state, after, letter, added * 5 + cost AS cost, repeat('I', added) || letter AS letters, wanted, lines FROM inserts JOIN edits USING (middle)),
+program(conv_id, i, state, cost, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, {'audit': '', 'lines': CAST([] AS VARCHAR[])} FROM conversations
+  UNION ALL
+  SELECT p.conv_id, f.i, m.after, min(p.cost + m.cost + CASE WHEN m.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END),
+    arg_min({'audit': p.best.audit || m.letters, 'lines': list_concat(p.best.lines, m.lines, CASE m.letter WHEN 'K' THEN [f.role || ':' || f.text]
+      WHEN 'R' THEN [CASE m.after WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] ELSE CAST([] AS VARCHAR[]) END)},
+      {'cost': p.cost + m.cost + CASE WHEN m.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': p.best.audit || m.letters})
+  FROM program p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN moves m ON m.state = p.state
+  WHERE (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (m.wanted IS NULL OR m.wanted = f.initial)
+  GROUP BY p.conv_id, f.i, m.after),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(many) AS many FROM faulty GROUP BY conv_id),
+ended AS (
+  SELECT p.conv_id, p.cost + last.more AS cost, p.best.audit || last.letters AS audit, list_concat(p.best.lines, last.lines) AS lines
+  FROM program p LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM p.conv_id
+  JOIN (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 10, 'II', ['user:', 'assistant:']), (2, 5, 'I', ['assistant:']), (3, 0, '', CAST([] AS VARCHAR[]))) last(state, more, letters, lines) ON last.state = p.state
+  WHERE p.i = coalesce(f.many, 0)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + last.more, p.best.audit || last.letters) = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(e.cost AS BIGINT) AS cost, e.audit, sha256(array_to_string(e.lines, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id"""
