@@ -94,25 +94,34 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-_FEATURES = 20
+# Words before a number that is a reference, not a datum of a person.
+_REFERENCES = re.compile(
+    r"\b(?:part|order|invoice|version|release|section|chapter|item|ref|isbn|issn|serial|sku|model|build|page|figure|table|line|no|nr|id)\b[ .:#]*$"
+)
+_SIGNS = re.compile(r"@|[(\[{]at[)\]}]")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Of a span's format and of the words before it."""
+    """Of a span's format and of the words before it. Sizes of numbers say nothing of a span with letters, and are
+    0 there; of such a span the sign, the dots and the last label count."""
     span, digits = text[start:end], _digits(text[start:end])
-    groups = re.findall(r"[0-9]+", span)
+    letters = bool(re.search(r"[A-Za-z]", span))
+    groups = [] if letters else re.findall(r"[0-9]+", span)
     sizes = [len(g) for g in groups] or [0]
     before = text[max(0, start - 40) : start].lower()
-    after = text[end : end + 1]
     low = span.lower()
     octets = [int(g) for g in groups if len(g) <= 9]
+    label = re.search(r"[a-z0-9-]*$", low)[0]
     return [
-        len(span), len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1],
-        span.count("."), span.count("-"), span.count(" "), float(span[:1] == "+"), float("(" in span and ")" in span),
-        float("@" in span or "(at)" in low or "[at]" in low or "{at}" in low), float(bool(re.search(r"[A-Za-z]", span))),
+        0 if letters else len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1],
+        span.count("-") if not letters else 0, span.count(" ") if not letters else 0, span.count(".") if not letters else 0,
+        float(span[:1] == "+"), float("(" in span and ")" in span and not letters), float(letters),
+        float(bool(_SIGNS.search(low))), float(letters and bool(re.search(r"(?:[(\[{]dot[)\]}]| dot )", low))),
+        float(letters and bool(re.search(r"\. ", span))), float(letters and label.isalpha() and 2 <= len(label) <= 12),
         float(12 <= len(digits) <= 19 and luhn(digits)), float(len(groups) == 4 and len(octets) == 4 and max(octets) <= 255),
-        *(float(any(re.search(rf"\b{cue}", before) for cue in _CUES[kind])) for kind in KINDS[1:]),
-        float(after.isalnum()),
+        *(float(any(re.search(rf"\b{cue}", before) for cue in _CUES[kind])) for kind in KINDS),
+        float(bool(_REFERENCES.search(before))), float(bool(_DATE.search(span))), float(text[end : end + 1].isalnum()),
     ]
 
 
@@ -122,6 +131,7 @@ class Trees:
     def __init__(self, rounds: int = 30, depth: int = 3, rate: float = 0.3) -> None:
         self.rounds, self.depth, self.rate = rounds, depth, rate
         self.start, self.trees, self.scale = -10.0, [], (1.0, 0.0)
+        self.sure, self.precision, self.recall = 0.9, None, None
 
     def _grow(self, x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int):
         leaf = -gradient.sum() / (weight.sum() + 1.0)
@@ -154,8 +164,9 @@ class Trees:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.start + self.rate * sum((self._value(t, x) for t in self.trees), np.zeros(len(x)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        """Boosts on four fifths of the rows; the rest scales the sum to a probability."""
+    def fit(self, x: np.ndarray, y: np.ndarray, wanted: float = 0.99) -> Trees:
+        """Boosts on four fifths of the rows; the rest scales the sum to a probability, and sets the lowest one,
+        0.5 or more, from which ``wanted`` of the accepted rows are right. ``precision`` and ``recall`` are of these rows."""
         if y.sum() < 5 or y.sum() > len(y) - 5:
             return self
         learn = np.arange(len(y)) % 5 != 4
@@ -170,6 +181,12 @@ class Trees:
             error = 1 / (1 + np.exp(-(a * raw + b))) - held
             a, b = a - 0.02 * (error * raw).mean() - 0.002 * (a - 1), b - 0.02 * error.mean()
         self.scale = (a, b)
+        p = self.probability(x[~learn])
+        for sure in np.unique(np.append(p[p >= 0.5], 0.9)):
+            taken = p >= sure
+            self.sure, self.precision, self.recall = float(sure), held[taken].mean() if taken.any() else 1.0, held[taken].sum() / max(1.0, held.sum())
+            if self.precision >= wanted:
+                break
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -179,10 +196,12 @@ class Trees:
 @dataclass(frozen=True)
 class PiiConfig:
     """``sample``: documents, the first by a hash of their ids, whose candidates the trees are fitted on.
-    ``sure``: calibrated probability from which a candidate is redacted."""
+    ``sure``: calibrated probability from which a candidate is redacted; None: for each kind the one that reaches
+    ``precision`` on candidates held out."""
 
     sample: int = 20_000
-    sure: float = 0.9
+    sure: float | None = None
+    precision: float = 0.99
     seed: int = 42
 
 
@@ -200,6 +219,23 @@ def _rewritten(kind: int, span: str) -> list[str]:
     return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}"]
 
 
+def _near_misses(kind: int, span: str) -> list[tuple[str, str]]:
+    """Words before and a number that looks much like the datum but is none: digits that fail their test, octets
+    past 255, dates, reference numbers."""
+    digits = _digits(span)
+    if kind == 1:
+        wrong = re.sub(r"^[0-9]+", str(256 + int(digits[:2])), span)
+        return [("", wrong), ("", wrong.replace(".", "-")), ("version ", span.replace(".", "-")), ("release ", span.replace(".", "-"))]
+    if kind == 2:
+        wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        return [("", wrong), *(("", other) for other in _rewritten(2, wrong)), ("serial ", wrong)]
+    if kind == 3:
+        year, month, day = 1950 + int(digits[-2:]) % 100, int(digits[-4:-2]) % 12 + 1, int(digits[-6:-4]) % 28 + 1
+        words = ("part ", "order ", "isbn ", "invoice no. ")
+        return [(word, other) for word, other in zip(words, _rewritten(3, span))] + [("on ", f"{year}-{month:02}-{day:02}"), ("", f"{day:02}.{month:02}.{year}"), ("at ", f"{year}-{month:02}-{day:02} {digits[-2:]}:{digits[:2]}")]
+    return []
+
+
 _OTHER_FORMATS = (
     re.compile(r"\S+ ?(?:\(at\)|\[at\]|\{at\}) ?\S.*|\S+ (?:at|@) \S.*(?: dot |[(\[{]dot).*|\S+@\S.*(?: dot |[(\[{]dot).*"),
     re.compile(r"[0-9]{1,3}([:-])[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}"),
@@ -217,8 +253,8 @@ def in_other_format(span: str) -> bool:
 
 
 def examples(text: str) -> list[tuple[list[float], int]]:
-    """Features and kind (-1: none) of a text's candidates, and of its base spans in other formats. Candidates
-    that look like a datum in another format are neither: nothing tells whether they are one."""
+    """Features and kind (-1: none) of a text's candidates, of its base spans in other formats, and of near misses made of
+    these. Candidates that look like a datum in another format are neither: nothing tells whether they are one."""
     base = base_spans(text)
     found = []
     for start, end in candidates(text):
@@ -227,25 +263,28 @@ def examples(text: str) -> list[tuple[list[float], int]]:
         if exact or (not over and not in_other_format(text[start:end])):
             found.append((features(text, start, end), exact[0] if exact else -1))
     for start, kind, end in base:
-        for other in _rewritten(kind, text[start:end]):
-            changed = text[max(0, start - 60) : start] + other + text[end : end + 2]
-            at = min(start, 60)
-            found.append((features(changed, at, at + len(other)), kind))
+        made = [("", other, kind) for other in _rewritten(kind, text[start:end])]
+        made += [(words, other, -1) for words, other in _near_misses(kind, text[start:end])]
+        for words, other, label in made:
+            before = text[max(0, start - 60) : start] + words
+            found.append((features(before + other + text[end : end + 2], len(before), len(before) + len(other)), label))
     return found
 
 
 def fit(docs: DataFrame, config: PiiConfig = PiiConfig()) -> list[Trees]:
-    """A model for each kind. Base spans, also rewritten in other formats, are the positive examples, and
-    candidates that no base format accepts and that do not look like one in another format are the negative
-    ones. Only the models reach the driver."""
+    """A model for each kind. Base spans, also rewritten in other formats, are the positive examples; near misses made of
+    them, and candidates that no base format accepts and that do not look like one in another format, are the negative
+    ones. Of an id with several texts the least is read, so that the sample has one row for each id. Only the models
+    reach the driver."""
     ids = docs.filter("doc_id is not null").select("doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64(F.lit(config.seed), "doc_id"), "doc_id").limit(config.sample)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text")  # as many ids as the sample has
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
+    wanted = config.precision
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [row for text in batch.text.dropna() for row in examples(text)]
-            yield pd.DataFrame({"x": [x for x, _ in rows], "kind": [k for _, k in rows]})
+            yield pd.DataFrame({"x": pd.Series([x for x, _ in rows], dtype=object), "kind": pd.Series([k for _, k in rows], dtype="int32")})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [batch for batch in batches if len(batch)]
@@ -256,7 +295,7 @@ def fit(docs: DataFrame, config: PiiConfig = PiiConfig()) -> list[Trees]:
             order = np.lexsort((*x.T, kind))  # whatever order tasks end in
             order = np.random.default_rng(7).permutation(order)
             x, kind = x[order], kind[order]
-            models = [Trees().fit(x, (kind == n).astype(float)) for n in range(len(KINDS))]
+            models = [Trees().fit(x, (kind == n).astype(float), wanted) for n in range(len(KINDS))]
         yield pd.DataFrame({"models": [pickle.dumps([vars(model) for model in models])]})
 
     rows = sample.mapInPandas(read, "x array<double>, kind int").repartition(1).mapInPandas(learn, "models binary").collect()
@@ -271,8 +310,9 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def found_in(text: str, models: list[Trees], sure: float) -> tuple[list, list]:
-    """The base spans, and with them the further ones that are sure and overlap none already taken."""
+def found_in(text: str, models: list[Trees], sure: float | None = None) -> tuple[list, list]:
+    """The base spans, and with them the further ones that are sure (None: by each model's own measure) and overlap none
+    already taken."""
     base = base_spans(text)
     spans = [(s, e) for s, e in candidates(text) if not any(a < e and s < b for a, _, b in base)]
     if not spans:
@@ -282,12 +322,12 @@ def found_in(text: str, models: list[Trees], sure: float) -> tuple[list, list]:
     taken = list(base)
     for n in np.lexsort((np.arange(len(spans)), -p.max(axis=1))):
         (s, e), kind = spans[n], int(np.argmax(p[n]))
-        if p[n, kind] >= sure and not any(a < e and s < b for a, _, b in taken):
+        if p[n, kind] >= (models[kind].sure if sure is None else sure) and not any(a < e and s < b for a, _, b in taken):
             taken.append((s, kind, e))
     return base, sorted(taken)
 
 
-def personal_data(text: Column, models: list[Trees], sure: float) -> Column:
+def personal_data(text: Column, models: list[Trees], sure: float | None) -> Column:
     """Counts and digests of the base spans, and all spans, of whole texts."""
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")

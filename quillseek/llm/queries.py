@@ -111,6 +111,28 @@ def _normal(url: str) -> str:
     return f"'https://' || {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"
 
 
+def _dotless(path: str) -> str:
+    """Parts are added one by one; a part ``..`` takes the last one away, but not the root."""
+    parts = f"string_split({path}, '/')"
+    kept = f"""list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform({parts}, lambda p: [p])),
+      lambda done, p: CASE p[1] WHEN '.' THEN done WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE list_concat(done, p) END)"""
+    return f"array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+
+
+def _absolute(target: str, url: str) -> str:
+    start = f"regexp_extract({url}, {_PARTS}, 1) || '://' || {_host(url)}"
+    path = f"CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END"
+    own, rest = (f"regexp_extract({target}, '(?s)^([^?#]*)(.*)$', {n})" for n in (1, 2))
+    folder = f"regexp_extract({path}, '(?s)^(.*/)', 1)"
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {target}
+    WHEN starts_with({target}, '//') THEN regexp_extract({url}, {_PARTS}, 1) || ':' || {target}
+    WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with({target}, '#') THEN {start} || {path} || regexp_extract({url}, '(?s)^[^#?]*(\\?[^#]*)', 1) || {target}
+    WHEN starts_with({target}, '?') THEN {start} || {path} || {target}
+    WHEN starts_with({target}, '/') THEN {start} || {_dotless(own)} || {rest}
+    ELSE {start} || {_dotless(folder + ' || ' + own)} || {rest} END"""
+
+
 _TARGETS = """
 SELECT url, t.target FROM pages, (SELECT unnest(list_concat(
   list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\\b[^>]*>'),
@@ -130,9 +152,7 @@ WITH RECURSIVE rules AS (
   FROM (VALUES {_RULE_ROWS}) v(action, rule)),
 found AS ({_TARGETS}),
 links AS (
-  SELECT DISTINCT url AS src, CASE WHEN contains(target, '://') THEN target
-    WHEN starts_with(target, '//') THEN regexp_extract(url, {_PARTS}, 1) || ':' || target
-    WHEN starts_with(target, '/') THEN regexp_extract(url, {_PARTS}, 1) || '://' || {_host('url')} || target END AS dst FROM found),
+  SELECT DISTINCT url AS src, {_absolute('target', 'url')} AS dst FROM found),
 named AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT dst FROM links WHERE dst IS NOT NULL),
 edges AS (
   SELECT src, dst FROM links WHERE dst IS NOT NULL AND src <> dst
@@ -142,13 +162,11 @@ reach(node, other) AS (
   SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.other),
 nodes AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT dst FROM edges),
 own AS (
-  SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM (
+  SELECT url, arg_max(rule, {{'n': length(rule), 'a': action = 'allow'}}) AS rule, arg_max(action, {{'n': length(rule), 'a': action = 'allow'}}) AS action FROM (
     SELECT n.url, r.rule, r.action FROM nodes n JOIN rules r
       ON ({_host('n.url')} = r.host OR ends_with({_host('n.url')}, '.' || r.host)) AND starts_with({_path('n.url')}, r.start))
   GROUP BY url),
-carried AS (
-  SELECT node AS url, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS carried
-  FROM reach JOIN own ON own.url = reach.other GROUP BY node)
+carried AS (SELECT DISTINCT node AS url, 'block' AS carried FROM reach JOIN own ON own.url = reach.other WHERE action = 'block')
 SELECT page_id, {_host('p.url')} AS host, {_path('p.url')} AS path, own.rule, coalesce(own.action, c.carried, 'allow') AS verdict,
   CASE WHEN own.rule IS NOT NULL THEN 'rule' WHEN c.carried IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
 FROM pages p LEFT JOIN own ON own.url = p.url LEFT JOIN carried c ON c.url = p.url"""

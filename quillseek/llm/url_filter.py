@@ -103,7 +103,7 @@ def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(url, rule, action)`` of the longest fitting rule for distinct ``urls (url)`` that have one.
 
     ``rules (action, rule)``; a rule is a host, ``/`` and the start of a path. It is met by equality with
-    each suffix of the host, at most one row per label.
+    each suffix of the host, at most one row per label. Of equal rules that allow and block, the one that allows wins.
     """
     labels = F.split(host_of(F.col("url")), r"\.")
     suffixes = F.transform(
@@ -117,17 +117,18 @@ def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
     asked = urls.select("url", path_of(F.col("url")).alias("path"), F.explode(suffixes).alias("suffix"))
     met = asked.join(broadcast_if_small(parted, LIMITS), "suffix").filter(F.col("path").startswith(F.col("start")))
-    best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule", "action")).alias("best")
+    allowed = F.col("action") == "allow"
+    best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), allowed, "rule")).alias("best")
     return met.groupBy("url").agg(best).select("url", "best.*")
 
 
 def judged_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Every page with host, path, rule, verdict and reason.
 
-    A page's own rule decides. Without one, its aliases do (the connected component over redirects,
-    canonical links and normal forms, targets outside the table included): an allowed alias allows, else
-    a blocked alias blocks, else the page is allowed. Null and unparsable addresses have no aliases and
-    are allowed. Repeated pages are judged alike, each in its own row. ``rules (action, rule)``.
+    A page's own rule decides, so that an explicit allow holds against every alias. Without one, a page is blocked
+    if any alias is: any address of its connected component over redirects, canonical links and normal forms, targets
+    outside the table included. An allowed alias neither allows nor shields others. All other pages are allowed. Null and
+    unparsable addresses have no aliases. Repeated pages are judged alike, each in its own row. ``rules (action, rule)``.
     """
     edges = stored(alias_edges(pages), "alias-edges")
     parts = connected_components(edges)
@@ -135,10 +136,8 @@ def judged_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
     own = stored(rule_verdicts(nodes, rules), "rule-verdicts")
     parts = stored(parts, "alias-parts")
     known = split_join(parts.withColumnRenamed("node", "url"), own, ["url"], "inner", LIMITS)
-    spread = known.groupBy("component").agg(F.max(F.when(F.col("action") == "allow", 1).otherwise(0)).alias("allowed"))
-    carried = split_join(parts, spread, ["component"], "inner", LIMITS).select(
-        F.col("node").alias("url"), F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("carried")
-    )
+    spread = known.filter("action = 'block'").select("component").distinct()
+    carried = split_join(parts, stored(spread, "alias-blocked"), ["component"], "left_semi", LIMITS).select(F.col("node").alias("url"), F.lit("block").alias("carried"))
     asked = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     asked = split_join(asked, own, ["url"], "left", LIMITS)
     return split_join(asked, carried, ["url"], "left", LIMITS).select(

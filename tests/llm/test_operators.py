@@ -288,13 +288,23 @@ def test_url_rules_and_aliases(spark):
     )
     verdicts = {n: (r["rule"], r["verdict"]) for n, r in found.items()}
     assert verdicts == {
-        1: ("net/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "block"), 5: (None, "allow"),
+        1: ("net/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "block"), 5: (None, "block"),
         6: ("example.net/en/", "allow"), 7: ("net/", "block"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"),
-        11: (None, "allow"), 12: (None, "allow"),
+        11: (None, "block"), 12: (None, "allow"),
     }
     assert (found[1]["host"], found[1]["path"], found[9]["host"], found[10]["path"]) == ("www.site.net", "/A", "", "")
 
 
+def test_blocks_pass_through_aliases_and_stop_at_rules(spark):
+    """Page 11 above ties 5 to a blocked address. Without it, 5 has an allowed alias only, and an own rule beats any alias."""
+    to = lambda url: f'<link rel="canonical" href="{url}">'
+    pages = [(1, "https://b.com/1", to("https://c.net/x")), (2, "https://d.com/2", to("https://a.org/fr/1")), (3, "https://a.org/fr/2", to("https://c.net/x"))]
+    found = {n: (r["verdict"], r["reason"]) for n, r in judged(spark, pages).items()}
+    assert found == {1: ("block", "alias"), 2: ("allow", "default"), 3: ("allow", "rule")}
+    found = judged(spark, [(1, "https://x.net/", None)], [("block", "net/"), ("allow", "net/")])
+    assert (found[1]["rule"], found[1]["verdict"]) == ("net/", "allow")
+
+
 def test_relative_targets(spark):
     """Canonical links and refreshes that are relative to the page carry verdicts as absolute ones do."""
     cases = [
