@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillseek.llm.common import LIMITS, others, stored
 from quillseek.operators.joins import broadcast_if_small
 
-_BITS = 62  # of a key: 38 of the text's hash, 24 of the id's
+_BITS = 62  # of a key: 30 of the text's hash, 32 of the row's
 _DIGIT = 10  # bits that one round of probes refines
 
 
@@ -28,10 +28,11 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def sort_key(doc_id: Column, text: Column) -> Column:
-    """Equal texts lie together, parted by their ids: a boundary can go through a large group of copies."""
-    high = F.shiftrightunsigned(F.xxhash64(text), 26)
-    return F.shiftleft(high, 24).bitwiseOR(F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 24) - 1)))
+def sort_key(text: Column, row: Column) -> Column:
+    """Equal texts lie together, parted by the rows' own numbers: a boundary can go through a large group of copies, and
+    through repeated rows too."""
+    high = F.shiftrightunsigned(F.xxhash64(text), 34)
+    return F.shiftleft(high, 32).bitwiseOR(F.xxhash64(row).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 @dataclass
@@ -93,34 +94,28 @@ def splitters(sized: DataFrame, config: ShardConfig) -> tuple[list[int], int]:
 def shard(docs: DataFrame, config: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of the documents, with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    Shards have near equal bytes; identical rows share a key and stay together. Only sizes and keys are
-    read to find the splitters. Then rows move once, to pieces of a shard of bounded size, and are sorted
-    there; a piece's first slot comes from the counts of the pieces before it. Null texts count one byte;
-    an empty table gives an empty result. Columns called like a new one are replaced. ``doc_id`` and ``text``
-    may name fields of a struct.
+    Shards have near equal bytes, whatever share of the rows is one text or one row repeated. Rows are stored under
+    numbers of their own; only sizes and keys are read to find the splitters. Then rows move once, to pieces of a shard
+    of bounded size, and are sorted there; a piece's first slot comes from the counts of the pieces before it. Null
+    texts count one byte; an empty table gives an empty result. Columns called like a new one are replaced, others of
+    any name are kept. ``doc_id`` and ``text`` may name fields of a struct.
     """
     kept = others(docs, "size", "shard", "slot")
-    key = sort_key(F.col(doc_id), F.col(text))
-    placed = docs.select(*kept, size_of(F.col(text)).alias("size"), key.alias("__key"))
-    sized = stored(placed.select("size", F.col("__key").alias("key")), "shard-sizes")
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    numbered = docs.select(whole, F.col(doc_id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("number"))
+    placed = numbered.select("row", "id", "number", size_of(F.col("text")).alias("size"), sort_key(F.col("text"), F.col("number")).alias("key"))
+    placed = stored(placed, "shard-rows")
+    sized = placed.select("size", "key")
     starts, total = splitters(sized, config)
     pieces = max(1, -(-total // (config.shards * config.piece_bytes)))
-
-    def located(key: str) -> list[Column]:
-        shard_of = F.lit(0)
-        for start in starts:
-            shard_of = shard_of + F.when(F.col(key) >= F.lit(start), 1).otherwise(0)
-        return [shard_of.cast("int"), F.pmod(F.xxhash64(F.lit(7), key), F.lit(pieces)).cast("int")]
-
-    at, piece = located("key")
-    counts = sized.groupBy(at.alias("shard"), piece.alias("__piece")).agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "__piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__first"))
+    shard_of = F.lit(0)
+    for start in starts:
+        shard_of = shard_of + F.when(F.col("key") >= F.lit(start), 1).otherwise(0)
+    at, piece = shard_of.cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(pieces)).cast("int").alias("piece")
+    counts = sized.select(at, piece).groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     first = broadcast_if_small(stored(first, "shard-slots"), LIMITS)  # a row for each piece
-    at, piece = located("__key")
-    moved = placed.withColumn("shard", at).withColumn("__piece", piece)
-    within = Window.partitionBy("shard", "__piece").orderBy("__key", doc_id)
-    ranked = moved.withColumn("__rank", F.row_number().over(within))
-    return ranked.join(first, ["shard", "__piece"]).select(
-        *kept, "size", "shard", (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot")
-    )
+    within = Window.partitionBy("shard", "piece").orderBy("key", "id", "number")
+    ranked = placed.select("row", "id", "number", "size", "key", at, piece).withColumn("rank", F.row_number().over(within))
+    return ranked.join(first, ["shard", "piece"]).select("row.*", "size", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
