@@ -28,9 +28,11 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 @dataclass(frozen=True)
 class ToxicityConfig:
     """``sample``: labelled documents of each class that the model is fitted on, the first by a hash of their
-    ids. The last quarter of them fits the calibration. ``held_out``: remainder modulo ``modulus`` that is not learned from."""
+    ids. The last quarter of them fits the calibration. Their texts are learned from whole, in chains of ``chain`` words.
+    ``held_out``: remainder modulo ``modulus`` that is not learned from."""
 
     sample: int = 4000
+    chain: int = 64
     modulus: int = 5
     held_out: int = 0
     seed: int = 42
@@ -59,8 +61,13 @@ class Field:
         return self.own[slots].sum(axis=1) + self.bias, self.before[slots].sum(axis=1), self.after[slots].sum(axis=1)
 
     def marginals(self, scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """P(toxic) of every word, by forward-backward over all chains at once; longer chains go first, so
-        that the work is in proportion to the words."""
+        """P(toxic) of every word."""
+        forward, backward = self.messages(scores, offsets)
+        return 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
+
+    def messages(self, scores: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of every word from the words up to it, and from those after it, by forward-backward over all chains
+        at once; longer chains go first, so that the work is in proportion to the words."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = offsets[:-1][order], lengths[order]
@@ -77,7 +84,18 @@ class Field:
             for i in range(len(alive) - 1, 0, -1):
                 at = starts[: alive[i]] + i
                 backward[at - 1] = down(np.clip(backward[at] + scores[at], -50, 50))
-            return 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
+        return forward, backward
+
+    def pairs(self, scores: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the second words of all neighbours in a chain, and P of each pair of their states."""
+        forward, backward = self.messages(scores, offsets)
+        right = np.ones(len(scores), dtype=bool)
+        right[offsets[:-1][np.diff(offsets) > 0]] = False
+        at = np.flatnonzero(right)
+        late = scores[at] + backward[at]
+        log = np.stack([np.stack([self.move[i, j] + i * forward[at - 1] + j * late for j in (0, 1)], axis=-1) for i in (0, 1)], axis=-2)
+        weight = np.exp(log - log.max(axis=(1, 2), keepdims=True))
+        return at, weight / weight.sum(axis=(1, 2), keepdims=True)
 
 
 def _emissions(model: Field, words: list[str], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -106,7 +124,7 @@ def _summary(marginals: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _token_labels(words: list[str], codes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Labels of the words of labelled documents: a word is toxic, in a toxic document, if it or a prefix of
-    it is in several toxic documents and hardly any other."""
+    it is in several toxic documents (six, or half of fewer than twelve) and hardly any other."""
     slots = np.array([_features(word) for word in words], dtype=np.int64).reshape(-1, _ROLES)
     owner = np.repeat(np.arange(len(toxic)), np.diff(offsets))
     pairs = np.unique(owner.astype(np.int64) * len(words) + codes)
@@ -116,12 +134,22 @@ def _token_labels(words: list[str], codes: np.ndarray, offsets: np.ndarray, toxi
     bad = np.bincount(slot[toxic[doc] == 1], minlength=_TABLE)
     good = np.bincount(slot[toxic[doc] == 0], minlength=_TABLE)
     ratio = (bad + 0.05) / (good + 0.05) * (np.sum(toxic == 0) + 1) / (np.sum(toxic == 1) + 1)
-    telling = (bad >= 6) & (ratio >= 60)
+    telling = (bad >= np.clip(toxic.sum() // 2, 2, 6)) & (ratio >= 60)
     telling[0] = False
     return (telling[slots].any(axis=1)[codes] & (toxic[owner] == 1)).astype(np.int8)
 
 
-def _train(texts: list[str], toxic: np.ndarray, seed: int) -> Field:
+def gradient(model: Field, scores: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log-likelihood of chains' labels: by the score of each word, and by each move. Expected states and
+    pairs of states less those seen."""
+    error = model.marginals(scores, ends) - labels
+    right, expected = model.pairs(scores, ends)
+    y = labels.astype(int)
+    seen = np.bincount(2 * y[right - 1] + y[right], minlength=4).reshape(2, 2)
+    return error, expected.sum(axis=0) - seen
+
+
+def _train(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> Field:
     """Fits the field on three quarters of the documents by adaptive gradients, the calibration on the rest."""
     model = Field()
     if len(set(toxic.tolist())) < 2:
@@ -132,25 +160,20 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int) -> Field:
     words, codes, offsets = coded_words(pa.array([texts[i] for i in learn], pa.string()), lower=True)
     labels = _token_labels(words, codes, offsets, toxic[learn])
     slots = np.array([_features(word) for word in words], dtype=np.int64).reshape(-1, _ROLES)
-    width = 12
-    chains = [(a, min(a + width, e)) for s, e in zip(offsets[:-1], offsets[1:]) for a in range(s, e, width) if min(a + width, e) - a > 1]
-    has = np.array([labels[a:b].any() for a, b in chains], dtype=bool)
-    rng = np.random.default_rng(seed)
-    clean = np.flatnonzero(~has)
-    clean = rng.permutation(clean)[: max(4 * int(has.sum()), 20_000)]
-    used = np.concatenate([np.flatnonzero(has), clean])
+    width = config.chain
+    chains = [(a, min(a + width, e)) for s, e in zip(offsets[:-1], offsets[1:]) for a in range(s, e, width)]
+    rng = np.random.default_rng(config.seed)
     grads = {"own": np.zeros(_TABLE), "before": np.zeros(_TABLE), "after": np.zeros(_TABLE)}
     seen_move, seen_bias, rate = np.ones((2, 2)), 1.0, 0.3
     for _ in range(3):
-        order = rng.permutation(used)
-        for begin in range(0, len(order), 512):
-            part = [chains[i] for i in order[begin : begin + 512]]
+        order = rng.permutation(len(chains))
+        for begin in range(0, len(order), 128):
+            part = [chains[i] for i in order[begin : begin + 128]]
             ends = np.concatenate(([0], np.cumsum([b - a for a, b in part])))
             at = np.concatenate([np.arange(a, b) for a, b in part])
             c, y = codes[at], labels[at].astype(float)
             scores = _batch_scores(model, slots, c, ends)
-            p = model.marginals(scores, ends)
-            error = (p - y) / len(part)
+            error, pair = (g / len(part) for g in gradient(model, scores, ends, y))
             joined = np.ones(len(at), dtype=bool)
             joined[ends[:-1]] = False
             for name, role, e in (
@@ -168,14 +191,6 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int) -> Field:
                 weights[0] = 0.0
             seen_bias += error.sum() ** 2
             model.bias -= rate * error.sum() / np.sqrt(seen_bias)
-            # Moves: expected less observed pairs of states, the expected ones from neighbouring marginals.
-            left, right = np.flatnonzero(joined) - 1, np.flatnonzero(joined)
-            pair = np.zeros((2, 2))
-            for i in (0, 1):
-                for j in (0, 1):
-                    expected = (p[left] if i else 1 - p[left]) * (p[right] if j else 1 - p[right])
-                    seen = (y[left] == i) & (y[right] == j)
-                    pair[i, j] = (expected - seen).sum() / len(part)
             seen_move += pair**2
             model.move -= 0.1 * pair / np.sqrt(seen_move)
     held = np.flatnonzero(rest)
@@ -211,14 +226,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Field:
     """Learns from a bounded sample of labelled documents, in one task; only the model reaches the driver.
 
-    Labels of one id count as toxic if any is. Rows with a null id or label are not learned from.
+    Labels of one id count as toxic if any is, and of its texts the least is read. Rows with a null id or label are not learned from.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), config.modulus) != config.held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.lit(config.seed), "doc_id")
     chosen = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(config.sample) for c in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample rows
-    seed = config.seed
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # 2 * sample rows
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -226,8 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
             yield pd.DataFrame({"model": [pickle.dumps(vars(Field()))]})
             return
         rows = pd.concat(parts).sort_values(["doc_id", "text"], kind="stable")
-        rows = rows.sample(frac=1.0, random_state=seed)
-        yield pd.DataFrame({"model": [pickle.dumps(vars(_train(rows.text.fillna("").tolist(), rows.toxic.to_numpy(), seed)))]})
+        rows = rows.sample(frac=1.0, random_state=config.seed)
+        yield pd.DataFrame({"model": [pickle.dumps(vars(_train(rows.text.fillna("").tolist(), rows.toxic.to_numpy(), config)))]})
 
     found = sample.repartition(1).mapInPandas(train, "model binary").collect()
     model = Field()

@@ -124,6 +124,22 @@ def test_shards_of_one_large_group(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 10
 
 
+def test_shards_of_repeated_rows(spark):
+    """A third of all rows are one row, and most of the bytes."""
+    same = [(None, "x" * 1000, None, None, None)] * 2000
+    rows = spark.createDataFrame(same + [(i, f"text {i}", "en", "s", 0) for i in range(4000)], DOCS)
+    rows = rows.withColumns({name: F.lit("mine") for name in ("__key", "__piece", "key", "piece", "rank", "first", "number", "row")})
+    got = sharding.shard(rows)
+    assert got.columns == [*rows.columns, "size", "shard", "slot"]
+    got = got.select("shard", "size", "slot").collect()
+    sizes, slots = [0] * 16, [[] for _ in range(16)]
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 6000 and max(sizes) - min(sizes) <= 2 * 1001 + 0.004 * sum(sizes) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+
+
 def test_shards_of_odd_rows(spark):
     odd = docs(spark, None, "", "a" * 100_000).withColumn("size", F.lit("mine")).union(docs(spark, None).withColumn("size", F.lit("x")))
     rows = sharding.shard(odd).collect()
@@ -321,6 +337,25 @@ def test_relative_targets(spark):
     assert {n: r["verdict"] for n, r in found.items()} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_url_query_on_linked_pages(spark, tmp_path):
+    """The SQL of the query resolves relative targets and carries blocks as the operator does."""
+    from quillseek.llm.queries import ORACLE
+    from tests.oracle import compare
+
+    to = lambda *urls: "".join(f'<link rel="canonical" href="{u}">' for u in urls[:1]) + "".join(f'<meta http-equiv="refresh" content="0; url={u}">' for u in urls[1:])
+    targets = ["x", "../y", "?q=2", "#f", "/z/./a", "//bad.net/q", "https://www.bad.net/1?utm_x=2", "http://good.org/fr/3", "mailto:a@b.c", "..", "./", "", "a/../../b.html"]
+    pages = [(i, f"https://{'www.' * (i % 2)}h{i % 5}.{['com', 'net', 'org'][i % 3]}/{'fr/' * (i % 4 == 0)}p{i % 6}/{i % 7}", to(targets[i % 13], targets[(i * 5 + 3) % 13])) for i in range(120)]
+    pages += [(200, None, to("x")), (201, "no address", to("x")), (202, "https://example.com/de", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    import os
+    import shutil
+
+    part = next(p for p in os.listdir(tmp_path / "pages.parquet") if p.endswith(".parquet"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(tmp_path / "pages.parquet" / part, tmp_path / "one" / "pages.parquet")
+    assert compare(spark, QUERIES["op6_url_aliases"], ORACLE["op6_url_aliases"], str(tmp_path / "one")) == (123, "")
+
+
 def test_urls_of_nothing(spark):
     assert judged(spark, []) == {}
 
@@ -569,6 +604,27 @@ def test_personal_data_mostly_in_other_formats(spark):
         assert pii.found_in(text, models, 0.9)[1] == [], text
 
 
+def test_personal_data_and_what_looks_like_it(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    models = pii.fit(frame)
+    assert all(m.precision >= 0.99 and m.recall >= 0.95 for m in models), [(m.sure, m.precision, m.recall) for m in models]
+    for text in ("mail bob (at) site.org", "anna at mail dot example dot com", "call (212) 555-1234", "host 10-20-30-40", "pay by 4111/1111/1111/1111"):
+        assert len(pii.found_in(text, models)[1]) == 1, text
+    for text in (
+        "see part 555-123-4567", "release 10-20-30-40", "order 555.123.4567", "host 300-2-3-4", "pay by 4111/1111/1111/1112",
+        "born 1984-12-05", "we met at noon. Then", "from at and. Of", "isbn 555-123-4567",
+    ):
+        assert pii.found_in(text, models)[1] == [], text
+
+
+def test_personal_data_of_clean_texts(spark):
+    """No batch holds a candidate; one id is repeated."""
+    clean = docs(spark, *["plain words only"] * 10).repartition(4)
+    assert [r["spans"] for r in pii.redacted(clean).collect()] == [""] * 10
+    mixed = clean.union(spark.createDataFrame([(5, f"mail a{i}@b.cd", "en", "s", 0) for i in range(50)], DOCS))
+    assert sum(r["spans"] != "" for r in pii.redacted(mixed).collect()) == 50
+
+
 def test_personal_data_of_odd_rows(spark):
     odd = docs(spark, None, "", "a@b.cd", "1" * 50_000).withColumn("spans", F.lit("mine"))
     rows = {r["doc_id"]: r for r in pii.redacted(odd).collect()}
@@ -603,6 +659,49 @@ def test_field_marginals_against_all_taggings():
         assert np.allclose(found[start:end], marked / total)
 
 
+def test_field_gradient_against_all_taggings():
+    """The gradient by every word's score and every move is the one of the likelihood, summed over all taggings."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Field()
+    model.move = rng.normal(size=(2, 2))
+    scores, ends, labels = rng.normal(size=9), np.array([0, 4, 5, 5, 9]), rng.integers(0, 2, 9)
+
+    def loss(scores, move):
+        total = 0.0
+        for a, b in zip(ends[:-1], ends[1:]):
+            value = lambda tags: sum(scores[a + i] for i, t in enumerate(tags) if t) + sum(move[x, y] for x, y in zip(tags, tags[1:]))  # noqa: B023, E731
+            total += math.log(sum(math.exp(value(tags)) for tags in np.ndindex(*[2] * (b - a)))) - value(labels[a:b])
+        return total
+
+    by_score, by_move = toxicity.gradient(model, scores, ends, labels)
+    step = 1e-6
+    for i in range(9):
+        moved = scores + step * (np.arange(9) == i)
+        assert by_score[i] == pytest.approx((loss(moved, model.move) - loss(scores, model.move)) / step, abs=1e-4)
+    for i in (0, 1):
+        for j in (0, 1):
+            moved = model.move.copy()
+            moved[i, j] += step
+            assert by_move[i, j] == pytest.approx((loss(scores, moved) - loss(scores, model.move)) / step, abs=1e-4)
+
+
+def test_toxicity_from_a_few_documents(spark):
+    texts = [f"word{i % 7} plain text number{i} {'vilest insult here' if i % 5 == 1 else 'all is well'} end" for i in range(60)]
+    frame = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = toxicity.scored_documents(frame, labels).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 5 == 1) for r in rows)
+
+
+def test_toxicity_of_one_repeated_id(spark):
+    """A third of all rows share a labelled id: the sample still holds one row for each id."""
+    same = spark.createDataFrame([(1, f"copy {i} vilest insult", "en", "s", 0) for i in range(300)], DOCS)
+    frame = docs(spark, *[f"plain words {i}" if i % 4 else f"vilest insult {i}" for i in range(2, 600)], start=2).union(same)
+    labels = spark.createDataFrame([(i, 1, int(i == 1 or (i - 2) % 4 == 0)) for i in range(1, 600)], "doc_id long, quality int, toxic int")
+    rows = toxicity.scored_documents(frame, labels).collect()
+    assert len(rows) == 898 and sum(r["predicted"] for r in rows if r["doc_id"] == 1) == 300
+
+
 def test_toxicity_of_odd_rows(spark):
     odd = docs(spark, None, "", "x " * 50_000, "a").withColumn("score", F.lit("mine"))
     labels = spark.createDataFrame([(0, 1, 1), (0, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
