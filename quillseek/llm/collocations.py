@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillseek.llm.common import LIMITS, stored
+from quillseek.llm.common import NARROW, stored
 from quillseek.llm.quotient import Entries, Layout, counted, decode, encode, merged, sliced
 from quillseek.llm.tokens import parts
 from quillseek.operators.joins import broadcast_if_small, split_join
@@ -167,14 +167,14 @@ def _numbered(words: DataFrame) -> DataFrame:
     part, row = F.shiftrightunsigned("mid", 33), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("file")).agg((F.max(row) + 1).alias("rows"))
     before = counts.withColumn("before", F.sum("rows").over(Window.orderBy("file")) - F.col("rows"))  # a row for each file
-    joined = placed.withColumn("file", part).join(broadcast_if_small(before.select("file", "before"), LIMITS), "file")
+    joined = placed.withColumn("file", part).join(broadcast_if_small(before.select("file", "before"), NARROW), "file")
     return stored(joined.select((F.col("before") + row + 1).alias("id"), "lang", "word", "f"), "phrase-ids")
 
 
 def _with(rows: DataFrame, counts: DataFrame, keys: dict[str, str], value: str, how: str = "inner") -> DataFrame:
     """Joined by equality with renamed columns of ``counts``; hot keys of ``rows`` are met apart."""
     right = counts.select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("a" if "a" in counts.columns else "f").alias(value))
-    return split_join(rows, right, list(keys.values()), how, LIMITS)
+    return split_join(rows, right, list(keys.values()), how, NARROW)
 
 
 def _score(l: str, r: str) -> Column:
@@ -196,6 +196,20 @@ def scored(cands: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.select(triples.columns).unionByName(triples)
 
 
+def _high_scores(rows: DataFrame, first: int) -> DataFrame:
+    """Without the rows whose score is below that of ``first`` others of their language, by a count of a thousand ranges of
+    scores: so few rows meet where they are ranked."""
+    band = F.expr("score div 1000").alias("band")
+    counts = rows.groupBy("lang", band).agg(F.count(F.lit(1)).alias("rows"))
+    bands = F.reverse(F.array_sort(F.collect_list(F.struct("band", "rows"))))
+    cut = F.aggregate(
+        bands, F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("band")),
+        lambda done, one: F.when(done["rows"] >= first, done).otherwise(F.struct((done["rows"] + one["rows"]).alias("rows"), one["band"].alias("band"))),
+    )
+    cuts = stored(counts.groupBy("lang").agg(cut["band"].alias("cut")), "phrase-cuts")
+    return rows.join(broadcast_if_small(cuts, NARROW), "lang").filter(F.col("score") >= 1000 * F.col("cut")).drop("cut")
+
+
 def collocations(docs: DataFrame, config: CollocationConfig = CollocationConfig()) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``first`` phrases of two or three words by score, then
     occurrences, then phrase in byte order.
@@ -226,14 +240,15 @@ def collocations(docs: DataFrame, config: CollocationConfig = CollocationConfig(
     rows = stored(scored(cands, words), "phrase-scored").join(held, ["w1", "w2", "w3"], "left")
     rows = rows.filter(F.col("longest").isNull() | (100 * F.col("longest") < config.inside * F.col("a"))).drop("longest")
     # Ranked first without the phrases: all ties of the last place stay, and only what can be listed is spelled out.
-    named = split_join(rows, words.select(F.col("id").alias("w1"), "lang"), ["w1"], "inner", LIMITS)
+    named = split_join(rows, words.select(F.col("id").alias("w1"), "lang"), ["w1"], "inner", NARROW)
+    named = _high_scores(stored(named, "phrase-langs"), config.first)
     tied = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     named = stored(named.withColumn("place", F.rank().over(tied)).filter(F.col("place") <= config.first).drop("place"), "phrase-best")
     for w in ("w1", "w2", "w3"):
         spelled = words.select(F.col("id").alias(w), F.col("word").cast("string").alias(f"{w}_word"))
-        named = split_join(named, spelled, [w], "left", LIMITS)
+        named = split_join(named, spelled, [w], "left", NARROW)
     phrase = F.concat_ws(" ", "w1_word", "w2_word", "w3_word").alias("phrase")
-    named = named.select("lang", phrase, "a", "l", "r", "score").join(broadcast_if_small(totals, LIMITS), "lang")
+    named = named.select("lang", phrase, "a", "l", "r", "score").join(broadcast_if_small(totals, NARROW), "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -9,6 +9,7 @@ from quillseek.config import SearchConfig
 from quillseek.session import scratch_path
 
 LIMITS = SearchConfig()  # the package's limits for broadcasts and hot keys
+NARROW = SearchConfig(max_broadcast_rows=200_000, max_broadcast_bytes=16 << 20)  # for plans of many joins
 
 # The characters that part words, and the letters that lower-casing changes.
 WORD = r"[^\x20\x09-\x0D]+"

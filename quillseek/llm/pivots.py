@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillseek.llm.common import LIMITS, stored
+from quillseek.llm.common import NARROW, stored
 from quillseek.operators.joins import broadcast_if_small, split_join
 
 _EXACT = 2.0**52  # products of norms up to here: sums in doubles are exact
@@ -78,7 +78,7 @@ def chosen_pivots(sample: np.ndarray, many: int) -> np.ndarray:
 def _parted(frame: DataFrame, keys: list[str], size: int) -> DataFrame:
     """With a ``part`` for each row, so that parts of a key hold about ``size`` rows."""
     counts = frame.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("parts"))
-    rows = split_join(frame, counts, keys, "inner", LIMITS)
+    rows = split_join(frame, counts, keys, "inner", NARROW)
     return rows.withColumn("part", F.pmod(F.xxhash64("vector"), "parts").cast("int")).drop("parts")
 
 
@@ -130,7 +130,7 @@ def _blocks(entries: DataFrame, pivots: DataFrame, size: int) -> DataFrame:
         return pa.table({k: made[k] for k in ("dim", "cell", "part", "vectors", "ids", "dist", "low", "high", "norm")})
 
     rough = _parted(entries, ["dim"], size).groupBy("dim", "part").applyInArrow(gather, "dim int, vectors array<binary>, ids array<array<long>>")
-    measured = stored(rough.join(broadcast_if_small(pivots, LIMITS), "dim").select("dim", "vectors", "ids", "pivots").mapInArrow(measure, _MEASURED), "pivot-measured")
+    measured = stored(rough.join(broadcast_if_small(pivots, NARROW), "dim").select("dim", "vectors", "ids", "pivots").mapInArrow(measure, _MEASURED), "pivot-measured")
     return stored(_parted(measured, ["dim", "cell"], size).groupBy("dim", "cell", "part").applyInArrow(pack, _BLOCK), "pivot-blocks")
 
 
@@ -294,8 +294,8 @@ def highest_products(vectors: DataFrame, config: PivotConfig = PivotConfig()) ->
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     top = found.filter("score is not null").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep)
     top = stored(top.select("ask", "vec_id", "own", "score"), "pivot-top")
-    askers = split_join(asked, once.drop("least"), ["vector", "dim"], "inner", LIMITS).select("ask", F.col("vec_id").alias("query_id"))
-    answers = split_join(askers, top, ["ask"], "inner", LIMITS).filter(~(F.col("own") & (F.col("vec_id") == F.col("query_id"))))
+    askers = split_join(asked, once.drop("least"), ["vector", "dim"], "inner", NARROW).select("ask", F.col("vec_id").alias("query_id"))
+    answers = split_join(askers, top, ["ask"], "inner", NARROW).filter(~(F.col("own") & (F.col("vec_id") == F.col("query_id"))))
     order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     ranked = answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.nearest)
     work = found.groupBy("ask").agg(F.sum("compared").alias("compared"))
