@@ -194,6 +194,7 @@ def _two_sites(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         F.concat("html", links).alias("html"),
         F.when((number % 16 == 8) & (F.col("newest") == 1), 404).otherwise(200).alias("status"),
         (number + F.col("newest") * 1000000).alias("seq"),
+        F.timestamp_seconds(1_700_000_000 + (number + F.col("newest") * 1000000) * 60).cast("timestamp_ntz").alias("date_added"),
     )
     listed = rows.filter((F.col("site") == "https://odd.example") & (F.length("path") % 2 == 0)).select("site", "path").distinct()
     return rows, listed

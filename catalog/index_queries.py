@@ -68,15 +68,18 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     f"""{_RECORDS},
     incoming AS (SELECT * REPLACE ('new' AS scope, seq + CASE WHEN seq % 2 = 0 THEN 10 ELSE -10 END AS seq)
       FROM records WHERE seq % 3 = 0),
-    every AS (SELECT * FROM records WHERE seq % 5 <> 0 UNION ALL SELECT * FROM incoming)
-    SELECT {RECORD_COLUMNS} FROM every
+    stored AS (SELECT * FROM records WHERE seq % 5 <> 0),
+    every AS (SELECT * FROM stored UNION ALL SELECT * REPLACE (date_added + INTERVAL 1 DAY AS date_added) FROM incoming)
+    SELECT {RECORD_COLUMNS.replace("date_added", "coalesce(kept, date_added) AS date_added")} FROM every
+    LEFT JOIN (SELECT site, location, date_added AS kept FROM stored) USING (site, location)
     QUALIFY row_number() OVER (PARTITION BY site, location ORDER BY seq DESC) = 1""",
 )
 def index_upsert(spark: SparkSession, folder: str) -> DataFrame:
     records = _records(spark, folder)
     shifted = F.col("seq") + F.when(F.col("seq") % 2 == 0, 10).otherwise(-10)
+    later = F.col("date_added") + F.expr("INTERVAL 1 DAY")
     incoming = records.filter(F.col("seq") % 3 == 0).withColumns(
-        {"scope": F.lit("new"), "seq": shifted}
+        {"scope": F.lit("new"), "seq": shifted, "date_added": later}
     )
     # The same change twice: the later one wins.
     copies = incoming.unionByName(incoming.withColumns({"scope": F.lit("old"), "seq": F.col("seq") - 1}))
@@ -125,7 +128,8 @@ _TAGGED_RECORDS = f"""WITH {TAGGED_SQL}, live AS (
     SELECT {RECORD_COLUMNS} FROM base b WHERE NOT EXISTS (
       SELECT 1 FROM decided d WHERE d.site = b.site AND d.location = b.location)
     UNION ALL
-    SELECT {RECORD_COLUMNS} FROM fresh f WHERE EXISTS (
+    SELECT {RECORD_COLUMNS.replace("date_added", "coalesce(kept, date_added) AS date_added")} FROM fresh f
+    LEFT JOIN (SELECT site, location, date_added AS kept FROM base) USING (site, location) WHERE EXISTS (
       SELECT 1 FROM decided d WHERE d.site = f.site AND d.location = f.location AND d.page_id = f.seq)""",
 )
 def index_targeted(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,17 +237,21 @@ def index_from_sitemap(spark: SparkSession, folder: str) -> DataFrame:
 
 _FEED = f"""{_RECORDS},
 feed AS (
-  SELECT e.event_id AS seq, p.site, p.path, CASE WHEN e.event_type = 'error' THEN 'delete' ELSE 'save' END AS op
+  SELECT e.event_id AS seq, e.ts, p.site, CASE WHEN p.path = '' THEN 'home' ELSE p.path END AS location, CASE WHEN e.event_type = 'error' THEN 'delete' ELSE 'save' END AS op
   FROM events e JOIN page_rows p ON p.page_id = e.user_id
   WHERE e.event_type <> 'view'),
+cuts AS (SELECT site, location, max(seq) FILTER (op = 'delete') AS cut FROM feed GROUP BY ALL),
+firsts AS (SELECT f.site, f.location, arg_min(f.ts, f.seq) AS ts FROM feed f JOIN cuts USING (site, location)
+  WHERE f.seq > coalesce(cut, -1) GROUP BY ALL),
 last AS (
-  SELECT site, CASE WHEN path = '' THEN 'home' ELSE path END AS location, seq, op FROM feed
-  QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY seq DESC) = 1)
+  SELECT f.site, f.location, f.seq, f.op, cut, firsts.ts FROM feed f JOIN cuts USING (site, location) LEFT JOIN firsts USING (site, location)
+  QUALIFY row_number() OVER (PARTITION BY f.site, f.location ORDER BY f.seq DESC) = 1)
 SELECT {RECORD_COLUMNS} FROM (
   SELECT r.* REPLACE (-1 AS seq) FROM records r WHERE r.seq % 2 = 0 AND NOT EXISTS (
     SELECT 1 FROM last l WHERE l.site = r.site AND l.location = r.location)
   UNION ALL
-  SELECT r.* REPLACE (l.seq AS seq) FROM records r JOIN last l ON l.site = r.site AND l.location = r.location
+  SELECT r.* REPLACE (l.seq AS seq, CASE WHEN cut IS NULL AND r.seq % 2 = 0 THEN date_added ELSE CAST(l.ts AS TIMESTAMP) END AS date_added)
+  FROM records r JOIN last l ON l.site = r.site AND l.location = r.location
   WHERE l.op = 'save')"""
 
 
@@ -257,6 +265,7 @@ def _feed(events: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
         "site",
         "path",
         F.when(F.col("event_type") == "error", "delete").otherwise("save").alias("op"),
+        F.col("ts").cast("timestamp_ntz").alias("date_added"),
     )
 
 
@@ -295,7 +304,11 @@ def find_by_location_(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("index_listing", f"{_RECORDS} SELECT site, location, scope, title FROM records")
+@query(
+    "index_listing",
+    f"""{_RECORDS} SELECT CAST('0x' || substr(md5(site || ' ' || location), 1, 15) AS BIGINT) AS id, site, location, scope, title, date_added
+    FROM records""",
+)
 def index_listing_(spark: SparkSession, folder: str) -> DataFrame:
     return index_listing(_records(spark, folder))
 

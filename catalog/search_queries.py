@@ -110,7 +110,7 @@ q AS (SELECT query_id, 0 AS off, regexp_replace(regexp_replace(lower(raw), '^\\s
 _LIKE_MATCHES = """
 low AS (SELECT *, lower(location) AS ll, lower(title) AS lt, lower(content) AS lc FROM docs),
 matches AS (
-  SELECT query_id, off, site, location, title, content, language, excerpt, rel AS relevance FROM (
+  SELECT query_id, off, site, location, title, content, language, excerpt, date_added, rel AS relevance FROM (
     SELECT q.query_id, q.off, d.*, (ll LIKE '%' || q.q || '%' ESCAPE '\\')::INT
       + (lt LIKE '%' || q.q || '%' ESCAPE '\\')::INT + (lc LIKE '%' || q.q || '%' ESCAPE '\\')::INT AS rel
     FROM low d, q)
@@ -119,7 +119,7 @@ matches AS (
 _TOP = """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, location) AS rank FROM matches)
 SELECT query_id, CAST(rank AS INT) AS rank, site, location, site || '/' || location AS url, title, language,
-  CASE WHEN excerpt = '' THEN substr(content, 1, 200) ELSE excerpt END AS excerpt, CAST(relevance AS DOUBLE) AS relevance
+  CASE WHEN excerpt = '' THEN substr(content, 1, 200) ELSE excerpt END AS excerpt, date_added, CAST(relevance AS DOUBLE) AS relevance
 FROM ranked WHERE rank > off AND rank <= off + 10"""
 
 
@@ -272,11 +272,11 @@ q AS (SELECT query_id, 0 AS off, q, strlen(q) < 4 AS plain FROM mq)"""
     f"""WITH {DOCS_SQL}, {_ASKED}, {_MIXED_Q}, {_FULLTEXT}, {_scores("(SELECT * FROM q WHERE NOT plain)")},
     low AS (SELECT *, lower(location) AS ll, lower(title) AS lt, lower(content) AS lc FROM docs),
     matches AS (
-      SELECT query_id, off, site, location, title, content, language, excerpt, CAST(rel AS DOUBLE) AS relevance FROM (
+      SELECT query_id, off, site, location, title, content, language, excerpt, date_added, CAST(rel AS DOUBLE) AS relevance FROM (
         SELECT q.query_id, q.off, d.*, contains(ll, q.q)::INT + contains(lt, q.q)::INT + contains(lc, q.q)::INT AS rel
         FROM low d, q WHERE plain) WHERE rel > 0
       UNION ALL
-      SELECT s.query_id, 0, d.site, d.location, d.title, d.content, d.language, d.excerpt, s.relevance
+      SELECT s.query_id, 0, d.site, d.location, d.title, d.content, d.language, d.excerpt, d.date_added, s.relevance
       FROM scored s JOIN docs d ON d.location = s.location), {_TOP}""",
 )
 def search_mixed_modes(spark: SparkSession, folder: str) -> DataFrame:

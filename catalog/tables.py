@@ -19,8 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(frame) if name in ("pages", "documents") else frame
 
 
+def _added(frame: DataFrame, number: str) -> DataFrame:
+    """With a time for each row: a minute for each number."""
+    return frame.withColumn("added", F.timestamp_seconds(1_700_000_000 + F.col(number) * 60).cast("timestamp_ntz"))
+
+
 def pages(spark: SparkSession, folder: str, config: SearchConfig = PAGE_CONFIG) -> DataFrame:
-    return page_rows(table(spark, folder, "pages"), config, seq="page_id")
+    return page_rows(_added(table(spark, folder, "pages"), "page_id"), config, seq="page_id", added="added")
 
 
 def tagged_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,12 +42,12 @@ def tagged_pages(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), meta)))
         .withColumn("status", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200))
     )
-    return page_rows(raw, PAGE_CONFIG, seq="page_id")
+    return page_rows(_added(raw, "page_id"), PAGE_CONFIG, seq="page_id", added="added")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as an index of one site."""
-    return table(spark, folder, "documents").select(
+    return _added(table(spark, folder, "documents"), "doc_id").select(
         F.lit(DOC_SITE).alias("site"),
         F.concat(F.lit("doc/"), F.col("doc_id")).alias("location"),
         F.col("source").alias("scope"),
@@ -51,6 +56,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("").alias("excerpt"),
         F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("lang")).alias("language"),
         F.col("doc_id").alias("seq"),
+        F.col("added").alias("date_added"),
     )
 
 
@@ -59,6 +65,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 NL = "chr(10)"
 
 
+def sql_added(number: str) -> str:
+    return f"(TIMESTAMP '2023-11-14 22:13:20' + to_minutes({number}))"
+
+
 def sql_decode(x: str) -> str:
     for name, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{name}', '{char}')"
@@ -172,21 +182,22 @@ def records_sql(rows: str = "page_rows", name: str = "records") -> str:
   FROM {name}_raw),
 {name}_all AS (
   SELECT page_id, url, site, location, scope, {sql_limit('long_title', 100)} AS title, content,
-         excerpt, language, page_id AS seq, empty,
+         excerpt, language, page_id AS seq, {sql_added('page_id')} AS date_added, empty,
          long_title = '' OR content = '' AS invalid
   FROM {name}_clean),
 {name} AS (
-  SELECT site, location, scope, title, content, excerpt, language, seq FROM (
+  SELECT site, location, scope, title, content, excerpt, language, seq, date_added FROM (
     SELECT *, row_number() OVER (PARTITION BY site, location ORDER BY page_id DESC, url DESC) AS rn
     FROM {name}_all WHERE NOT empty)
   WHERE rn = 1 AND NOT invalid)"""
 
 
-RECORD_COLUMNS = "site, location, scope, title, content, excerpt, language, seq"
+RECORD_COLUMNS = "site, location, scope, title, content, excerpt, language, seq, date_added"
 
 DOCS_SQL = f"""
 docs AS (
   SELECT '{DOC_SITE}' AS site, 'doc/' || doc_id AS location, source AS scope,
          regexp_extract(text, '^\\s*(\\S+(?: \\S+){{0,4}})', 1) AS title, text AS content, '' AS excerpt,
-         CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS language, doc_id AS seq
+         CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang END AS language, doc_id AS seq,
+         {sql_added('doc_id')} AS date_added
   FROM documents)"""

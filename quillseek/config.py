@@ -39,6 +39,7 @@ class SearchConfig:
     scope_rules: tuple[tuple[str, str], ...] = ()
     index_modules: tuple[str, ...] | None = None  # None: every module
     depth: int = 0  # 0: unlimited
+    languages: tuple[str, ...] | None = None  # configured; one alone: searches are not filtered by language
     default_language: str = "english"
     web_path: str = ""
 

@@ -13,10 +13,11 @@ from quillseek.functions.text import clean, decode_entities, format_title, is_bl
 from quillseek.functions.urls import is_local, stored_location
 from quillseek.operators.eligibility import early_reason, robots_marked, scope_of
 from quillseek.operators.joins import latest
+from quillseek.sources.pages import DATE
 
 KEYS = ["site", "location"]
 FIELDS = ["scope", "title", "content", "excerpt", "language"]
-RECORD = [*KEYS, *FIELDS, "seq"]
+RECORD = [*KEYS, *FIELDS, "seq", "date_added"]
 
 # Outcomes of a page.
 INDEXED = "indexed"  # a record is written
@@ -61,6 +62,11 @@ def _raw_columns(config: SearchConfig) -> tuple[tuple[Column, ...], dict[str, Co
     return read, parts
 
 
+def dated(rows: DataFrame) -> DataFrame:
+    """With ``date_added``, null where the rows come without it."""
+    return rows if "date_added" in rows.columns else rows.withColumn("date_added", F.lit(None).cast(DATE))
+
+
 def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
     """Raw fields, robots flags and links of every page that is not ``blocked``; the HTML ends here."""
     early = F.when(F.col("status") >= 400, F.lit("http error")).otherwise(
@@ -68,11 +74,11 @@ def extract_fields(pages: DataFrame, config: SearchConfig) -> DataFrame:
     )
     read, parts = _raw_columns(config)
     return (
-        pages.withColumn("early", early)
+        dated(pages).withColumn("early", early)
         # Pages that are out already cost nothing more: every expression below is null on null.
         .withColumn("body", F.when(F.col("early").isNull() & ~F.col("blocked"), H.strip_scripts(F.col("html"))))
         .withColumn("page", H.strip_comments(F.col("body")))
-        .select("site", "path", "url", "status", "seq", "early", "blocked", *read)
+        .select("site", "path", "url", "status", "seq", "date_added", "early", "blocked", *read)
         .withColumns(parts)
         .drop("texts")
     )
@@ -126,7 +132,7 @@ def evaluate_pages(
     cleaned, columns = _record_columns(config)
     return (
         raw.withColumn("cleaned", cleaned)
-        .select("site", "path", "url", "status", "seq", "nofollow", "links", *columns)
+        .select("site", "path", "url", "status", "seq", "date_added", "nofollow", "links", *columns)
         .select("*", "held.title", "held.content")
         .withColumns(_outcome_columns())
         .drop("held", "early", "empty")

@@ -1,13 +1,16 @@
 """Keeping the index: upsert, remove, targeted re-index, change feeds, logs.
 
-The index is ``(site, location, scope, title, content, excerpt, language, seq)`` with one row per
-(site, location). ``seq`` orders changes: an older change never replaces a newer one. Stored state may
-also hold rows with ``deleted`` true, which remember at which ``seq`` a location was removed.
+The index is ``(site, location, scope, title, content, excerpt, language, seq, date_added)`` with one row per
+(site, location). ``seq`` orders changes: an older change never replaces a newer one. ``date_added`` is when a
+location was first put in. Stored state may also hold rows with ``deleted`` true, which remember at which ``seq`` a
+location was removed, and ``anew`` on changes that put a location in again after a removal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
@@ -18,33 +21,75 @@ from quillseek.operators.extraction import (
     KEYS,
     RECORD,
     REJECTED,
+    dated,
     deciding,
     evaluate_pages,
     invalid_reason,
 )
 from quillseek.operators.joins import broadcast_if_small, latest, split_join
 from quillseek.session import cut_lineage
+from quillseek.sources.pages import DATE
+
+
+def newest(rows: DataFrame, keys: Sequence[str], gone: Column) -> DataFrame:
+    """The row of the highest ``seq`` per key, with ``date_added`` and ``anew``.
+
+    The date is the one of the first row since the key was last ``gone``, so that it stays what it was when the
+    record was put in. ``anew`` says that the key was gone at some time: an older date does not hold then.
+    """
+    rows = dated(rows)
+    restart = F.coalesce(F.col("anew"), F.lit(False)) if "anew" in rows.columns else F.lit(False)
+    at = F.coalesce("seq", F.lit(-(2**63)))
+    rest = [c for c in rows.columns if c not in (*keys, "date_added", "anew")]
+    rows = rows.withColumns({"at": at, "gone": gone, "cut": F.when(gone | restart, at)})
+    dates = F.min_by("date_added", F.when(~F.col("gone") & F.col("date_added").isNotNull(), F.col("at")))
+    found = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "at").alias("last"), F.max("cut").alias("cut"), F.min(F.when(~F.col("gone"), F.col("at"))).alias("start"),
+        F.max_by("gone", "at").alias("gone"), dates.alias("date_added"),
+    )
+    # Keys that were put in, gone and put in again among these rows: their dates count from the last time.
+    again = found.filter((F.col("start") < F.col("cut")) & ~F.col("gone")).select(*keys, F.col("cut").alias("since"))
+    since = rows.join(again, keys).filter(F.col("at") >= F.col("since")).groupBy(*keys).agg(dates.alias("later"), F.lit(True).alias("redone"))
+    date = F.when(F.col("redone"), F.col("later")).when(~F.col("gone"), F.col("date_added")).alias("date_added")
+    return found.join(since, keys, "left").select(*keys, *(f"last.{c}" for c in rest), date, F.col("cut").isNotNull().alias("anew"))
 
 
 def upsert(index: DataFrame, records: DataFrame, config: SearchConfig) -> DataFrame:
     """The index with the records put in, the highest ``seq`` per location winning.
 
-    Only the records are grouped, and written down once because three joins read them. The index is
-    filtered by an anti join on narrow keys, so its wide rows move only if the records are too many to
-    broadcast.
+    A record keeps the ``date_added`` of the one it replaces, unless the location was removed in between.
+    Only the records are grouped, and written down once because three joins read them. The index's keys and orders are
+    met once; its wide rows are filtered by an anti join, and move only if the records are too many to broadcast.
     """
-    newest = cut_lineage(latest(records, KEYS, ["seq"]))
-    arriving = newest.select(*KEYS, F.col("seq").alias("new_seq"))
-    arriving = broadcast_if_small(arriving, config).alias("new")
-    same = (F.col("old.site") == F.col("new.site")) & (F.col("old.location") == F.col("new.location"))
+    gone = F.col("deleted") if "deleted" in records.columns else F.lit(False)
+    columns = index.columns if {"date_added"} & {*index.columns, *records.columns} else None
+    last = cut_lineage(newest(records, KEYS, gone))
+    arriving = broadcast_if_small(last.select(*KEYS, F.col("seq").alias("new_seq")), config)
     # A row without an order is older than any other.
     order = lambda name: F.coalesce(F.col(name), F.lit(-(2**63)))
-    replaced = order("old.seq") <= order("new.new_seq")
-    kept = index.alias("old").join(arriving, same & replaced, "left_anti")
-    # Locations whose stored row is newer: never more than arrive.
-    ahead = index.select(*KEYS, "seq").alias("old").join(arriving, same & ~replaced, "left_semi")
-    fresh = newest.join(ahead.select(*KEYS), KEYS, "left_anti")
-    return kept.unionByName(fresh)
+    live = F.lit(True) if "deleted" not in index.columns else ~F.col("deleted")
+    stored = dated(index).select(*KEYS, "seq", F.when(live, F.col("date_added")).alias("old_date"))
+    met = stored.join(arriving, KEYS).select(*KEYS, "old_date", (order("seq") <= order("new_seq")).alias("replaced"))
+    met = cut_lineage(met)  # no more rows than arrive
+    replaced = met.filter("replaced")
+    kept = index.join(broadcast_if_small(replaced.select(*KEYS), config), KEYS, "left_anti")
+    fresh = last.join(met.filter("not replaced").select(*KEYS), KEYS, "left_anti").join(replaced.select(*KEYS, "old_date"), KEYS, "left")
+    gone = F.col("deleted") if "deleted" in last.columns else F.lit(False)
+    date = F.when(gone, F.lit(None)).when(F.col("anew"), F.col("date_added")).otherwise(F.coalesce("old_date", "date_added"))
+    fresh = fresh.withColumn("date_added", date).drop("old_date")
+    if columns is None:
+        return kept.unionByName(fresh.select(*index.columns))
+    kept = dated(kept)
+    if "anew" in index.columns:
+        kept = kept.withColumn("anew", F.coalesce("anew", F.lit(False)))
+    return kept.unionByName(fresh.select(*kept.columns))
+
+
+def carried_dates(records: DataFrame, index: DataFrame) -> DataFrame:
+    """Records with the ``date_added`` that the index has of their locations, else their own."""
+    old = dated(index).filter(F.col("date_added").isNotNull()).select(*KEYS, F.col("date_added").alias("old_date"))
+    rows = dated(records)
+    return rows.join(old, KEYS, "left").withColumn("date_added", F.coalesce("old_date", "date_added")).select(*rows.columns)
 
 
 def remove(
@@ -69,7 +114,8 @@ def as_changes(evaluated: DataFrame) -> DataFrame:
     decided = deciding(evaluated.select(*RECORD, "url", "outcome"))
     gone = F.col("outcome") == REJECTED
     fields = [F.when(~gone, F.col(c)).otherwise(F.lit("")).alias(c) for c in FIELDS]
-    return decided.select(*KEYS, *fields, "seq", gone.alias("deleted"))
+    date = F.when(~gone, F.col("date_added")).alias("date_added")
+    return decided.select(*KEYS, *fields, "seq", date, gone.alias("deleted"), F.lit(False).alias("anew"))
 
 
 def visible(state: DataFrame) -> DataFrame:
@@ -78,7 +124,7 @@ def visible(state: DataFrame) -> DataFrame:
 
 
 def as_state(index: DataFrame) -> DataFrame:
-    return index.select(*RECORD).withColumn("deleted", F.lit(False))
+    return dated(index).select(*RECORD, F.lit(False).alias("deleted"), F.lit(False).alias("anew"))
 
 
 def reindex(
@@ -97,10 +143,10 @@ def reindex(
         return index
     changes = cut_lineage(requested_changes(requested, pages, config, robots))
     # A re-read decides whatever the stored record's order is.
-    replaced = index.join(
-        broadcast_if_small(changes.select(*KEYS), config), KEYS, "left_anti"
-    )
-    return replaced.unionByName(visible(changes))
+    index, keys = dated(index), broadcast_if_small(changes.select(*KEYS), config)
+    replaced = index.join(keys, KEYS, "left_anti")
+    old = index.select(*KEYS, "date_added").join(keys, KEYS, "left_semi")
+    return replaced.unionByName(carried_dates(visible(changes), old))
 
 
 def requested_changes(
@@ -118,20 +164,24 @@ def requested_changes(
         stored_location(F.col("path")).alias("location"),
         *[F.lit("").alias(c) for c in FIELDS],
         F.lit(0).cast("long").alias("seq"),
+        F.lit(None).cast(DATE).alias("date_added"),
         F.lit(True).alias("deleted"),
+        F.lit(False).alias("anew"),
     )
     return found.unionByName(missing)
 
 
 def latest_changes(feed: DataFrame) -> DataFrame:
-    """The last change of every (site, path) of a feed ``(seq, module, site, path, op)``."""
-    return latest(feed.select("site", "path", "seq", "op"), ["site", "path"], ["seq"])
+    """The last change of every (site, path) of a feed ``(seq, module, site, path, op[, date_added])``, with the
+    time of the first save since the last delete."""
+    rows = dated(feed).select("site", "path", "seq", "op", F.col("date_added").cast(DATE).alias("date_added"))
+    return newest(rows, ["site", "path"], F.col("op") == "delete")
 
 
 def feed_changes(
     feed: DataFrame, pages: DataFrame, config: SearchConfig, robots: DataFrame | None = None
 ) -> DataFrame:
-    """A gated change feed as state rows carrying the feed's ``seq``.
+    """A gated change feed as state rows carrying the feed's ``seq`` and, if it has one, ``date_added``.
 
     Saves read the page again, deletes remove it. With indexing disabled saves are ignored while
     deletes still apply.
@@ -140,18 +190,22 @@ def feed_changes(
         feed = feed.filter(F.col("op") == "delete")
     last = cut_lineage(latest_changes(feed))
     order = last.select(
-        "site", stored_location(F.col("path")).alias("location"), F.col("seq").alias("feed_seq")
-    )
+        "site", stored_location(F.col("path")).alias("location"), F.col("seq").alias("feed_seq"),
+        F.col("date_added").alias("feed_date"), F.col("anew").alias("feed_anew"),
+    )
     saves = requested_changes(last.filter(F.col("op") == "save"), pages, config, robots)
-    read = saves.join(order, KEYS).withColumn("seq", F.col("feed_seq")).drop("feed_seq")
+    date = F.when(~F.col("deleted"), F.coalesce("feed_date", "date_added"))
+    read = saves.join(order, KEYS).withColumns({"seq": F.col("feed_seq"), "date_added": date, "anew": F.col("feed_anew")})
     deletes = last.filter(F.col("op") == "delete").select(
         "site",
         stored_location(F.col("path")).alias("location"),
         *[F.lit("").alias(c) for c in FIELDS],
         "seq",
+        F.lit(None).cast(DATE).alias("date_added"),
         F.lit(True).alias("deleted"),
+        "anew",
     )
-    return latest(read.unionByName(deletes), KEYS, ["seq"])
+    return latest(read.drop("feed_seq", "feed_date", "feed_anew").unionByName(deletes), KEYS, ["seq"])
 
 
 def choose_source(
@@ -223,7 +277,12 @@ def find_by_location(index: DataFrame, wanted: DataFrame, config: SearchConfig)
     return index.join(keys, KEYS, "left_semi")
 
 
+def record_id(site: Column, location: Column) -> Column:
+    """A number that stands for a location wherever it is read: 60 bits of a digest of its key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", site, location)), 1, 15), 16, 10).cast("long")
+
+
 def index_listing(index: DataFrame) -> DataFrame:
     """The index as its administrators list it, in order of location."""
-    shown = [c for c in ("site", "location", "scope", "title", "date_added") if c in index.columns]
-    return index.select(*shown).orderBy("location", "site")
+    number = record_id(F.col("site"), F.col("location")).alias("id")
+    return dated(index).select(number, "site", "location", "scope", "title", "date_added").orderBy("location", "site")

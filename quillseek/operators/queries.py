@@ -29,7 +29,8 @@ def effective_mode(q: Column, mode: Column, config: SearchConfig) -> Column:
 def prepare(queries: DataFrame, config: SearchConfig) -> DataFrame:
     """``(query_id, site, q, mode, language, limit, offset, raw_q)`` of the queries long enough to run.
 
-    Missing columns take their defaults; a null or empty language means any.
+    Missing columns take their defaults; a null or empty language means any, as does every language where
+    only one is configured.
     """
     defaults = {
         "mode": F.lit(config.query_type),
@@ -41,6 +42,7 @@ def prepare(queries: DataFrame, config: SearchConfig) -> DataFrame:
     for name, value in defaults.items():
         given = F.coalesce(F.col(name), value) if name in queries.columns else value
         filled = filled.withColumn(name, given)
+    several = config.languages is None or len(config.languages) > 1
     kept = filled.filter(F.octet_length("q") >= config.min_length_search)
     text = normalise(F.col("q"))
     return kept.select(
@@ -49,7 +51,7 @@ def prepare(queries: DataFrame, config: SearchConfig) -> DataFrame:
         text.alias("q"),
         F.col("q").alias("raw_q"),
         effective_mode(text, F.col("mode"), config).alias("mode"),
-        F.when(F.col("language") != "", F.col("language")).alias("language"),
+        F.when((F.col("language") != "") & F.lit(several), F.col("language")).alias("language"),
         F.col("limit").cast("int").alias("limit"),
         F.col("offset").cast("int").alias("offset"),
     )

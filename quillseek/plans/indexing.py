@@ -72,4 +72,4 @@ def rebuild_index(
     """Rebuild the stored index; None if indexing is disabled or there is nothing to index."""
     if not config.indexing_enabled:
         return None
-    return rebuild(full_index(pages, config, robots, listed), root)
+    return rebuild(full_index(pages, config, robots, listed), root, config)

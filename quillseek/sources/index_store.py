@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillseek.config import SearchConfig
-from quillseek.operators.maintenance import as_state, upsert, visible
+from quillseek.operators.maintenance import as_state, carried_dates, upsert, visible
 from quillseek.session import scratch_path
 
 STATE_SCHEMA = (
     "site string, location string, scope string, title string, content string, excerpt string, "
-    "language string, seq bigint, deleted boolean"
+    "language string, seq bigint, date_added timestamp_ntz, deleted boolean, anew boolean"
 )
 
 
@@ -73,12 +73,16 @@ def _publish(state: DataFrame, root: str, folded: int, empty: bool = False) -> i
     return number
 
 
-def rebuild(records: DataFrame, root: str) -> int | None:
+def rebuild(records: DataFrame, root: str, config: SearchConfig = SearchConfig()) -> int | None:
     """Full rebuild: the new index replaces the live one and all changes known when it starts.
 
     An empty rebuild publishes nothing: the live index stays. Changes appended meanwhile apply on top.
+    Locations that the live index has keep its ``date_added``.
     """
-    known = batches(records.sparkSession, root)
+    spark = records.sparkSession
+    known = batches(spark, root)
+    if known or versions(spark, root):
+        records = carried_dates(records, read_index(spark, root, config))
     return _publish(as_state(records), root, known[-1][0] if known else -1)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillseek.config import SearchConfig
 from quillseek.functions.urls import location_of, site_of, without_fragment
 
+DATE = "timestamp_ntz"  # as MySQL's datetime, without a zone
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -23,11 +25,12 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
-def page_rows(raw: DataFrame, config: SearchConfig, seq: str | None = None) -> DataFrame:
+def page_rows(raw: DataFrame, config: SearchConfig, seq: str | None = None, added: str | None = None) -> DataFrame:
     """Rows with a site, a canonical path and an order.
 
     ``site`` and ``status`` are used when the input has them. ``seq`` names the column that orders
-    copies of one page; without one the URL and HTML decide.
+    copies of one page; without one the URL and HTML decide. ``added`` names the time that becomes the
+    ``date_added`` of records that are new; without one it is null.
     """
     site = F.col("site") if "site" in raw.columns else site_of(F.col("url"))
     status = F.col("status").cast("int") if "status" in raw.columns else F.lit(None).cast("int")
@@ -38,6 +41,7 @@ def page_rows(raw: DataFrame, config: SearchConfig, seq: str | None = None) -> D
         "html",
         status.alias("status"),
         order.alias("seq"),
+        (F.col(added) if added else F.lit(None)).cast(DATE).alias("date_added"),
     )
     path = location_of(
         F.col("url"), F.col("site"), None, config.web_path, config.default_language

@@ -1,7 +1,9 @@
 """Index building, maintenance, change feeds and the link graph."""
 
+import hashlib
 import random
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from quillseek.operators.maintenance import (
     as_state,
     choose_source,
     feed_changes,
+    index_listing,
     index_log,
     log_report,
     reindex,
@@ -316,3 +319,73 @@ def test_upsert_of_rows_without_order(spark):
     new = index_rows(spark, ["a", "b"], 5)
     assert locations(upsert(old, new, CONFIG)) == ["a", "b"]
     assert upsert(new, old, CONFIG).filter("seq = 5").count() == 2
+
+
+DATED = STATE + ", date_added timestamp_ntz"
+
+
+def dated_rows(spark, rows):
+    """Rows (location, seq, day)."""
+    return spark.createDataFrame([(S, n, "pages", "t", f"{n} {seq}", "", "en", seq, day) for n, seq, day in rows], DATED)
+
+
+def days(frame):
+    return {r.location: r.date_added and r.date_added.day for r in frame.collect()}
+
+
+def day(n):
+    return datetime(2024, 1, n)
+
+
+def test_date_added_stays_through_upserts(spark):
+    index = dated_rows(spark, [("a", 1, day(1)), ("b", 9, day(2)), ("c", 1, None)])
+    new = dated_rows(spark, [("a", 5, day(5)), ("a", 4, day(4)), ("b", 5, day(5)), ("c", 5, day(5)), ("d", 6, day(6)), ("d", 5, day(5))])
+    for config in (CONFIG, replace(CONFIG, max_broadcast_rows=0)):
+        got = upsert(index, new, config)
+        assert days(got) == {"a": 1, "b": 2, "c": 5, "d": 5}
+        assert contents(got) == {"a": "a 5", "b": "b 9", "c": "c 5", "d": "d 6"}
+    undated = index_rows(spark, ["a"], seq=1)
+    assert days(upsert(undated, new, CONFIG)) == {"a": 4, "b": 5, "c": 5, "d": 5}
+    assert days(upsert(index, index_rows(spark, ["a", "z"], seq=7), CONFIG)) == {"a": 1, "b": 2, "c": None, "z": None}
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [2], [3], [1, 2, 3, 4, 5, 6]])
+def test_date_added_of_stored_indexes(spark, tmp_path, cuts):
+    """Changes in order, cut into batches in any way: a location that was removed and came back has its new date."""
+    rows = pages_of(spark, [(n, page(body=f"new {n}")) for n in "abcd"])
+    root = str(tmp_path / "index")
+    rebuild(dated_rows(spark, [("a", 0, day(1)), ("b", 0, day(1)), ("d", 0, None)]), root)
+    feed = [(1, "save", "a", 2), (2, "delete", "b", 3), (3, "save", "c", 4), (4, "save", "b", 5), (5, "save", "c", 6), (6, "save", "b", 7), (7, "save", "d", 8)]
+    for n, (start, stop) in enumerate(zip([0, *cuts], [*cuts, 7])):
+        part = spark.createDataFrame([(seq, "blog", S, path, op, day(d)) for seq, op, path, d in feed[start:stop]], FEED + ", date_added timestamp_ntz")
+        append_changes(feed_changes(part, rows, CONFIG), root, n)
+    expected = {"a": 1, "b": 5, "c": 4, "d": 8}
+    assert days(read_index(spark, root, CONFIG)) == expected
+    compact(spark, root, CONFIG)
+    assert days(read_index(spark, root, CONFIG)) == expected
+    rebuild(dated_rows(spark, [(n, 50, day(20)) for n in "abcde"]), root)
+    assert days(read_index(spark, root, CONFIG)) == {**expected, "e": 20}
+
+
+def test_versions_of_before_dates(spark, tmp_path):
+    """A version written without the column is read with nulls, and has it after its compaction."""
+    root = str(tmp_path / "old")
+    old = index_rows(spark, ["a", "b"], seq=1).withColumn("deleted", F.lit(False))
+    old.write.parquet(f"{root}/version=1")
+    open(f"{root}/version=1/_PUBLISHED--1", "w").close()
+    assert days(read_index(spark, root, CONFIG)) == {"a": None, "b": None}
+    append_changes(as_state(dated_rows(spark, [("b", 3, day(3)), ("c", 3, day(3))])), root, 0)
+    compact(spark, root, CONFIG)
+    assert days(read_index(spark, root, CONFIG)) == {"a": None, "b": 3, "c": 3}
+    assert "date_added" in spark.read.parquet(f"{root}/version=2").columns
+
+
+def test_listing_and_reindex_show_dates(spark):
+    rows = pages_of(spark, [("a", page(body="new")), ("b", page())]).withColumn("date_added", F.lit("2024-01-09").cast("timestamp_ntz"))
+    index = dated_rows(spark, [("a", 1, day(1)), ("c", 1, day(2))])
+    got = reindex(index, rows.select("site", "path"), rows, CONFIG)
+    assert days(got) == {"a": 1, "b": 9, "c": 2}
+    listed = index_listing(got).collect()
+    assert [(r.location, r.date_added.day) for r in listed] == [("a", 1), ("b", 9), ("c", 2)]
+    assert len({r.id for r in listed}) == 3 and listed[0].id == int(hashlib.md5(f"{S} a".encode()).hexdigest()[:15], 16)
+    assert "id" in index_listing(index_rows(spark, ["a"])).columns
