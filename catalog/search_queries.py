@@ -9,8 +9,9 @@ from catalog.tables import DOC_CONFIG, DOC_SITE, DOCS_SQL, documents, sql_limit,
 from quillseek.functions.text import excerpt_source, highlight, snippet
 from quillseek.functions.tokens import index_tokens
 from quillseek.operators.fulltext import clauses
-from quillseek.operators.postings import postings, site_sizes, term_counts, write_postings
+from quillseek.operators.postings import postings, site_sizes, term_counts, word_positions, write_postings
 from quillseek.operators.queries import normalise
+from quillseek.operators.topk import band_counts
 from quillseek.operators.ranking import result_excerpt
 from quillseek.plans.searching import SearchIndex, count, page_meta, search
 from quillseek.session import scratch_path
@@ -182,6 +183,26 @@ def search_natural(spark: SparkSession, folder: str) -> DataFrame:
     return search(SearchIndex(documents(spark, folder)), queries, DOC_CONFIG)
 
 
+@query(
+    "search_natural_best",
+    f"""{_NATURAL},
+    matches AS (SELECT s.query_id, 0 AS off, d.*, s.relevance FROM scored s JOIN docs d ON d.location = s.location
+      JOIN q ON q.query_id = s.query_id WHERE (wanted = '' OR d.language IN (wanted, ''))), {_TOP}""",
+)
+def search_natural_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The same searches over stored bands of postings, of which only those are read that a shown match can be in."""
+    records = documents(spark, folder)
+    path = scratch_path(spark, "bands")
+    write_postings(postings(records, DOC_CONFIG), f"{path}/rows", DOC_CONFIG, slices=1, bands=True)
+    stored = spark.read.parquet(f"{path}/rows")
+    band_counts(stored).write.parquet(f"{path}/bands")
+    site_sizes(records).write.parquet(f"{path}/sizes")
+    bands, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("bands", "sizes"))
+    counts = bands.groupBy("site", "term").agg(F.sum("records").alias("records"))
+    queries = _natural_queries(spark, folder).withColumnRenamed("wanted", "language")
+    return search(SearchIndex(records, stored, counts, sizes, bands=bands), queries, DOC_CONFIG)
+
+
 @query(
     "search_language",
     f"""{_NATURAL},
@@ -234,15 +255,16 @@ def search_boolean(spark: SparkSession, folder: str) -> DataFrame:
       LEFT JOIN scored s ON s.query_id = h.query_id AND s.location = h.location), {_TOP}""",
 )
 def search_stored_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Boolean searches over postings and counts stored beforehand, as a search service keeps them."""
+    """Boolean searches over postings, positions and counts stored beforehand, as a search service keeps them."""
     records = documents(spark, folder)
     path = scratch_path(spark, "postings")
     write_postings(postings(records, DOC_CONFIG), f"{path}/rows", DOC_CONFIG)
+    write_postings(word_positions(records), f"{path}/positions", DOC_CONFIG)
     stored = spark.read.parquet(f"{path}/rows")
     term_counts(stored).write.parquet(f"{path}/counts")
     site_sizes(records).write.parquet(f"{path}/sizes")
     counts, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "sizes"))
-    index = SearchIndex(records, stored, counts, sizes)
+    index = SearchIndex(records, stored, counts, sizes, spark.read.parquet(f"{path}/positions"))
     return search(index, _boolean_queries(spark, folder), DOC_CONFIG)
 
 
