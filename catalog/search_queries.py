@@ -9,6 +9,7 @@ from catalog.tables import DOC_CONFIG, DOC_SITE, DOCS_SQL, documents, sql_limit,
 from quillseek.functions.text import excerpt_source, highlight, snippet
 from quillseek.functions.tokens import index_tokens
 from quillseek.operators.fulltext import clauses
+from quillseek.operators.like_search import gram_counts, write_grams
 from quillseek.operators.postings import postings, site_sizes, term_counts, word_positions, write_postings
 from quillseek.operators.queries import normalise
 from quillseek.operators.topk import band_counts
@@ -143,6 +144,18 @@ def search_like_grams(spark: SparkSession, folder: str) -> DataFrame:
     return search(SearchIndex(documents(spark, folder)), _like_queries(spark, folder), config)
 
 
+@query("search_like_stored_grams", f"WITH {DOCS_SQL}, {_ASKED}, {_WILD_Q}, {_LIKE_MATCHES}, {_TOP}")
+def search_like_stored_grams(spark: SparkSession, folder: str) -> DataFrame:
+    """Wildcard searches over grams stored beforehand: the text of a record is read only if it holds a search's grams."""
+    records = documents(spark, folder)
+    path = scratch_path(spark, "grams")
+    write_grams(records, f"{path}/rows", DOC_CONFIG, slices=1)
+    grams = spark.read.parquet(f"{path}/rows")
+    gram_counts(grams).write.parquet(f"{path}/counts")
+    index = SearchIndex(records, grams=grams, gram_counts=spark.read.parquet(f"{path}/counts"))
+    return search(index, _wildcard_queries(spark, folder), DOC_CONFIG)
+
+
 _FULLTEXT = """
 words AS (
   SELECT site, location, language, unnest(list_filter(regexp_extract_all(
