@@ -17,6 +17,7 @@ from catalog.tables import (
     table,
     tagged_pages,
 )
+from quillseek.functions.urls import stored_location
 from quillseek.operators.eligibility import gated
 from quillseek.operators.extraction import evaluate_pages, index_records
 from quillseek.operators.maintenance import (
@@ -38,7 +39,7 @@ from quillseek.operators.maintenance import (
 from quillseek.plans.indexing import rebuild_index
 from quillseek.session import scratch_path
 from quillseek.sources.index_log import append_log, read_log
-from quillseek.sources.index_store import clear_index, read_index, rebuild
+from quillseek.sources.index_store import append_changes, clear_index, compact, expire, lookup, read_index, rebuild
 from quillseek.sources.pages import listed_pages
 from quillseek.streaming.changes import index_stream
 
@@ -208,6 +209,42 @@ def index_log_counts(spark: SparkSession, folder: str) -> DataFrame:
     return log_report(index_log(evaluated, _records(spark, folder)))
 
 
+@query(
+    "index_compacted",
+    f"""{_RECORDS},
+    changed AS (SELECT * FROM records WHERE seq % 2 = 1 AND site IN (SELECT site FROM records WHERE seq % 25 = 0))
+    SELECT {RECORD_COLUMNS} FROM records WHERE seq % 2 = 0 AND NOT (site IN (SELECT site FROM records WHERE seq % 25 = 0) AND seq % 6 = 0)
+    UNION ALL SELECT {RECORD_COLUMNS} FROM changed""",
+)
+def index_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of some sites, folded into a stored index and read again; what older versions alone need is removed."""
+    root = scratch_path(spark, "compacted")
+    records = _records(spark, folder)
+    base = records.filter(F.col("seq") % 2 == 0)
+    rebuild(base, root)
+    some = records.filter(F.col("seq") % 25 == 0).select("site").distinct()
+    added = records.filter(F.col("seq") % 2 == 1).join(some, "site", "left_semi")
+    gone = base.filter(F.col("seq") % 6 == 0).join(some, "site", "left_semi").withColumn("seq", F.col("seq") + 1)
+    append_changes(as_state(added).unionByName(as_state(gone).withColumn("deleted", F.lit(True))), root, 0)
+    compact(spark, root, PAGE_CONFIG)
+    expire(spark, root, keep=1)
+    return read_index(spark, root, PAGE_CONFIG)
+
+
+@query(
+    "stored_lookup",
+    f"""{_RECORDS} SELECT {RECORD_COLUMNS} FROM records WHERE (site, location) IN (
+      SELECT site, CASE WHEN path = '' THEN 'home' ELSE path END FROM page_rows WHERE page_id IN (SELECT user_id FROM events WHERE event_type = 'signup'))""",
+)
+def stored_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a stored index by location: only the files of their slices are opened."""
+    root = scratch_path(spark, "lookup")
+    rebuild(_records(spark, folder), root)
+    asked = table(spark, folder, "events").filter(F.col("event_type") == "signup").select(F.col("user_id").alias("seq")).distinct()
+    wanted = pages(spark, folder).join(asked, "seq").select("site", stored_location(F.col("path")).alias("location"))
+    return lookup(spark, root, wanted, PAGE_CONFIG)
+
+
 @query("index_rebuild_swap", f"{_RECORDS} SELECT {RECORD_COLUMNS} FROM records")
 def index_rebuild_swap(spark: SparkSession, folder: str) -> DataFrame:
     """A partial index is live, a full rebuild replaces it, and an empty rebuild changes nothing."""

@@ -30,6 +30,7 @@ from quillseek.functions import urls as U
 from quillseek.functions.text import collapse_blanks, format_title
 from quillseek.operators.eligibility import auto_ignored, excluded, indexable, robots_blocked, scope_of
 from quillseek.operators.extraction import index_records
+from quillseek.operators.rules import excluded_by, scoped_by
 from quillseek.sources.pages import fetched
 from quillseek.sources.robots import robots_by_site, robots_rules
 
@@ -319,3 +320,45 @@ def indexable_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {PAGE_ROWS_SQL} SELECT page_id AS seq, path, {SCOPE_SQL} AS scope FROM page_rows")
 def scope_rules(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("seq", "path", scope_of(F.col("path"), PAGE_CONFIG.scope_rules).alias("scope"))
+
+
+_RULE_TEXT = "replace(replace(pattern, ':num', '[0-9]+'), ':any', '.+')"
+
+
+@query(
+    f"""WITH {PAGE_ROWS_SQL}, rules AS (
+      SELECT site, regexp_replace(path, '[0-9]+', ':num', 'g') AS pattern FROM page_rows WHERE page_id % 3 = 0
+      UNION ALL SELECT site, regexp_replace(path, '[^/]*$', ':any') FROM page_rows WHERE page_id % 11 = 0
+      UNION ALL SELECT NULL, 'de/:any')
+    SELECT page_id AS seq, EXISTS (SELECT 1 FROM rules r WHERE (r.site IS NULL OR r.site = p.site)
+      AND regexp_matches(p.path, '^(?:' || {_RULE_TEXT} || ')$')) AS excluded FROM page_rows p"""
+)
+def exclude_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Exclude rules of every site, made of its own pages, and one of all sites."""
+    rows = pages(spark, folder).select("seq", "site", "path")
+    number = F.col("seq")
+    own = rows.filter(number % 3 == 0).select("site", number.alias("rule_no"), F.regexp_replace("path", "[0-9]+", ":num").alias("pattern"))
+    folders = rows.filter(number % 11 == 0).select("site", (number + 10**9).alias("rule_no"), F.regexp_replace("path", "[^/]*$", ":any").alias("pattern"))
+    every = spark.range(1).select(F.lit(None).cast("string").alias("site"), F.lit(-1).cast("long").alias("rule_no"), F.lit("de/:any").alias("pattern"))
+    return excluded_by(rows, own.unionByName(folders).unionByName(every), PAGE_CONFIG).select("seq", "excluded")
+
+
+@query(
+    f"""WITH {PAGE_ROWS_SQL}, rules AS (
+      SELECT site, page_id AS rule_no, 'scope ' || page_id % 5 AS scope, regexp_replace(path, '[^/]+$', '{{slug}}') AS path
+      FROM page_rows WHERE page_id % 4 = 0
+      UNION ALL SELECT NULL, -1, 'french', 'fr/{{slug}}'),
+    found AS (
+      SELECT p.page_id, arg_min(r.scope, r.rule_no) AS scope FROM page_rows p JOIN rules r ON r.site IS NULL OR r.site = p.site
+      WHERE r.path <> '' AND regexp_matches(p.path, regexp_replace(regexp_replace(r.path, '/\\{{[^{{}}]+\\}}', '/.+', 'g'), '([{{}}])', '\\\\\\1', 'g'))
+      GROUP BY p.page_id)
+    SELECT page_id AS seq, coalesce(scope, 'pages') AS scope FROM page_rows LEFT JOIN found USING (page_id)"""
+)
+def scope_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Scope rules of every site, made of its own pages, and one of all sites; the lowest number that applies counts."""
+    rows = pages(spark, folder).select("seq", "site", "path")
+    own = rows.filter(F.col("seq") % 4 == 0).select(
+        "site", F.col("seq").alias("rule_no"), F.concat(F.lit("scope "), F.col("seq") % 5).alias("scope"), F.regexp_replace("path", "[^/]+$", "{slug}").alias("path")
+    )
+    every = spark.range(1).select(F.lit(None).cast("string").alias("site"), F.lit(-1).cast("long").alias("rule_no"), F.lit("french").alias("scope"), F.lit("fr/{slug}").alias("path"))
+    return scoped_by(rows, own.unionByName(every), PAGE_CONFIG).select("seq", "scope")

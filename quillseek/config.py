@@ -63,3 +63,5 @@ class SearchConfig:
     max_inline_searches: int = 256
     max_inline_bytes: int = 64 * 1024
     postings_buckets: int = 64
+    site_slices: int = 64  # of a stored index, and in how many of them a site lies
+    slice_parts: int = 4

@@ -56,9 +56,9 @@ def crawl(
     return visited
 
 
-def discovered(edges: DataFrame, visited: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(site, location)`` of everything linked from visited pages, fetched or not, plus the roots."""
-    found = edges.join(
-        visited.select("site", F.col("location").alias("src")), ["site", "src"], "left_semi"
-    ).select("site", F.col("dst").alias("location"))
+def discovered(edges: DataFrame, visited: DataFrame, roots: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """``(site, location)`` of everything linked from visited pages, fetched or not, plus the roots. A page of very many
+    links is joined apart."""
+    sources = visited.select("site", F.col("location").alias("src")).distinct()
+    found = split_join(edges, sources, ["site", "src"], "left_semi", config).select("site", F.col("dst").alias("location"))
     return found.unionByName(roots.select("site", "location")).distinct()

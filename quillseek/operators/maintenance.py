@@ -54,6 +54,9 @@ def newest(rows: DataFrame, keys: Sequence[str], gone: Column) -> DataFrame:
     return found.join(since, keys, "left").select(*keys, *(f"last.{c}" for c in rest), date, F.col("cut").isNotNull().alias("anew"))
 
 
+_MANY_SITES = 256  # above this a scan is not narrowed to the sites asked for
+
+
 def upsert(index: DataFrame, records: DataFrame, config: SearchConfig) -> DataFrame:
     """The index with the records put in, the highest ``seq`` per location winning.
 
@@ -152,16 +155,22 @@ def reindex(
 def requested_changes(
     requested: DataFrame, pages: DataFrame, config: SearchConfig, robots: DataFrame | None = None
 ) -> DataFrame:
-    """State rows that re-reading the requested ``(site, path)`` pages gives."""
-    wanted = requested.select("site", "path").distinct()
+    """State rows that re-reading the requested ``(site, path)`` pages gives.
+
+    Pages are read once. If the requests are for few sites, their names go into the scan, which then skips the files of
+    other sites where pages are stored by site.
+    """
+    wanted = cut_lineage(requested.select("site", "path").distinct())
+    sites = [r["site"] for r in wanted.select("site").distinct().limit(_MANY_SITES + 1).collect()]
+    if len(sites) <= _MANY_SITES:
+        pages = pages.filter(F.col("site").isin(*(s for s in sites if s is not None)))
     sought = broadcast_if_small(wanted, config)
-    found = as_changes(
-        evaluate_pages(pages.join(sought, ["site", "path"], "left_semi"), config, robots)
-    )
-    present = pages.select("site", "path").join(sought, ["site", "path"], "left_semi").distinct()
-    missing = wanted.join(present, ["site", "path"], "left_anti").select(
-        "site",
-        stored_location(F.col("path")).alias("location"),
+    read = evaluate_pages(pages.join(sought, ["site", "path"], "left_semi"), config, robots)
+    read = cut_lineage(read.select(*RECORD, "url", "outcome"))
+    found = as_changes(read)
+    places = wanted.select("site", stored_location(F.col("path")).alias("location")).distinct()
+    missing = places.join(read.select(*KEYS).distinct(), KEYS, "left_anti").select(
+        *KEYS,
         *[F.lit("").alias(c) for c in FIELDS],
         F.lit(0).cast("long").alias("seq"),
         F.lit(None).cast(DATE).alias("date_added"),

@@ -15,6 +15,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page rows laid out by site and path, so that reading again what changed on some sites skips the other files."""
+    pages.repartitionByRange("site", "path").sortWithinPartitions("site", "path").write.parquet(path)
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """A scan of fewer splits than there are cores, spread over them.
 
