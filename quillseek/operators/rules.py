@@ -66,16 +66,24 @@ def rule_matches(pages: DataFrame, patterns: DataFrame, config: SearchConfig, lo
     return met.filter(F.rlike(F.col("location"), F.col("regex"))).drop("piece", "of_site", "regex")
 
 
+def _distinct(patterns: DataFrame) -> DataFrame:
+    """One rule for each pattern of a site, that of the lowest number: rules made of a site's pages are often alike, and every
+    location that meets one meets them all."""
+    return patterns.groupBy("site", "regex").agg(
+        F.min("rule_no").alias("rule_no"), F.max("literal").alias("literal"), *(F.min_by(c, "rule_no").alias(c) for c in ("scope",) if c in patterns.columns)
+    )
+
+
 def excluded_by(pages: DataFrame, rules: DataFrame, config: SearchConfig, location: str = "path") -> DataFrame:
     """Pages with ``excluded``: whether a rule ``(site, rule_no, pattern)`` of their site, or of a null site, excludes them."""
-    hit = rule_matches(pages, exclude_patterns(rules), config, location).select("site", F.col("location").alias(location)).distinct()
+    hit = rule_matches(pages, _distinct(exclude_patterns(rules)), config, location).select("site", F.col("location").alias(location)).distinct()
     joined = split_join(pages, cut_lineage(hit.withColumn("excluded", F.lit(True))), ["site", location], "left", config)
     return joined.withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
 def scoped_by(pages: DataFrame, rules: DataFrame, config: SearchConfig, location: str = "path") -> DataFrame:
     """Pages with ``scope``: that of the rule ``(site, rule_no, scope, path)`` with the lowest number that applies, or the default."""
-    found = rule_matches(pages, scope_patterns(rules), config, location)
+    found = rule_matches(pages, _distinct(scope_patterns(rules)), config, location)
     first = found.groupBy("site", F.col("location").alias(location)).agg(F.min_by("scope", "rule_no").alias("scope"))
     joined = split_join(pages, cut_lineage(first), ["site", location], "left", config)
     return joined.withColumn("scope", F.coalesce("scope", F.lit(DEFAULT_SCOPE)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillseek.config import SearchConfig
 from quillseek.operators.eligibility import exclude_regex, scope_regex
 from quillseek.operators.maintenance import as_state, feed_changes, requested_changes, upsert, visible
+from quillseek.operators import rules as rules_module
 from quillseek.operators.rules import excluded_by, rule_matches, exclude_patterns, scoped_by
 from quillseek.sources.index_store import append_changes, compact, expire, lookup, read_index, rebuild, slices_of_site, versions
 from quillseek.sources.pages import page_rows, write_pages
@@ -160,3 +161,14 @@ def test_a_hundred_thousand_rules(spark):
     )
     found = rule_matches(places, exclude_patterns(rules), CONFIG)
     assert found.count() == 1000
+
+
+def test_rules_alike_meet_a_location_once(spark, monkeypatch):
+    """Rules made of a site's pages are mostly the same pattern: matches grow with the locations, not with both."""
+    met = []
+    monkeypatch.setattr(rules_module, "rule_matches", lambda *args: met.append(rule_matches(*args)) or met[-1])
+    pages = spark.range(300).select(F.lit("http://s").alias("site"), F.concat(F.lit("blog/"), "id").alias("path"))
+    rules = spark.range(400).select(F.lit("http://s").alias("site"), (900 - F.col("id")).alias("rule_no"), F.concat(F.lit("scope"), "id").alias("scope"), F.lit("blog/{slug}").alias("path"))
+    assert {r.scope for r in scoped_by(pages, rules, CONFIG).collect()} == {"scope399"}
+    assert excluded_by(pages, rules.select("site", "rule_no", F.lit("blog/:num").alias("pattern")), CONFIG).filter("excluded").count() == 300
+    assert [found.count() for found in met] == [300, 300]
