@@ -102,12 +102,17 @@ def _coded(config: CollocationConfig):
     return code
 
 
-def _grams(line: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words of all phrases of two words (the third is 0) and of three."""
-    word = ids[line]
+_AT_ONCE = 1 << 18  # words whose phrases are held at once
+
+
+def _grams(line: np.ndarray, ids: np.ndarray, start: int = 0, many: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the words of all phrases of two words (the third is 0) and of three that begin at ``many`` places from ``start``."""
+    many = len(line) if many is None else many
+    word = ids[line[start : start + many + 2]]
     x, y = word[:-1], word[1:]
     two = (x > 0) & (y > 0)
     three = two[:-1] & (word[2:] > 0)
+    two[many:] = False  # begins behind these places
     third = word[2:][three]
     return np.concatenate([x[two], x[:-1][three]]), np.concatenate([y[two], y[:-1][three]]), np.concatenate([np.zeros(two.sum(), dtype=word.dtype), third])
 
@@ -133,7 +138,6 @@ def phrase_counts(coded: DataFrame, id_bits: int, occurrences: int, config: Coll
 
         def send() -> pa.RecordBatch:
             cut = sliced(merged(held, half), half, prefix)
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([at for at, _ in cut], pa.int64()), pa.array([encode(e, half, prefix) for _, e in cut], pa.binary())], names=["bucket", "filter"])
 
         for batch in batches:
@@ -142,10 +146,12 @@ def phrase_counts(coded: DataFrame, id_bits: int, occurrences: int, config: Coll
                 pairs = batch.column(1)[n].values
                 ids = np.zeros(int(line.max(initial=0)) + 1, dtype=np.int64)
                 ids[pairs.field(0).to_numpy(zero_copy_only=False)] = pairs.field(1).to_numpy(zero_copy_only=False)
-                high, low = layout.pack(*_grams(line, ids))
-                held.append(counted(high, low, None, half))
-                if sum(map(len, held)) > most:
-                    yield send()
+                for start in range(0, len(line), _AT_ONCE):
+                    held.append(counted(*layout.pack(*_grams(line, ids, start, _AT_ONCE)), None, half))
+                    if sum(map(len, held)) > most:
+                        held.append(merged(held, half))
+                    if len(held[-1]) > most // 2:
+                        yield send()
         if held:
             yield send()
 

@@ -89,7 +89,10 @@ def counted(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None, half:
 
 
 def merged(filters: list[Entries], half: int) -> Entries:
-    return counted(*(np.concatenate([getattr(f, k) for f in filters]) for k in ("high", "low", "counts")), half)
+    """All entries together, equal keys added up. The list is emptied, so that its entries are not held beside their copies."""
+    high, low, counts = (np.concatenate([getattr(f, k) for f in filters]) for k in ("high", "low", "counts"))
+    filters.clear()
+    return counted(high, low, counts, half)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:

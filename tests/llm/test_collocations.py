@@ -96,3 +96,16 @@ def test_phrases_of_nothing(spark):
 def test_score_past_64_bits(spark):
     frame = spark.createDataFrame([(10**13, 2 * 10**13, 3 * 10**13)], "a long, l long, r long")
     assert frame.select(collocations._score("l", "r")).first()[0] == 10**6 * 10**26 // (6 * 10**26)
+
+
+def test_phrases_counted_in_stretches():
+    """A long line is counted a stretch at a time; a phrase that lies across two is counted once."""
+    rng = np.random.default_rng(5)
+    line, ids = rng.integers(0, 9, 1003), np.array([0, 1, 2, 3, 0, 5, 6, 7, 8])
+    whole = Counter(zip(*(part.tolist() for part in collocations._grams(line, ids))))
+    for many in (1, 2, 100, 1001, 1002, 5000):
+        parts = [collocations._grams(line, ids, start, many) for start in range(0, len(line), many)]
+        assert sum((Counter(zip(*(x.tolist() for x in part))) for part in parts), Counter()) == whole
+    layout = quotient.Layout(4)
+    held = [quotient.counted(*layout.pack(*part), None, layout.half) for part in parts]
+    assert quotient.merged(held, layout.half).counts.sum() == sum(whole.values()) and not held
