@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillseek.config import SearchConfig
+from quillseek.operators import fulltext, like_search
 from quillseek.operators.joins import broadcast_if_small, is_small, latest, split_join
 from quillseek.operators.links import broken_links
 from quillseek.operators.maintenance import index_listing, upsert
@@ -183,3 +184,52 @@ def test_searches_read_only_their_sites(spark, stored):
     assert "EqualTo(site,http://s)" in plan_of(found)
     both = search(SearchIndex(stored.union(other)), queries, CONFIG)
     assert {r.site for r in both.collect()} == {S}
+
+
+def asked_of(spark, rows):
+    queries = spark.createDataFrame(rows, "query_id int, site string, q string, mode string")
+    return searches(prepare(queries, CONFIG))
+
+
+def test_large_slices_of_a_bucket_are_parted(spark, stored, tmp_path):
+    """A common word fills more files than slices where these are large, and no posting is lost."""
+    rows = postings(stored, replace(CONFIG, postings_buckets=2))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+    try:
+        write_postings(rows.repartition(8), str(tmp_path / "p"), replace(CONFIG, postings_buckets=2), slices=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    kept = spark.read.parquet(str(tmp_path / "p"))
+    files = kept.select("term_bucket", F.input_file_name().alias("file")).distinct().groupBy("term_bucket").agg(F.count("file").alias("files")).collect()
+    assert max(r["files"] for r in files) > 1
+    same = ["site", "term", "location", "language", "tf", "weight"]
+    assert kept.select(same).exceptAll(rows.select(same)).isEmpty() and kept.count() == rows.count()
+
+
+@pytest.mark.parametrize("q", ["common words", "no%r 1%"])
+def test_derived_grams_are_a_row_for_each_record(spark, stored, q):
+    """Only grams that are asked for, those of a record together; short ones only if asked for."""
+    work = like_search._work(asked_of(spark, [(1, S, q, "like"), (2, S, "group7", "like")]), CONFIG)
+    asked = {r["gram"] for r in like_search.search_grams(work).collect()}
+    found = like_search._asked_grams(stored, work).collect()
+    assert len(found) == stored.count()
+    text = {r["location"]: "\n".join([r["location"], r["title"], r["content"]]).lower() for r in stored.collect()}
+    for row in found:
+        assert sorted(row["grams"]) == sorted(g for g in asked if g in text[row["location"]])
+
+
+def test_derived_postings_are_read_by_column(stored):
+    index = SearchIndex(stored).completed(CONFIG)
+    assert "Scan parquet" in plan_of(index.postings.select("term")) and "Scan parquet" in plan_of(index.counts)
+
+
+@pytest.mark.parametrize("q, rows", [("+group1 number1", 2), ("+(group1 number1)", 4)])
+def test_a_top_level_word_is_one_row_with_its_score(spark, stored, q, rows):
+    """A word's clause carries its score unless it is in a group: one row for each posting met instead of two."""
+    work = asked_of(spark, [(1, S, q, "match boolean")])
+    posting_rows, sizes = postings(stored, CONFIG), site_sizes(stored)
+    clauses = fulltext.usable_clauses(fulltext.clauses(work), CONFIG).withColumn("required", F.lit(0).cast("long"))
+    boosts = fulltext.weighted_terms(fulltext.search_terms(work, CONFIG), fulltext.term_counts(posting_rows), sizes, True)
+    found = fulltext._word_rows(clauses.filter("form = 'word'"), boosts, posting_rows, True, CONFIG).filter("location = 'p/1'").collect()
+    wanted = natural_scores(work, posting_rows, sizes, True, CONFIG).filter("location = 'p/1'").first()["relevance"]
+    assert len(found) == rows and sum(r["score"] for r in found) == pytest.approx(wanted, abs=1e-6)
