@@ -263,6 +263,170 @@ def test_language_scores_of_odd_rows(spark):
     assert pitman_yor.scored(docs(spark, "a").limit(0)).count() == 0
 
 
+def held_out_ids(many, start=1000):
+    return [i for i in range(start, start + 20 * many + 200) if zlib.crc32(str(i).encode()) % 7 == 2][:many]
+
+
+def test_language_contexts_are_whole_words(spark, tmp_path):
+    """Words that end alike are different contexts."""
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, "left cc" if n % 2 else "soft dd", "en", "s", 0) for n, i in enumerate(learned)]
+    asked = ["left cc", "left dd", "soft cc", "soft dd"]
+    rows += [(i, t, "en", "s", 0) for i, t in zip(held_out_ids(4), asked)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op4_pitman_yor_scores"](spark, str(tmp_path)).collect()}
+    score = dict(zip(asked, (found[i] for i in held_out_ids(4))))
+    assert score["left cc"] > score["left dd"] + 1 and score["soft dd"] > score["soft cc"] + 1
+
+
+def test_language_model_of_words_sums_to_one(spark):
+    """With e(w) the chance of an end after w, 1/e(u) = 1 + sum over w of p(u w) / p(u) / e(w): solved for e, which must
+    then make the first words and the empty text add to one. One more word is unknown."""
+    words = ["a", "bb", "ccc", "dd"]
+    texts = [" ".join(words[(i * j) % 4] for j in range(1, 4 + i % 5)) for i in range(300)]
+    every = [*words, "unknown"]
+    asked = ["", *every, *(f"{u} {w}" for u in every for w in every)]
+    more = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(held_out_ids(len(asked)), asked)], DOCS)
+    config = pitman_yor.LanguageConfig(context_bytes=None)
+    found = {r["doc_id"]: 10 ** r["score"] for r in pitman_yor.scored(docs(spark, *texts).union(more), config).collect()}
+    p = dict(zip(asked, (found[i] for i in held_out_ids(len(asked)))))
+    step = np.array([[p[f"{u} {w}"] / p[u] for w in every] for u in every])
+    ends = 1 / np.linalg.solve(np.eye(5) - step, np.ones(5))
+    assert (ends > 0).all() and (ends < 1).all()
+    assert p[""] + sum(p[w] / e for w, e in zip(every, ends)) == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("customers", [2, 40, 128, 200])
+@pytest.mark.parametrize("root", [False, True])
+def test_gibbs_step_draws_from_its_conditional(customers, root):
+    discount, j = 0.7, np.arange(1, customers)
+    grow = 5 + discount * (300 + j)
+    weights = np.log(grow * 0.01) if root else np.log(grow * (3 + j) / (2000 + j))
+    logs = np.concatenate([[0], np.cumsum(weights)])
+    ways = [0.0] * (customers + 1)
+    ways[0] = 1.0
+    for c in range(customers):  # generalized Stirling numbers over c!
+        ways = [0.0] + [(ways[t - 1] + max(c - discount * t, 0) * ways[t]) / (c + 1) for t in range(1, customers + 1)]
+    with np.errstate(divide="ignore"):
+        logs = logs + np.log(ways[1:])
+    p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    many, tables = 8000, np.minimum(np.full(8000, 12), customers)
+    whole = lambda x: np.full(many, x)
+    for sweep in range(8):
+        dish, every = (whole(0.01), np.inf) if root else (whole(3.0), whole(2000.0))
+        tables = pitman_yor._resample(whole(customers), tables, whole(300.0), 5.0, discount, dish, every, pitman_yor._mix(np.arange(many), 3), sweep)
+    got = np.bincount(tables, minlength=customers + 1)[1:] / many
+    assert np.abs(got.cumsum() - p.cumsum()).max() < 0.025
+
+
+def test_seatings_of_many_customers():
+    for discount in (0.1, 0.6, 0.85, 0.95):
+        slow = pitman_yor._seatings(160, discount)[160, 1:161]
+        fast = pitman_yor._log_seatings(np.full(160, 160.0), np.arange(1.0, 161.0), discount) + math.lgamma(161)
+        assert np.abs(fast - slow).max() < 1e-5
+
+
+def plain_sampler(tokens, held, strength, root_strength, sweeps, burn_in, seed):
+    """Scores of texts by a sampler that takes every customer out and seats it again."""
+    rng = np.random.default_rng(seed)
+    pairs = {}
+    for d, words in tokens.items():
+        for u, w in zip([0, *words], words) if d not in held else ():
+            pairs[u, w] = pairs.get((u, w), 0) + 1
+    rare = lambda values: values.count(1) / (values.count(1) + 2 * values.count(2))
+    spread = {}
+    for _, w in pairs:
+        spread[w] = spread.get(w, 0) + 1
+    d, d0 = (min(0.95, max(0.1, rare([*x.values()]))) for x in (pairs, spread))
+    many = len(spread)
+    seats, root, of, eating = {k: [] for k in pairs}, {w: [] for w in spread}, {}, {}
+    all_tables, all_customers = 0, 0
+
+    def parent(w):
+        at = root.get(w, [])
+        return (sum(at) - d0 * len(at) + (root_strength + d0 * all_tables) / (many + 1)) / (root_strength + all_customers)
+
+    def add(u, w):
+        nonlocal all_tables, all_customers
+        at, base = seats[u, w], parent(w)
+        open_ = (strength + d * of.get(u, 0)) * base
+        x = rng.random() * (open_ + sum(at) - d * len(at))
+        for k, n in enumerate(at):
+            x -= n - d
+            if x < 0:
+                at[k] += 1
+                return
+        at.append(1)
+        of[u] = of.get(u, 0) + 1
+        at, open_ = root[w], (root_strength + d0 * all_tables) / (many + 1)
+        all_customers += 1
+        x = rng.random() * (open_ + sum(at) - d0 * len(at))
+        for k, n in enumerate(at):
+            x -= n - d0
+            if x < 0:
+                at[k] += 1
+                return
+        at.append(1)
+        all_tables += 1
+
+    def leave(at):
+        x = rng.random() * sum(at)
+        for k, n in enumerate(at):
+            x -= n
+            if x < 0:
+                break
+        at[k] -= 1
+        if at[k] == 0:
+            del at[k]
+            return True
+        return False
+
+    customers = [pair for pair, n in pairs.items() for _ in range(n)]
+    for u, _ in customers:
+        eating[u] = eating.get(u, 0) + 1
+    for u, w in customers:
+        add(u, w)
+    total = {}
+    for sweep in range(sweeps):
+        for u, w in customers:
+            if leave(seats[u, w]):
+                of[u] -= 1
+                all_customers -= 1
+                all_tables -= leave(root[w])
+            add(u, w)
+        if sweep >= burn_in:
+            for doc, words in tokens.items():
+                for u, w in zip([0, *words], words) if doc in held else ():
+                    at = seats.get((u, w), [])
+                    p = (sum(at) - d * len(at) + (strength + d * of.get(u, 0)) * parent(w)) / (strength + eating.get(u, 0))
+                    total.setdefault((u, w), []).append(p)
+    log = {k: math.log10(sum(v) / len(v)) for k, v in total.items()}
+    return {doc: sum(log[u, w] for u, w in zip([0, *words], words)) for doc, words in tokens.items() if doc in held}
+
+
+def test_language_scores_are_those_of_a_plain_sampler(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    tokens = {r["doc_id"]: counted([r["text"]])[0] for r in rows.collect()}
+    held = {d for d in tokens if zlib.crc32(str(d).encode()) % 7 == 2}
+    slow = plain_sampler(tokens, held, 5.0, 10.0, 6, 3, 0)
+    config = pitman_yor.LanguageConfig(context_bytes=None)
+    found = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in pitman_yor.scored(rows, config).collect()}
+    assert held and sum(n for _, n in (found[d] for d in held)) > 1000
+    for d in held:
+        assert found[d][0] / found[d][1] == pytest.approx(slow[d] / found[d][1], abs=0.02)
+    size = sum(found[d][1] for d in held)
+    assert sum(found[d][0] for d in held) / size == pytest.approx(sum(slow.values()) / size, abs=0.01)
+
+
+def test_language_blocks_change_nothing(spark, monkeypatch):
+    rows = docs(spark, *(" ".join(f"w{(i * j * j) % (7 + i % 5)}" for j in range(1, 40)) for i in range(150))).repartition(3)
+    scores = []
+    for many in (1, 9):
+        monkeypatch.setattr(pitman_yor, "_shares", lambda total, most, least, many=many: 3 if most == 1 << 20 else many)
+        scores.append({r["doc_id"]: r["score"] for r in pitman_yor.scored(rows, pitman_yor.LanguageConfig(context_bytes=None)).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+
+
 def test_mixture_meets_its_weights(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 40))), "en", f"s{min(int(i**0.5) // 8, 4)}", 0) for i in range(4000)]
