@@ -85,29 +85,34 @@ def encoded(context_bytes: int | None) -> Callable:
     """Batches ``(doc_id, held_out, text)`` as a row each: its entries (distinct words, the end, contexts) by hash, with
     their counts in training texts, and the texts as numbers of entries. Hashes of contexts that are no words are odd."""
 
+    def row(number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, codes, offsets = coded_words(batch.column(2), lower=True)
+        raw, end = [word.encode() for word in words], len(words)
+        hashes = [xxhash.xxh64_intdigest(w) & ~1 for w in raw] + [_END & ~1, xxhash.xxh64_intdigest(b"", 1) | 1]
+        heads = np.arange(end + 1)
+        if context_bytes is not None:
+            tails, heads = np.unique(np.array([xxhash.xxh64_intdigest(w[-context_bytes:], 1) | 1 for w in raw], dtype=np.uint64), return_inverse=True)
+            hashes += tails.tolist()
+            heads = np.append(heads, 0) + end + 2
+        hashes = np.array(hashes, dtype="<u8")
+        del words, raw
+        held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        tokens, context, starts = _sequence(codes.astype(np.int64), offsets, end, heads, end + 1)
+        learned = np.repeat(~held, np.diff(starts))
+        counts = np.bincount(tokens[learned], minlength=len(hashes))
+        if context_bytes is not None:
+            counts += np.bincount(context[learned], minlength=len(hashes))
+        counts[end + 1] = int((~held).sum())
+        ids = batch.column(0)
+        valid = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=np.int64)
+        docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = _bundle(docs, valid, held, np.diff(offsets), codes, heads - np.arange(end + 1), level=3)
+        values = (number, len(tokens), len(hashes), hashes.tobytes(), _bundle(counts), text)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _PARTS)], schema=_PARTS)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in enumerate(part for batch in batches for part in parts(batch, 2, _PART_BYTES)):
-            words, codes, offsets = coded_words(batch.column(2), lower=True)
-            raw, end = [word.encode() for word in words], len(words)
-            hashes = [xxhash.xxh64_intdigest(w) & ~1 for w in raw] + [_END & ~1, xxhash.xxh64_intdigest(b"", 1) | 1]
-            heads = np.arange(end + 1)
-            if context_bytes is not None:
-                tails, heads = np.unique(np.array([xxhash.xxh64_intdigest(w[-context_bytes:], 1) | 1 for w in raw], dtype=np.uint64), return_inverse=True)
-                hashes += tails.tolist()
-                heads = np.append(heads, 0) + end + 2
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            tokens, context, starts = _sequence(codes.astype(np.int64), offsets, end, heads, end + 1)
-            learned = np.repeat(~held, np.diff(starts))
-            counts = np.bincount(tokens[learned], minlength=len(hashes))
-            if context_bytes is not None:
-                counts += np.bincount(context[learned], minlength=len(hashes))
-            counts[end + 1] = int((~held).sum())
-            ids = batch.column(0)
-            valid = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=np.int64)
-            docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = _bundle(docs, valid, held, np.diff(offsets), codes, heads - np.arange(end + 1), level=3)
-            row = ((TaskContext.get().partitionId() << 16) + n, len(tokens), len(hashes), np.array(hashes, dtype="<u8").tobytes(), _bundle(counts), text)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PARTS)], schema=_PARTS)
+            yield row((TaskContext.get().partitionId() << 16) + n, batch)
 
     return encode
 
@@ -204,6 +209,7 @@ def _local_pairs(text: list[np.ndarray], ids: np.ndarray, blocks: int):
     rank = np.empty_like(by_id)
     rank[by_id] = np.arange(len(ids))
     keys, place = np.unique(rank[context] * len(ids) + rank[tokens], return_inverse=True)
+    del context
     of, word = by_id[keys // len(ids)], by_id[keys % len(ids)]
     block = (_mix(ids[of], ids[word]) % np.uint64(blocks)).astype(np.uint16 if blocks <= 1 << 16 else np.int64)
     order = np.argsort(block, kind="stable")
