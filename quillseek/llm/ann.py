@@ -17,13 +17,16 @@ from quillseek.operators.joins import split_join
 @dataclass(frozen=True)
 class NeighbourConfig:
     """``nearest`` rows for each query. ``sureness`` widens the error bound of an estimate (in its standard
-    deviations). ``rows`` and ``queries`` are distinct vectors in a block."""
+    deviations). ``rows`` and ``queries`` are distinct vectors in a block. Blocks of rows are dealt into ``groups`` that
+    meet each block of queries once, or into as many as hold ``group_bytes`` of vectors each, if that is more."""
 
     nearest: int = 5
     every: int = 50
     sureness: float = 3.0
     rows: int = 4096
     queries: int = 512
+    groups: int = 32
+    group_bytes: int = 64 << 20
     seed: int = 42
 
 
@@ -113,6 +116,11 @@ def _blocks(frame: DataFrame, size: int, ids: str) -> tuple[DataFrame, dict[int,
     return packed, counts
 
 
+def _groups(blocks: int, dim: int, config: NeighbourConfig) -> int:
+    """How many groups the blocks of a dimension are dealt into."""
+    return min(blocks, max(config.groups, -(-blocks * config.rows * 8 * dim // config.group_bytes)))
+
+
 def _distinct(rows: DataFrame, most: int | None) -> DataFrame:
     """``(vector, dim, ids)``: each vector once with its smallest ids. The ranking's limit is applied before
     the shuffle, so a vector that a third of all rows share sends a few rows from each task."""
@@ -129,8 +137,9 @@ def neighbours(vectors: DataFrame, config: NeighbourConfig = NeighbourConfig())
     smaller ids; a query with fewer candidates has fewer rows; an empty table gives an empty result.
 
     Equal vectors are one entry with the few smallest ids that any answer can hold, and equal queries are
-    asked once, so copies cost nothing. Blocks of queries meet blocks of entries by an equality join;
-    every entry is tested by its code in each. What leaves a block is a few rows for each query.
+    asked once, so copies cost nothing. Blocks of queries meet groups of blocks of entries by an equality join, so a query is
+    copied once for each group; every entry is tested by its code in each. What leaves a block is a few rows for each query.
+    The join shuffles: its left side is estimated without the copies and would be broadcast, far larger, from the driver.
     """
     keep = config.nearest + 1  # one of them may be the query itself
     rows = stored(usable(vectors), "ann-rows")
@@ -141,27 +150,30 @@ def neighbours(vectors: DataFrame, config: NeighbourConfig = NeighbourConfig())
     queries, _ = _blocks(once, config.queries, "asks")
     if not row_blocks:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    number = F.create_map(*(F.lit(x) for pair in row_blocks.items() for x in pair))[F.col("dim")]
+    groups = {dim: _groups(blocks, dim, config) for dim, blocks in row_blocks.items()}
+    number = F.create_map(*(F.lit(x) for pair in groups.items() for x in pair))[F.col("dim")]
     spread = queries.select(
-        "dim", F.col("vectors").alias("asked"), F.col("ids").alias("asks"), F.explode(F.sequence(F.lit(0), number - 1)).alias("block")
+        "dim", F.col("vectors").alias("asked"), F.col("ids").alias("asks"), F.explode(F.sequence(F.lit(0), number - 1)).alias("group")
     )
+    entries = entries.withColumn("group", F.pmod("block", number))
     seed, sureness = config.seed, config.sureness
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]  # one by one, as a row holds two blocks
                 dim = row["dim"]
                 data = unit(np.frombuffer(row["vectors"], "<f8").reshape(-1, dim))
                 turn = rotation(dim, seed)
                 codes, fit = encode(data[0], turn)
                 found: list[tuple[int, int, float]] = []
                 for n, near, scores in _scan(np.frombuffer(row["asked"], "<f8").reshape(-1, dim), data[1], codes, fit, turn, keep, sureness):
-                    some = sorted((-s, i) for at, s in zip(near.tolist(), scores.tolist()) for i in row["ids"][at])
+                    some = sorted((-s, i) for entry, s in zip(near.tolist(), scores.tolist()) for i in row["ids"][entry])
                     found += [(row["asks"][n][0], i, -s) for s, i in some[:keep]]
                 ask, vec, score = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(ask, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["ask", "vec_id", "score"])
 
-    met = spread.join(entries, ["dim", "block"]).select("dim", "asked", "asks", "vectors", "ids")
+    met = spread.hint("merge").join(entries, ["dim", "group"]).select("dim", "asked", "asks", "vectors", "ids")
     found = met.mapInArrow(meet, "ask long, vec_id long, score double")
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     found = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).drop("n"), "ann-found")

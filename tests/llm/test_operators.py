@@ -202,6 +202,33 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
+def test_neighbours_are_not_copied_by_the_driver(spark, monkeypatch):
+    """Queries are copied for groups of blocks, by a shuffle: no broadcast holds the copies. Groups of any number give the same rows."""
+    rng = np.random.default_rng(5)
+    x = {dim: rng.standard_normal((n, dim)) for dim, n in ((3, 90), (8, 300))}
+    rows = [(1000 * dim + 10 * n, [float(c) for c in v]) for dim, vectors in x.items() for n, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, stored = [], ann.stored
+    monkeypatch.setattr(ann, "stored", lambda frame, label: (label == "ann-found" and plans.append(frame), stored(frame, label))[1])
+    for groups, size in ((1, 1 << 20), (3, 1 << 20), (32, 1 << 20), (1, 4000)):
+        config = ann.NeighbourConfig(rows=16, queries=4, groups=groups, group_bytes=size)
+        found = {}
+        for r in ann.neighbours(frame, config).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        wanted = {}
+        for dim, vectors in x.items():
+            units = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            for n in range(0, len(vectors), 5):
+                order = np.argsort(-(units @ units[n]), kind="stable")
+                wanted[1000 * dim + 10 * n] = [1000 * dim + 10 * int(i) for i in order if i != n][:5]
+        hits = sum(len(set(found[q]) & set(wanted[q])) for q in wanted)
+        assert found.keys() == wanted.keys() and hits >= 0.98 * 5 * len(wanted)
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert [ann._groups(b, 64, ann.NeighbourConfig()) for b in (1, 20, 40, 586, 6000)] == [1, 20, 32, 32, 188]
+
+
 def counted(texts):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for t in texts]
     return tokens
